@@ -1,0 +1,174 @@
+"""Operators that look at one document at a time, against brute force and on odd inputs."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from presswork.llm import decontaminate, language, licenses, mixing, pii, quality, queries, secrets, toxicity
+
+from . import brute
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, ["en", None][i % 2], ["s", None, "é"][i % 3], "x", "y", "z") for i, t in enumerate(brute.ODD)] + [(None, "null id", None, None, None, None, None), (3, "a", "en", "s", "x", "y", "z")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, h string, row string, blob string")
+
+
+def documents(spark):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def test_secrets(spark, odd):
+    want = {i: brute.secrets(t) for i, t in documents(spark)}
+    got = {r[0]: tuple(r[1:5]) for r in queries.op2_secret_scan(spark, SF).collect()}
+    assert got == want and any(x[:3] != (0, 0, 0) for x in want.values())
+    text = "TOKEN='abcdefgh' PassWord: x AKIAAKIA0123456789 " + "0af" * 12 + " ſecret=abcdefghijk"
+    assert brute.secrets(text)[:3] == tuple(sum(k == kind for k, *_ in secrets.find_secrets(text)) for kind in ("assign", "access", "hex"))
+    assert secrets.scan_versions(odd.withColumnRenamed("doc_id", "path"))[0].count() == odd.count()
+
+
+def test_secret_ledger(spark):
+    rows = spark.createDataFrame([("a", "token=abcdefgh1"), ("b", "token=abcdefgh1"), ("c", "clean"), ("d", "api_key: 123456789")], "path string, text string")
+    findings, entries = secrets.scan_versions(rows)
+    assert entries.count() == 2 and findings.filter(F.size("spans") > 0).count() == 3
+    ledger = spark.createDataFrame(entries.collect(), entries.schema)
+    more = rows.union(spark.createDataFrame([("e", "token=abcdefgh1"), ("f", "secret=zzzzzzzzz")], rows.schema))
+    findings, entries = secrets.scan_versions(more, ledger)
+    assert entries.count() == 1
+    assert sorted(r["path"] for r in findings.filter(F.size("spans") > 0).collect()) == ["a", "b", "d", "e", "f"]
+
+
+def test_quality(spark, odd):
+    field = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd.filter("doc_id is not null")):
+        want = {r["doc_id"]: brute.quality(r["text"]) for r in docs.collect()}
+        got = quality.judge(docs, field).collect()
+        assert {r[0]: tuple(r[1:7]) for r in got} == want
+        assert not any(r["kept"] and r["base_failed"] for r in got)
+
+
+def test_viterbi_is_exact():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    field = quality.Field(rng.normal(size=(quality.FEATURES, 2)), rng.normal(size=(2, 2)))
+    x = rng.normal(size=(11, quality.FEATURES))
+    s = x @ field.emit
+    best = max(itertools.product((0, 1), repeat=11), key=lambda y: sum(s[i, y[i]] for i in range(11)) + sum(field.move[a, b] for a, b in itertools.pairwise(y)))
+    assert field.decode(x, np.array([0, 11])).tolist() == list(best)
+
+
+def test_licenses(spark, odd):
+    extra = spark.createDataFrame([(900 + i, t) for i, t in enumerate(["Under the MIT license, under the mit LICENSE", "Apache License, Version 2", "x cc-by-nc cc by nc", "under the mité license", "apache license version 20"])], "doc_id long, text string")
+    for docs in (spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), extra, odd.filter("doc_id is not null and doc_id <> 3").select("doc_id", "text")):
+        want = {r["doc_id"]: brute.licenses(r["text"]) for r in docs.collect()}
+        got = {r["doc_id"]: (r["n_words"], len(r["places"]), min(r["places"], default=None), max(r["places"], default=None), ",".join(r["base_labels"])) for r in licenses.scan_licenses(docs).collect()}
+        assert got == want
+    assert licenses.scan_licenses(odd).count() == odd.count()
+    notice = spark.createDataFrame([(1, "Permission is hereby granted, free of charge, to any REALLY any person obtaining a copy of this software and associated documentation files, to deal in the software")], "doc_id long, text string")
+    assert licenses.scan_licenses(notice).first()["labels"] == ["mit"]
+
+
+def test_language(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = queries.op5_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) / len(out) > 0.95
+    model = language.train(docs)
+    got = {r["doc_id"]: r for r in language.identify(odd, model).collect()}
+    assert got[0]["lang_pred"] == got[1]["lang_pred"] == got[2]["lang_pred"] == "und"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["lang_pred"] for r in language.identify(odd, language.train(docs.limit(0))).collect()} == {"und"}
+
+
+def test_pii(spark, odd):
+    text = "Mrs Anna Smith (anna.smith@mail.example.com, +1 (743) 555-3824, 743-555-3824) 10.2.3.44 4111111111111111 Anna Smith αβγ@δε.com"
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    a, b = pii.replace_pii(docs).orderBy("doc_id").collect()
+    assert a["text"] == b["text"] and not any(x in a["text"] for x in ("Anna", "anna.smith", "555-3824", "10.2.3.44", "4111111111111111", "αβγ"))
+    assert len(a["text"]) >= len(text) - 30
+    by = {}
+    for e in a["entities"]:
+        by.setdefault(e["type"], []).append(e["surrogate"])
+    assert by["phone"][0][-8:] == by["phone"][1][-8:] and pii.luhn(by["card"][0])
+    assert pii.surrogate_collisions(pii.replace_pii(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))).count() == 0
+    assert pii.replace_pii(odd).count() == odd.count()
+    maps = pii.Surrogates(b"k")
+    for n in (2, 3, 10, 97, 1000):
+        moved = [maps.moved(x, n, "t") for x in range(n)]
+        assert sorted(moved) == list(range(n)) and all(x != y for x, y in enumerate(moved))
+
+
+def test_decontamination(spark, odd):
+    def distance(a, b):  # least edit distance of a to any substring of b
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            row = _next(row, x, b, i)
+        return min(row)
+
+    def _next(row, x, b, i):
+        out = [i + 1]
+        for j, y in enumerate(b):
+            out.append(min(row[j] + (x != y), row[j + 1] + 1, out[j] + 1))
+        return out
+
+    item = "the quick brown fox jumps over the lazy dog and runs away from all the wolves of the forest"
+    texts = [item, "x " * 30 + item.replace("fox", "cow") + " y", item.upper(), item.replace("quick ", "").replace("lazy", "slow"), "nothing here", item.replace("brown", "bran")[:-2], item.replace(" ", "\n ")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")
+    got = {r["doc_id"]: r["distance"] for r in decontaminate.contaminated(docs, items, 0.1).collect()}
+    k = int(0.1 * len(item))
+    want = {i: d for i, t in enumerate(texts) if (d := distance(item, decontaminate.normal(t))) <= k}
+    assert got == want and len(want) > 3
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, items, 0.1).collect()) == [i for i in range(len(texts)) if i not in want]
+    assert decontaminate.contaminated(odd, items).count() == 0
+    assert decontaminate.decontaminate(odd, items).collect() == odd.collect()
+
+
+def test_toxicity(spark, odd):
+    import numpy as np
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = queries.op10_toxicity(spark, sf).join(labels, "doc_id").filter("held_out").collect()
+    right = sum(r["predicted"] == r["toxic"] for r in got) / len(got)
+    hit = [r["predicted"] for r in got if r["toxic"] == 1]
+    assert right > 0.95 and sum(hit) / len(hit) > 0.8
+    index = queries.toxic_index(spark, docs, labels)
+    rng = np.random.default_rng(3)
+    dense = np.zeros((len(index.ids), len(index.terms)))
+    for t in range(len(index.terms)):
+        own = slice(index.starts[t], index.starts[t + 1])
+        dense[index.example[own], t] = index.weight[own]
+    for _ in range(50):
+        t = np.sort(rng.choice(len(index.terms), min(4, len(index.terms)), replace=False))
+        w = rng.random(len(t))
+        e, s = index.nearest(t, w)
+        full = dense[:, t] @ w
+        assert np.allclose(s, np.sort(full[full > 0])[::-1][: index.k])
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, index).collect())
+    assert toxicity.score(odd, toxicity.train(docs.join(labels, "doc_id").limit(0))).count() == odd.count()
+
+
+def test_mix(spark, odd):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op1_source_mix(spark, sf).collect()
+    again = queries.op1_source_mix(spark, sf).collect()
+    assert sorted(got) == sorted(again) and len(got) == 1000
+    want = {r["doc_id"]: len(brute.words(r["text"])) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["size"] for r in got} == want
+    by = {}
+    for r in got:
+        x = by.setdefault(r["source"], [r["target"], 0, 0, r["source_size"]])
+        x[1], x[2] = x[1] + r["taken"], max(x[2], r["size"])
+        assert r["taken"] <= 3 * r["size"]
+    assert abs(sum(x[0] for x in by.values()) - sum(want.values())) < 1
+    assert all(abs(x[1] - x[0]) <= x[2] / 2 + 1 and x[0] <= 3 * x[3] + 1e-6 for x in by.values())
+    out = mixing.pareto_mix(odd).collect()
+    assert len(out) == odd.count() and mixing.pareto_mix(odd.limit(0)).count() == 0
+    liked = mixing.pareto_mix(spark.read.parquet(f"{sf}/documents.parquet"), preference=F.when(F.col("doc_id") % 40 < 20, 2.0).otherwise(1.0)).collect()
+    share = sum(r["taken"] for r in liked if r["doc_id"] % 40 < 20) / sum(r["size"] for r in liked if r["doc_id"] % 40 < 20)
+    assert share > sum(r["taken"] for r in liked if r["doc_id"] % 40 >= 20) / sum(r["size"] for r in liked if r["doc_id"] % 40 >= 20)
