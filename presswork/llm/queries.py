@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, pii, quality, secrets, toxicity
+from . import decontaminate, language, licenses, mixing, overlap, pii, quality, repeats, secrets, toxicity
 from .shared import table
 
 KEY = b"presswork surrogate key"
@@ -28,6 +28,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.select(F.col("path").alias("doc_id"), *map(count, base), F.sha2(secrets.spans_text(F.col("spans"), base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), n=20).drop("kept")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 3) == 1
@@ -75,6 +83,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), F.to_json("neighbours").alias("evidence"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_secret_scan, op5_language, op6_quality, op7_licenses, op8_surrogates, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_secret_scan, op3_jaccard_join, op4_repeats, op5_language, op6_quality, op7_licenses, op8_surrogates, op9_decontamination, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
