@@ -161,7 +161,7 @@ class Index:
         self.cuts, self.shares = edges, np.clip(np.array(shares), 0, 1)
 
 
-def train(labelled: DataFrame, k: int = 15, max_terms: int = 4_096, max_examples: int = 6_000, least_z: float = 4.0) -> Index:
+def train(labelled: DataFrame, k: int = 15, max_terms: int = 4_096, max_examples: int = 6_000, least_z: float = 5.0, least_rows: int = 5) -> Index:
     """labelled: doc_id, text, toxic (0 or 1). All rows count for document frequencies; a bounded sample becomes examples."""
     rows = labelled.filter("toxic is not null and doc_id is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -170,7 +170,7 @@ def train(labelled: DataFrame, k: int = 15, max_terms: int = 4_096, max_examples
     df = rows.mapInArrow(_document_counts, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     p = (F.col("t") + F.col("c")) / n
     z = (F.col("t") / max(1, n1) - F.col("c") / max(1, n0)) / F.sqrt(p * (1 - p + 1e-9) * (1 / max(1, n1) + 1 / max(1, n0)))
-    top = df.withColumn("z", F.abs(z)).filter((F.col("z") >= least_z) & (F.col("t") + F.col("c") >= 5)).orderBy(F.desc("z"), "h").limit(max_terms).collect()
+    top = df.withColumn("z", F.abs(z)).filter((F.col("z") >= least_z) & (F.col("t") + F.col("c") >= least_rows)).orderBy(F.desc("z"), "h").limit(max_terms).collect()
     top = sorted((int(np.int64(r["h"]).view(np.uint64)), r["t"] + r["c"]) for r in top)
     terms = np.array([h for h, _ in top], U64)
     idf = np.log((n + 1) / (np.array([d for _, d in top], float) + 0.5))
