@@ -97,15 +97,15 @@ def digest(s: np.ndarray) -> int:
 
 
 def points(docs: DataFrame, link: Link) -> DataFrame:
-    """doc_id, size, point (64-bit digest of the set), counts (64 int32): one row for each row of docs."""
+    """doc_id, text_key, size, point (64-bit digest of the set), counts (64 int32): one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             sets = token_sets(chunk, link)
             counts = [np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "size", "point", "counts"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "text_key", "size", "point", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, point long, counts binary")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, size long, point long, counts binary")
 
 
 def slab_values(sets: list[np.ndarray], link: Link) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +314,7 @@ def verified(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
                     ok.append(shared > 0 and link.den * shared >= link.num * (len(x) + len(y) - shared))
                 yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,14 +323,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
     Documents link if den * overlap >= num * union of their word n-grams. Ids must be integers.
     """
     link = Link(n, num, den)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     every = written(points(rows, link))
     ok = F.col("doc_id").isNotNull() & (F.col("size") > 0)
-    known = written(every.filter(ok).groupBy("point").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("counts").alias("counts")))
+    one = F.min(F.struct("doc_id", "text_key"))
+    known = written(every.filter(ok).groupBy("point").agg(one.alias("one"), F.max("size").alias("size"), F.max("counts").alias("counts")).select("point", F.col("one.doc_id").alias("rep"), F.col("one.text_key").alias("rep_key"), "size", "counts"))
     tree = written(nodes(rows, link))
     in_tree = written(tree.select("point").distinct().join(known, "point"))
-    # the texts of one document for each point in a node of several
-    texts = written(rows.join(in_tree.select("point", F.col("rep").alias("doc_id")), "doc_id").groupBy("point").agg(F.min("text").alias("text")))
+    # The texts of one document for each point in a node of several. They are merged by shuffling at every size: a
+    # broadcast of ids would only do for small tables, and a plan that changes with the size can't be judged on them.
+    wanted = in_tree.select("point", F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key"))
+    texts = written(rows.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("point", "text"))
     ends = in_tree.select("point", "size", "counts")
     a_side, b_side = (ends.select(*(F.col(c).alias(x if c == "point" else f"{c}_{x}") for c in ("point", "size", "counts"))) for x in "ab")
 
