@@ -130,7 +130,13 @@ def slab_values(sets: list[np.ndarray], link: Link) -> tuple[np.ndarray, np.ndar
         np.add.at(total, slab, mix(token + U64(0x51)))
     owner = np.repeat(row, k)
     number = np.arange(int(first[-1])) - np.repeat(first[:-1], k)
-    return owner, mix(total ^ mix(np.repeat(band, k).astype(U64) * U64(1 << 32) + number.astype(U64)))
+    # A pair meets in empty slabs alone only if each slab with a token has a difference. A set with more such slabs than
+    # differences it can have with any partner needn't be in empty slabs' nodes, which else would hold most sets.
+    full = total != 0
+    held = np.add.reduceat(full, first[:-1]) if len(k) else np.zeros(0, int)
+    own = size[row] * (link.den - link.num) // link.num
+    send = full | np.repeat(held <= own, k)
+    return owner[send], mix(total ^ mix(np.repeat(band, k).astype(U64) * U64(1 << 32) + number.astype(U64)))[send]
 
 
 SENT = pa.schema([("bucket", pa.int32()), ("points", pa.binary()), ("owners", pa.binary()), ("nodes", pa.binary())])
