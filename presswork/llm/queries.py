@@ -72,8 +72,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxic_index(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> toxicity.Index:
-    known = labels.filter(fold("doc_id", 4) != 2).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return toxicity.train(docs.select("doc_id", "text").join(known, "doc_id"))
+    known = labels.filter(fold("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return toxicity.train(docs, known)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

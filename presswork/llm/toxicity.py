@@ -1,13 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are words, lower-cased, that go with the label (a z-score of document frequencies); their IDF comes from all
+Terms are words, lower-cased, that go with the label (a z-score of document frequencies); their IDF comes from the
 labelled rows. Labelled examples become unit vectors in an inverted index whose posting lists are sorted by example and
 cut into blocks, each with its largest weight. A query walks blocks of examples; a block whose sum of maxima can't
 reach the k-th best cosine is skipped, all others are scored exactly, so the neighbours are those of a full scan.
 Neighbours vote with their cosine; the vote is turned into a score by a table of label shares fitted on labelled rows
 (each without itself), made monotone. The score carries the ids and cosines of the neighbours as evidence.
 
-Bounds: max_terms terms, max_examples examples (by hash of the id, toxic ones first). Null and empty texts and texts
+Bounds: max_rows labelled rows, max_terms terms, max_examples examples, all by hash of the id. Null and empty texts and texts
 without any term score the share of toxic ones among labelled rows without a term. Ties go to the smaller example.
 """
 
@@ -21,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 from .textvec import ALNUM, U64, Words, chunks
 
 BLOCK = 64
+#: Blocks that are scored before the others are held against the k-th best.
+FIRST_BLOCKS = 8
 
 
 def row_terms(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,32 +104,35 @@ class Index:
         for t, w in zip(terms, weights, strict=True):
             own = slice(self.block_starts[t], self.block_starts[t + 1])
             bound[self.block_of[own]] += w * self.block_max[own]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        self.blocks_seen += len(order)
-        best_e, best_s = np.zeros(0, int), np.zeros(0)
-        i, step = 0, 4
-        while i < len(order):
-            if len(best_s) >= self.k and bound[order[i]] < best_s[self.k - 1] - 1e-12:
-                break
-            part = order[i : i + step]
-            self.blocks_scored += len(part)
-            got = np.zeros((len(part), BLOCK))
-            for j, b in enumerate(part):
-                for t, w in zip(terms, weights, strict=True):
-                    lo = self.starts[t] + np.searchsorted(self.example[self.starts[t] : self.starts[t + 1]], [b * BLOCK, (b + 1) * BLOCK])
-                    got[j, self.example[lo[0] : lo[1]] - b * BLOCK] += w * self.weight[lo[0] : lo[1]]
-            e = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            s = got.ravel()
-            ok = s > 0
-            best_e, best_s = np.concatenate((best_e, e[ok])), np.concatenate((best_s, s[ok]))
-            if without is not None:
-                keep = np.array([self.ids[x] != without for x in best_e], bool)
-                best_e, best_s = best_e[keep], best_s[keep]
-            top = np.lexsort((best_e, -np.round(best_s, 12)))[: self.k]
-            best_e, best_s = best_e[top], best_s[top]
-            i, step = i + step, step * 2
-        return best_e, best_s
+        live = np.flatnonzero(bound > 0)
+        self.blocks_seen += len(live)
+        if not len(live):
+            return np.zeros(0, int), np.zeros(0)
+        first = live[np.argsort(-bound[live], kind="stable")[:FIRST_BLOCKS]]
+        e, s = self._scores(terms, weights, first, without)
+        if len(first) < len(live):
+            least = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) >= self.k else 0.0
+            rest = live[bound[live] >= least - 1e-12]  # the other blocks can't reach the k-th best
+            if len(rest) > len(first):
+                e, s = self._scores(terms, weights, rest, without)
+        top = np.lexsort((e, -np.round(s, 12)))[: self.k]
+        return e[top], s[top]
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, without: object) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of all examples of the blocks with a positive cosine."""
+        self.blocks_scored += len(blocks)
+        alive = np.zeros((len(self.ids) + BLOCK - 1) // BLOCK, bool)
+        alive[blocks] = True
+        total = np.zeros(len(self.ids))
+        for t, w in zip(terms, weights, strict=True):
+            own = slice(self.starts[t], self.starts[t + 1])
+            e = self.example[own]
+            ok = alive[e // BLOCK]
+            total[e[ok]] += w * self.weight[own][ok]
+        e = np.flatnonzero(total)
+        if without is not None:
+            e = e[[self.ids[x] != without for x in e]]
+        return e, total[e]
 
     def vote(self, e: np.ndarray, s: np.ndarray) -> float:
         """The share of toxic examples among the neighbours, weighted by cosine, over evidence of at least one full match."""
@@ -161,11 +167,20 @@ class Index:
         self.cuts, self.shares = edges, np.clip(np.array(shares), 0, 1)
 
 
-def train(labelled: DataFrame, k: int = 15, max_terms: int = 4_096, max_examples: int = 6_000, least_z: float = 5.0, least_rows: int = 5) -> Index:
-    """labelled: doc_id, text, toxic (0 or 1). All rows count for document frequencies; a bounded sample becomes examples."""
-    rows = labelled.filter("toxic is not null and doc_id is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = total.get(1, 0), total.get(0, 0)
+def train(docs: DataFrame, labels: DataFrame, k: int = 15, max_rows: int = 20_000, max_terms: int = 1_024, max_examples: int = 4_000, least_z: float = 5.0, least_rows: int = 5) -> Index:
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1), one row for each id.
+
+    About max_rows labelled rows, as many of either label as there are up to half, chosen by a hash of the id, count
+    for document frequencies; about max_examples of them become examples. That bound makes their ids fit to be broadcast.
+    """
+    known = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    half = {y: min(1.0, max_rows / 2 / max(1, total.get(y, 0))) for y in (0, 1)}
+    drawn = lambda share, salt: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(salt)), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * 1_000_000
+    known = written(known.filter(drawn(half, 3)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = counts.get(1, 0), counts.get(0, 0)
     n = max(1, n1 + n0)
     df = rows.mapInArrow(_document_counts, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     p = (F.col("t") + F.col("c")) / n
@@ -174,10 +189,9 @@ def train(labelled: DataFrame, k: int = 15, max_terms: int = 4_096, max_examples
     top = sorted((int(np.int64(r["h"]).view(np.uint64)), r["t"] + r["c"]) for r in top)
     terms = np.array([h for h, _ in top], U64)
     idf = np.log((n + 1) / (np.array([d for _, d in top], float) + 0.5))
-    share = {1: min(1.0, max_examples / 2 / max(1, n1)), 0: min(1.0, max_examples / 2 / max(1, n0))}
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1_000_000))
-    some = rows.filter(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * 1_000_000)
-    sent = labelled.sparkSession.sparkContext.broadcast((terms, idf))
+    share = {y: min(1.0, max_examples / 2 / max(1, c)) for y, c in ((1, n1), (0, n0))}
+    some = rows.filter(drawn(share, 7))
+    sent = docs.sparkSession.sparkContext.broadcast((terms, idf))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Index.build(*sent.value, [], k)
@@ -191,7 +205,7 @@ def train(labelled: DataFrame, k: int = 15, max_terms: int = 4_096, max_examples
     made = [(i, y, np.frombuffer(t, np.int32).astype(int), np.frombuffer(w)) for i, y, t, w in got]
     index = Index.build(terms, idf, [v for v in made if len(v[2])], k)
     # The sample has as many of either label as can be; votes and shares are weighed back to the true proportions.
-    back = {1: 1 / max(share[1], 1e-9), 0: 1 / max(share[0], 1e-9)}
+    back = {y: 1 / max(share[y] * half[y], 1e-9) for y in (0, 1)}
     votes, ys = [], []
     for i, y, t, w in made:
         votes.append(index.vote(*index.nearest(t, w, without=i)) if len(t) else -1.0)
