@@ -10,7 +10,7 @@ nodes are the values of a slab, a box without extent in its coordinates; a point
 point are dropped at once, which is where nearly all points go.
 Lower level: points of a node are packed into pages by size; a page has a box over 64 (coarse) coordinates. Pairs of
 pages, then of points, are dropped if the sum of coordinate minima of box corners, then of counts, is too low for a link.
-Surviving pairs are verified on the tokens of the texts.
+Surviving pairs are held against finer counts (groups in proportion to the size), then verified on the texts' tokens.
 
 Copies (equal sets) are one point. Large groups of near copies are not expanded to all pairs: two points of each node
 are its hubs, other points are first compared with hubs only; nodes whose points are then in one component are done,
@@ -300,6 +300,38 @@ def left_pairs(tree: DataFrame, labels: DataFrame, known: DataFrame, link: Link)
     return rows.repartition(n, "node", "p", "q").sortWithinPartitions("node", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
+def with_fine(texts: DataFrame, link: Link) -> DataFrame:
+    """point, text, fine: counts (uint16) of so many groups, a power of two, that a group has two to four tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            fine = []
+            for s in token_sets(chunk, link):
+                groups = max(GROUPS, 1 << max(0, (len(s) // 2).bit_length() - 1))
+                fine.append(np.bincount((s & U64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([chunk.column("point"), chunk.column("text"), pa.array(fine, pa.binary())], ["point", "text", "fine"])
+
+    return texts.select("point", "text").mapInArrow(run, "point long, text string, fine binary")
+
+
+def screened(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
+    """The pairs (a, b) that the sum of minima of their fine counts allows. A finer vector folds onto a coarser one."""
+    left = texts.select(F.col("point").alias("a"), F.col("fine").alias("fine_a"))
+    right = texts.select(F.col("point").alias("b"), F.col("fine").alias("fine_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64)
+                n = min(len(x), len(y))
+                low = np.minimum(x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)).sum()
+                ok.append(bool(low >= link.need(int(x.sum() + y.sum()))))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "fine_a", "fine_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
     """The pairs (a, b) of points whose texts' tokens link. texts: point, text."""
     left = texts.select(F.col("point").alias("a"), F.col("text").alias("text_a"))
@@ -339,7 +371,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
     # The texts of one document for each point in a node of several. They are merged by shuffling at every size: a
     # broadcast of ids would only do for small tables, and a plan that changes with the size can't be judged on them.
     wanted = in_tree.select("point", F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key"))
-    texts = written(rows.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("point", "text"))
+    texts = written(rows.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("point", "text").transform(with_fine, link))
     ends = in_tree.select("point", "size", "counts")
     a_side, b_side = (ends.select(*(F.col(c).alias(x if c == "point" else f"{c}_{x}") for c in ("point", "size", "counts"))) for x in "ab")
 
@@ -347,12 +379,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
     stars = tree.join(hubs, "node").select("point", F.explode(F.array("hub1.point", "hub2.point")).alias("hub")).filter("point <> hub")
     stars = stars.select(F.least("point", "hub").alias("a"), F.greatest("point", "hub").alias("b")).distinct()
     sized = stars.join(a_side, "a").join(b_side, "b").filter((F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num))
-    first = written(verified(bounded(sized, link), texts, link))
+    first = written(verified(screened(bounded(sized, link), texts, link), texts, link))
     labels = components(first)
     left = written(left_pairs(tree, labels, ends, link))
     links = first
     if not left.isEmpty():
-        second = written(verified(left, texts, link))
+        second = written(verified(screened(left, texts, link), texts, link))
         if not second.isEmpty():
             links = first.union(second).distinct()
             labels = components(links)
