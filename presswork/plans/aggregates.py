@@ -8,7 +8,6 @@ from pyspark.sql.window import Window as W
 from .articles import ART, ENT, SCO, articles, entities, scores
 from .registry import query
 
-COUNT = F.count("*")
 
 
 def day(c="published"):
@@ -17,22 +16,22 @@ def day(c="published"):
 
 @query("SELECT coalesce(nullif(source, ''), 'Unknown') AS source, count(*) AS n FROM documents GROUP BY 1")
 def A1_count_by_source(t):
-    return t.documents.groupBy(F.coalesce(F.nullif("source", F.lit("")), F.lit("Unknown")).alias("source")).agg(COUNT.alias("n"))
+    return t.documents.groupBy(F.coalesce(F.nullif("source", F.lit("")), F.lit("Unknown")).alias("source")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS n FROM documents")
 def A2_total(t):
-    return t.documents.agg(COUNT.alias("n"))
+    return t.documents.agg(F.count("*").alias("n"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1")
 def A3_daily_counts(t):
-    return t.events.filter("ts is not null").groupBy(day("ts")).agg(COUNT.alias("n"))
+    return t.events.filter("ts is not null").groupBy(day("ts")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type AS source, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def A4_source_by_day(t):
-    return t.events.groupBy(F.col("event_type").alias("source"), day("ts")).agg(COUNT.alias("n"))
+    return t.events.groupBy(F.col("event_type").alias("source"), day("ts")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT source FROM documents")
@@ -50,7 +49,7 @@ AXES = ("dl", "dc", "dr", "gl", "gm", "gh")
 
 @query(f"WITH {SCO} SELECT source, strftime(published, '%Y-%m-%d') AS day, {', '.join(f'round(coalesce(avg({c}), 0), 6) AS {c}' for c in AXES)}, count(*) AS n FROM scores GROUP BY 1, 2")
 def A6_bias_by_source_and_day(t):
-    return scores(t).groupBy("source", day()).agg(*(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in AXES), COUNT.alias("n"))
+    return scores(t).groupBy("source", day()).agg(*(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in AXES), F.count("*").alias("n"))
 
 
 @query(f"WITH {SCO} SELECT source, dayofweek(published) + 1 AS dow, dayname(published) AS dow_name, {', '.join(f'round(avg({c}), 6) AS {c}' for c in AXES[:3])} FROM scores GROUP BY 1, 2, 3")
@@ -60,7 +59,7 @@ def A7_bias_by_weekday(t):
 
 @query(f"WITH {SCO} SELECT {', '.join(f'round(avg({c}), 6) AS {c}' for c in AXES)} FROM scores HAVING count(*) > 0")
 def A8_overall_bias(t):
-    return scores(t).agg(*(F.round(F.avg(c), 6).alias(c) for c in AXES), COUNT.alias("n")).filter("n > 0").drop("n")
+    return scores(t).agg(*(F.round(F.avg(c), 6).alias(c) for c in AXES), F.count("*").alias("n")).filter("n > 0").drop("n")
 
 
 @query("SELECT strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events")
@@ -73,7 +72,7 @@ STATUS = "CASE WHEN dl >= 0.5 THEN 'LEFT' WHEN dr >= 0.5 THEN 'RIGHT' WHEN dc >=
 
 @query(f"WITH {SCO}, days AS (SELECT source, strftime(published, '%Y-%m-%d') AS day, avg(dl) AS dl, avg(dc) AS dc, avg(dr) AS dr, count(*) AS n FROM scores GROUP BY 1, 2), s AS (SELECT source, avg(dl) AS dl, avg(dc) AS dc, avg(dr) AS dr, CAST(sum(n) AS BIGINT) AS n FROM days GROUP BY 1) SELECT source, round(dl, 3) AS dl, round(dc, 3) AS dc, round(dr, 3) AS dr, n, {STATUS} AS status FROM s")
 def A10_source_summary(t):
-    days = scores(t).groupBy("source", day()).agg(*(F.avg(c).alias(c) for c in ("dl", "dc", "dr")), COUNT.alias("n"))
+    days = scores(t).groupBy("source", day()).agg(*(F.avg(c).alias(c) for c in ("dl", "dc", "dr")), F.count("*").alias("n"))
     one = days.groupBy("source").agg(*(F.avg(c).alias(c) for c in ("dl", "dc", "dr")), F.sum("n").alias("n"))
     status = F.when(F.col("dl") >= 0.5, "LEFT").when(F.col("dr") >= 0.5, "RIGHT").when(F.col("dc") >= 0.5, "CENTER").otherwise("NEUTRAL")
     return one.select("source", *(F.round(c, 3).alias(c) for c in ("dl", "dc", "dr")), "n", status.alias("status"))
@@ -81,7 +80,7 @@ def A10_source_summary(t):
 
 @query(f"WITH {ENT} SELECT label, text, count(DISTINCT id) AS n FROM ent GROUP BY 1, 2")
 def A11_entity_document_frequency(t):
-    return entities(t).select(F.explode(F.array_distinct("entities")).alias("e")).groupBy("e.label", "e.text").agg(COUNT.alias("n"))
+    return entities(t).select(F.explode(F.array_distinct("entities")).alias("e")).groupBy("e.label", "e.text").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {ENT} SELECT id, label, string_agg(DISTINCT text, ', ' ORDER BY text) AS names FROM ent GROUP BY 1, 2")
@@ -93,23 +92,23 @@ def A12_entities_by_label(t):
 @query("SELECT user_id, max_by(event_type, event_id) AS label, count(*) FILTER (WHERE value > 60) AS positive, count(*) FILTER (WHERE value < 20) AS negative, count(*) FILTER (WHERE NOT (value > 60 OR value < 20)) AS indifferent, count(*) AS total FROM events GROUP BY 1")
 def A13_sentiment_roll_up(t):
     v = F.col("value")
-    return t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("label"), F.count_if(v > 60).alias("positive"), F.count_if(v < 20).alias("negative"), F.count_if(~((v > 60) | (v < 20))).alias("indifferent"), COUNT.alias("total"))
+    return t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("label"), F.count_if(v > 60).alias("positive"), F.count_if(v < 20).alias("negative"), F.count_if(~((v > 60) | (v < 20))).alias("indifferent"), F.count("*").alias("total"))
 
 
 @query(f"WITH {ENT} SELECT id, text, count(*) AS n FROM ent GROUP BY 1, 2")
 def A14_entity_counts(t):
-    return entities(t).select("id", F.explode("entities.text").alias("text")).groupBy("id", "text").agg(COUNT.alias("n"))
+    return entities(t).select("id", F.explode("entities.text").alias("text")).groupBy("id", "text").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS n, CAST(count(*) FILTER (WHERE quality = 1) AS BIGINT) AS matches, round(avg(abs(quality - toxic)), 6) AS mae FROM labels")
 def A19_model_comparison(t):
-    return t.labels.agg(COUNT.alias("n"), F.count_if(F.col("quality") == 1).alias("matches"), F.round(F.avg(F.abs(F.col("quality") - F.col("toxic"))), 6).alias("mae"))
+    return t.labels.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("matches"), F.round(F.avg(F.abs(F.col("quality") - F.col("toxic"))), 6).alias("mae"))
 
 
 @query("SELECT count(*) FILTER (WHERE abs(l_discount - l_tax) <= 0.05) AS matches, count(*) FILTER (WHERE abs(l_discount - l_tax) > 0.05) AS mismatches, round(count(*) FILTER (WHERE abs(l_discount - l_tax) <= 0.05) / nullif(count(*), 0), 6) AS rate FROM lineitem")
 def A20_validation(t):
     ok = F.abs(F.col("l_discount") - F.col("l_tax")) <= 0.05
-    return t.lineitem.agg(F.count_if(ok).alias("matches"), F.count_if(~ok).alias("mismatches"), F.round(F.try_divide(F.count_if(ok), COUNT), 6).alias("rate"))
+    return t.lineitem.agg(F.count_if(ok).alias("matches"), F.count_if(~ok).alias("mismatches"), F.round(F.try_divide(F.count_if(ok), F.count("*")), 6).alias("rate"))
 
 
 @query("SELECT round(avg(CASE WHEN quality IS NOT DISTINCT FROM toxic THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM documents LEFT JOIN labels USING (doc_id)")
@@ -120,7 +119,7 @@ def A21_accuracy(t):
 
 @query("SELECT count(*) AS n, count(text) AS with_text, count(*) FILTER (WHERE n_chars < 500) AS short, round(avg(n_chars), 4) AS mean_chars, min(n_chars) AS least, max(n_chars) AS most FROM documents")
 def A24_dataset_statistics(t):
-    return t.documents.agg(COUNT.alias("n"), F.count("text").alias("with_text"), F.count_if(F.col("n_chars") < 500).alias("short"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    return t.documents.agg(F.count("*").alias("n"), F.count("text").alias("with_text"), F.count_if(F.col("n_chars") < 500).alias("short"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 
 
 @query("SELECT user_id AS run, min(ts) AS started, min_by(event_type, event_id) AS first_event, CAST(count(*) FILTER (WHERE event_type <> 'purchase') AS BIGINT) AS metrics, max_by(value, event_id) FILTER (WHERE event_type = 'purchase') AS last_value FROM events GROUP BY 1")
@@ -142,12 +141,12 @@ def A31_count_prefixed_lines(t):
 
 @query("SELECT event_type AS status, count(*) AS n, round(sum(value), 4) AS seconds FROM events GROUP BY 1")
 def A32_run_statistics(t):
-    return t.events.groupBy(F.col("event_type").alias("status")).agg(COUNT.alias("n"), F.round(F.sum("value"), 4).alias("seconds"))
+    return t.events.groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("seconds"))
 
 
 @query("SELECT source, round(n / max(n) OVER (), 6) AS heat FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
 def A33_heat(t):
-    n = t.documents.groupBy("source").agg(COUNT.alias("n"))
+    n = t.documents.groupBy("source").agg(F.count("*").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.max("n").alias("most")))).select("source", F.round(F.col("n") / F.col("most"), 6).alias("heat"))
 
 
@@ -155,7 +154,7 @@ def A33_heat(t):
 def A23_sequential_quota(t):
     from ..operators.bias import allocate
 
-    bins = t.events.groupBy(F.col("event_type").alias("kind")).agg(COUNT.alias("avail"))
+    bins = t.events.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("avail"))
     return allocate(bins, "kind", "avail", least=10, total=200).select("kind", "quota")
 
 

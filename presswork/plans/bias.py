@@ -9,20 +9,26 @@ from .articles import SCO, scores
 from .registry import query
 
 C = F.col
-DIR = {"L": C("dl"), "C": C("dc"), "R": C("dr")}
-DEG = {"L": C("gl"), "M": C("gm"), "H": C("gh")}
 DIRQ = "CASE WHEN dl >= greatest(dc, dr) THEN 'L' WHEN dc >= dr THEN 'C' ELSE 'R' END"
 DEGQ = "CASE WHEN gl >= greatest(gm, gh) THEN 'L' WHEN gm >= gh THEN 'M' ELSE 'H' END"
 
 
+def dirs():
+    return {"L": C("dl"), "C": C("dc"), "R": C("dr")}
+
+
+def degs():
+    return {"L": C("gl"), "M": C("gm"), "H": C("gh")}
+
+
 @query(f"WITH {SCO} SELECT id, {DIRQ} AS dir, {DEGQ} AS deg FROM scores")
 def F25_dominant_keys(t):
-    return scores(t).select("id", b.dominant(DIR).alias("dir"), b.dominant(DEG).alias("deg"))
+    return scores(t).select("id", b.dominant(dirs()).alias("dir"), b.dominant(degs()).alias("deg"))
 
 
 @query(f"WITH {SCO} SELECT id, round(least(1, greatest(0, (greatest(dl, dc, dr) + greatest(gl, gm, gh)) / 2)), 6) AS a, round(least(1, (greatest(dl, dc, dr) - (dl + dc + dr) / 3 + greatest(gl, gm, gh) - (gl + gm + gh) / 3) / 2), 6) AS b FROM scores")
 def F39_confidence(t):
-    x, y = list(DIR.values()), list(DEG.values())
+    x, y = list(dirs().values()), list(degs().values())
     return scores(t).select("id", F.round(b.confidence_mean_of_max(x, y), 6).alias("a"), F.round(b.confidence_above_mean(x, y), 6).alias("b"))
 
 
@@ -45,19 +51,19 @@ def F43_score_and_colour(t):
 
 @query(f"WITH {SCO} SELECT {DIRQ} AS dir, {DEGQ} AS deg, count(*) AS n, round(avg(dl), 6) AS dl, round(avg(gh), 6) AS gh FROM scores GROUP BY 1, 2")
 def A18_batch_statistics(t):
-    return scores(t).groupBy(b.dominant(DIR).alias("dir"), b.dominant(DEG).alias("deg")).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("dl"), F.round(F.avg("gh"), 6).alias("gh"))
+    return scores(t).groupBy(b.dominant(dirs()).alias("dir"), b.dominant(degs()).alias("deg")).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("dl"), F.round(F.avg("gh"), 6).alias("gh"))
 
 
 @query(f"WITH {SCO} SELECT {DIRQ} || '-' || {DEGQ} AS bucket, count(*) AS n FROM scores WHERE greatest(dl, dc, dr) >= 0.5 GROUP BY 1")
 def A22_bucket_counts(t):
-    bucket = F.concat_ws("-", b.dominant(DIR), b.dominant(DEG))
-    return scores(t).filter(F.greatest(*DIR.values()) >= 0.5).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    bucket = F.concat_ws("-", b.dominant(dirs()), b.dominant(degs()))
+    return scores(t).filter(F.greatest(*dirs().values()) >= 0.5).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SCO} SELECT count(*) FILTER (WHERE abs(dl + dc + dr - 1) > 0.1) AS dir_errors, count(*) FILTER (WHERE abs(gl + gm + gh - 1) > 0.1) AS deg_errors, count(*) AS n FROM scores")
 def A29_axis_sums(t):
     off = lambda x: F.count_if(F.abs(sum(x.values(), F.lit(0.0)) - 1) > 0.1)
-    return scores(t).agg(off(DIR).alias("dir_errors"), off(DEG).alias("deg_errors"), F.count("*").alias("n"))
+    return scores(t).agg(off(dirs()).alias("dir_errors"), off(degs()).alias("deg_errors"), F.count("*").alias("n"))
 
 
 @query(f"WITH {SCO}, b AS (SELECT source, count(*) AS avail FROM scores GROUP BY 1), q AS (SELECT source, least(avail, 50) + greatest(0, least(avail - least(avail, 50), 500 - sum(least(avail, 50)) OVER () - coalesce(sum(avail - least(avail, 50)) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS quota FROM b) SELECT source, CAST(quota AS BIGINT) AS n FROM q")

@@ -8,7 +8,6 @@ from ..functions import text as x
 from ..operators import boilerplate as bp
 from .registry import query
 
-TEXT = F.col("text")
 LINES = "lines AS (SELECT doc_id AS id, source, pos, line, regexp_replace(lower(regexp_replace(line, '^\\s+|\\s+$', '', 'g')), '[^a-zA-Z0-9]', '', 'g') AS norm FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents))"
 REP = f"{LINES}, rep AS (SELECT source, norm, count(DISTINCT id) AS n_docs FROM lines WHERE length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) >= 10 AND length(norm) >= 5 GROUP BY 1, 2 HAVING count(DISTINCT id) > 1)"
 HIT = "marked AS (SELECT l.id, l.source, l.pos, l.line, r.norm IS NOT NULL AS hit FROM lines l LEFT JOIN rep r ON l.source = r.source AND l.norm = r.norm AND length(regexp_replace(l.line, '^\\s+|\\s+$', '', 'g')) >= 10)"
@@ -38,12 +37,12 @@ CLEAN = f"regexp_replace(regexp_replace(array_to_string(list_filter(string_split
 
 @query(f"SELECT doc_id, {CLEAN} AS cleaned FROM documents")
 def F11_clean_article(t):
-    return t.documents.select("doc_id", x.clean_article(TEXT).alias("cleaned"))
+    return t.documents.select("doc_id", x.clean_article(F.col("text")).alias("cleaned"))
 
 
 @query(f"SELECT count(*) AS docs, count(*) FILTER (WHERE cleaned <> text) AS modified, count(*) FILTER (WHERE text = '') AS empty, CAST(sum(length(text) - length(cleaned)) AS BIGINT) AS saved, round(100.0 * sum(length(text) - length(cleaned)) / sum(length(text)), 4) AS percent FROM (SELECT text, {CLEAN} AS cleaned FROM documents)")
 def A17_cleaning_report(t):
-    c = t.documents.select("text", x.clean_article(TEXT).alias("cleaned"))
+    c = t.documents.select("text", x.clean_article(F.col("text")).alias("cleaned"))
     saved = F.sum(F.length("text") - F.length("cleaned"))
     return c.agg(F.count("*").alias("docs"), F.count_if(F.col("cleaned") != F.col("text")).alias("modified"), F.count_if(F.col("text") == "").alias("empty"), saved.alias("saved"), F.round(100.0 * saved / F.sum(F.length("text")), 4).alias("percent"))
 
@@ -83,13 +82,13 @@ def F17_escaped_html(t):
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, chr(10), ' '), '[^a-zA-Z0-9 .,!?-]', '', 'g'), ' +', ' ', 'g')) AS spoken FROM documents")
 def F18_speech_text(t):
-    c = F.regexp_replace(F.regexp_replace(F.replace(TEXT, F.lit("\n"), F.lit(" ")), "[^a-zA-Z0-9 .,!?-]", ""), " +", " ")
+    c = F.regexp_replace(F.regexp_replace(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), "[^a-zA-Z0-9 .,!?-]", ""), " +", " ")
     return t.documents.select("doc_id", F.trim(c).alias("spoken"))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS n FROM documents")
 def F19_sentence_count(t):
-    return t.documents.select("doc_id", F.size(x.sentences(TEXT)).cast("long").alias("n"))
+    return t.documents.select("doc_id", F.size(x.sentences(F.col("text"))).cast("long").alias("n"))
 
 
 @query("SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+') AS people FROM documents")
@@ -103,7 +102,7 @@ def _count(words):
 
 @query(f"SELECT doc_id, CASE WHEN p > q THEN 'positive' WHEN q > p THEN 'negative' ELSE 'neutral' END AS tone FROM (SELECT doc_id, {_count(x.POSITIVE)} AS p, 20 * ({_count(x.NEGATIVE)}) AS q FROM documents)")
 def F21_lexicon_sentiment(t):
-    p, q = x.occurrences(TEXT, x.POSITIVE), 20 * x.occurrences(TEXT, x.NEGATIVE)
+    p, q = x.occurrences(F.col("text"), x.POSITIVE), 20 * x.occurrences(F.col("text"), x.NEGATIVE)
     return t.documents.select("doc_id", F.when(p > q, "positive").when(q > p, "negative").otherwise("neutral").alias("tone"))
 
 
@@ -113,7 +112,7 @@ def _present(words):
 
 @query(f"SELECT doc_id, CAST({_present(x.LEFT)} AS BIGINT) AS l, CAST({_present(x.RIGHT)} AS BIGINT) AS r FROM documents")
 def F22_keyword_bias(t):
-    return t.documents.select("doc_id", x.present(TEXT, x.LEFT).cast("long").alias("l"), x.present(TEXT, x.RIGHT).cast("long").alias("r"))
+    return t.documents.select("doc_id", x.present(F.col("text"), x.LEFT).cast("long").alias("l"), x.present(F.col("text"), x.RIGHT).cast("long").alias("r"))
 
 
 @query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'brass') THEN 'gold' WHEN contains(lower(p_type), 'steel') THEN 'gray' WHEN contains(lower(p_type), 'promo') THEN 'red' ELSE 'blue' END AS colour FROM part")
@@ -125,7 +124,7 @@ def F23_colour_rules(t):
 
 @query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS head FROM documents")
 def F24_truncated(t):
-    return t.documents.select("doc_id", x.truncate(TEXT, 60).alias("head"))
+    return t.documents.select("doc_id", x.truncate(F.col("text"), 60).alias("head"))
 
 
 @query("SELECT 'Summarise (' || role || '): ' || text AS prompt, conv_id, turn FROM conversations")
@@ -135,12 +134,12 @@ def F28_prompts(t):
 
 @query("SELECT doc_id, list_transform(range(0, greatest(1, CAST(ceil(length(text) / 1000.0) AS BIGINT))), lambda i: substr(text, i * 1000 + 1, 1000)) AS pieces FROM documents")
 def F29_pieces(t):
-    return t.documents.select("doc_id", x.pieces(TEXT, 1000).alias("pieces"))
+    return t.documents.select("doc_id", x.pieces(F.col("text"), 1000).alias("pieces"))
 
 
 @query("SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS words FROM benchmark")
 def F30_tokens(t):
-    return t.benchmark.select("item_id", x.tokens(TEXT).alias("words"))
+    return t.benchmark.select("item_id", x.tokens(F.col("text")).alias("words"))
 
 
 @query("SELECT event_id, CASE WHEN s < 3600 THEN s // 60 || ' min ago' WHEN s < 86400 THEN s // 3600 || ' h ago' ELSE s // 86400 || ' d ago' END AS label FROM (SELECT event_id, CAST(epoch(TIMESTAMP '2024-02-01') - epoch(date_trunc('second', ts)) AS BIGINT) AS s FROM events)")
@@ -183,7 +182,7 @@ def F40_human_bytes(t):
 
 @query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace('```json' || chr(10) || text || chr(10) || '```', '^```[a-z]*\\n', ''), '\\n```\\s*$', '')) AS body FROM conversations")
 def F52_without_fences(t):
-    fenced = F.concat(F.lit("```json\n"), TEXT, F.lit("\n```"))
+    fenced = F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))
     return t.conversations.select("conv_id", "turn", F.trim(F.regexp_replace(F.regexp_replace(fenced, r"^```[a-z]*\n", ""), r"\n```\s*\z", "")).alias("body"))
 
 
