@@ -33,7 +33,7 @@ _OF = {c: a for a in ALPHABETS for c in a}
 _TITLES = {"Mr": MALE, "Herr": MALE, "Monsieur": MALE, "Señor": MALE, "Mrs": FEMALE, "Ms": FEMALE, "Frau": FEMALE, "Madame": FEMALE, "Señora": FEMALE}
 #: What is found, first match first where spans overlap.
 PATTERNS = (
-    ("email", r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.\w{2,}"),
+    ("email", r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.\w{2,}"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),

@@ -29,8 +29,8 @@ EXTRA_RULES = (
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     ("forge", r"\bgh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
-    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    ("userinfo", r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]{6,}@", 0, 1),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("userinfo", r"(?<![A-Za-z0-9_+.-])[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]{6,}@", 0, 1),
 )
 RULES = BASE_RULES + EXTRA_RULES
 #: The rule version is an address of the rules, so a changed rule is scanned anew by itself.

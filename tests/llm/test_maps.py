@@ -1,5 +1,7 @@
 """Operators that look at one document at a time, against brute force and on odd inputs."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,10 @@ def test_mix(spark, odd):
     liked = mixing.pareto_mix(spark.read.parquet(f"{sf}/documents.parquet"), preference=F.when(F.col("doc_id") % 40 < 20, 2.0).otherwise(1.0)).collect()
     share = sum(r["taken"] for r in liked if r["doc_id"] % 40 < 20) / sum(r["size"] for r in liked if r["doc_id"] % 40 < 20)
     assert share > sum(r["taken"] for r in liked if r["doc_id"] % 40 >= 20) / sum(r["size"] for r in liked if r["doc_id"] % 40 >= 20)
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "a.b-" * 75_000, "eyJaaaaaaaa-" * 25_000 + "://", "a@b." * 75_000, "Mr Aa" * 60_000])
+def test_patterns_are_linear_on_unbroken_texts(text):
+    start = time.process_time()
+    pii.detect(text), secrets.find_secrets(text)
+    assert time.process_time() - start < 20
