@@ -37,3 +37,86 @@ def lenient(raw: Column) -> Column:
     got = F.regexp_extract_all(raw, F.lit(r'"[LCRMH]"\s*:\s*([0-9.]+)'), F.lit(1))
     at = lambda i: F.get(got, i).cast("double")
     return F.when(F.size(got) >= 6, F.struct(*(at(i).alias(n) for i, n in enumerate(("dir_l", "dir_c", "dir_r", "deg_l", "deg_m", "deg_h")))))
+
+
+#: Other names of keys and fields, in the order in which they are tried.
+DIR_KEYS = {"L": ("left", "l", "LEFT", "Left"), "C": ("center", "c", "CENTER", "Center", "centre"), "R": ("right", "r", "RIGHT", "Right")}
+DEG_KEYS = {"L": ("low", "l", "LOW", "Low"), "M": ("medium", "m", "MEDIUM", "Medium", "moderate"), "H": ("high", "h", "HIGH", "High", "heavy")}
+DIR_FIELDS = ("direction", "bias_dir", "political_dir", "orientation")
+DEG_FIELDS = ("degree", "bias_deg", "intensity", "strength")
+REASON_FIELDS = ("explanation", "rationale", "analysis", "why", "justification")
+
+
+def normalise_keys(raw: Column) -> Column:
+    """dir, deg, reason in JSON with their usual names (F48). Keys under another field name stay as they are; a field
+    that is there under its own name wins. Null if raw isn't an object."""
+    fields = (*("dir", *DIR_FIELDS), *("deg", *DEG_FIELDS))
+    x = F.from_json(raw, ", ".join(f"{f} map<string, double>" for f in fields) + ", " + ", ".join(f"{f} string" for f in ("reason", *REASON_FIELDS)))
+
+    def axis(own: Column, keys: dict[str, tuple[str, ...]]) -> Column:
+        last = lambda k: F.try_element_at(F.filter(F.map_entries(own), lambda e: e["key"].isin(k, *keys[k])), F.lit(-1))["value"]
+        return F.when(own.isNotNull(), F.struct(*(last(k).alias(k) for k in keys)))
+
+    def other(names: tuple[str, ...], keys: dict[str, tuple[str, ...]]) -> list[Column]:
+        return [F.when(x[n].isNotNull(), F.struct(*(F.try_element_at(x[n], F.lit(k)).alias(k) for k in keys))) for n in names]
+
+    dirs = F.coalesce(axis(x["dir"], DIR_KEYS), *other(DIR_FIELDS, DIR_KEYS))
+    degs = F.coalesce(axis(x["deg"], DEG_KEYS), *other(DEG_FIELDS, DEG_KEYS))
+    reason = F.coalesce(x["reason"], *(x[n] for n in REASON_FIELDS))
+    return F.when(F.try_parse_json(raw).isNotNull() & F.startswith(F.ltrim(raw), F.lit("{")), F.to_json(F.struct(dirs.alias("dir"), degs.alias("deg"), reason.alias("reason"))))
+
+
+def final_json(text: Column) -> Column:
+    """The last balanced object or array (F51), found backwards from the last closing brace or bracket; braces in strings
+    count too. Null if there is none."""
+    tail = F.reverse(F.regexp_extract(text, r"(?s)^.*[}\]]", 0))
+    close = F.substring(tail, 1, 1)
+    start = F.when(close == "}", "{").otherwise("[")
+    depths = F.aggregate(F.split(tail, ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, c: F.struct((s["depth"] + F.when(c == close, 1).when(c == start, -1).otherwise(0)).alias("depth"), (s["n"] + 1).alias("n"), F.when((s["end"] == 0) & (c == start) & (s["depth"] == 1), s["n"] + 1).otherwise(s["end"]).alias("end")))
+    return F.when(tail != "", F.when(depths["end"] > 0, F.reverse(F.substr(tail, F.lit(1), depths["end"]))))
+
+
+def first_object(text: Column) -> Column:
+    """The first object with at most one level of objects in it (F53); null if there is none."""
+    return F.nullif(F.regexp_extract(text, r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", 0), F.lit(""))
+
+
+def outer_array(text: Column) -> Column:
+    """From the first [ to the last ] (F54); null if there is none."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit(""))
+
+
+def _named(x: Column, axis: str, names: dict[str, str]) -> tuple[Column, Column]:
+    """The name and the value of the largest; the first of equals."""
+    values = [x[axis][k] for k in names]
+    most = F.greatest(*values)
+    name = F.lit("Unknown")
+    for k in reversed(names):
+        name = F.when(x[axis][k] == most, names[k]).otherwise(name)
+    return name, most
+
+
+DIRECTIONS = {"L": "Left", "C": "Center", "R": "Right"}
+DEGREES = {"L": "Low", "M": "Medium", "H": "High"}
+
+
+def confidence(x: Column) -> Column:
+    """The mean over both axes of how far the largest is above the mean."""
+    above = lambda axis, keys: F.greatest(*(x[axis][k] for k in keys)) - sum((x[axis][k] for k in keys[1:]), x[axis][keys[0]]) / 3
+    return (above("dir", "LCR") + above("deg", "LMH")) / 2
+
+
+def formatted(record: Column, style: str = "json") -> Column:
+    """A record of canonical JSON as JSON of style json, compact or text (F56); null if it isn't one."""
+    x = F.from_json(record, SHAPE)
+    (d, d_most), (g, g_most) = _named(x, "dir", DIRECTIONS), _named(x, "deg", DEGREES)
+    reason = x["reason"]
+    if style == "compact":
+        out = F.struct(d.alias("direction"), g.alias("degree"), F.when(F.length(reason) > 100, F.concat(F.substring(reason, 1, 100), F.lit("..."))).otherwise(reason).alias("reason"))
+    elif style == "text":
+        percent = lambda v: F.concat(F.lit(" ("), F.round(v * 100, 1).cast("string"), F.lit("%)"))
+        text = F.concat(F.lit("Political Bias Analysis\n========================\nDirection: "), d, percent(d_most), F.lit("\nDegree: "), g, percent(g_most), F.format_string("\nConfidence: %.1f%%\n\nReasoning:\n", confidence(x) * 100), reason)
+        out = F.struct(text.alias("text"), d.alias("direction"), g.alias("degree"))
+    else:
+        out = F.struct(x["dir"].alias("dir"), x["deg"].alias("deg"), reason.alias("reason"), d.alias("dominant_direction"), g.alias("dominant_degree"), F.round(confidence(x), 3).alias("confidence"))
+    return F.when(canonical(record).isNotNull(), F.to_json(out))

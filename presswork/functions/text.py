@@ -80,3 +80,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def rolling_hash(c: Column) -> Column:
+    """31 h + code, in 32 bits, as hex (F27); negative ones with their sign, as hex of a signed number has it."""
+    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), F.ascii)
+    h = F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: F.pmod(s * 31 + x, F.lit(1 << 32)))
+    return F.when(h >= 1 << 31, F.concat(F.lit("-"), F.lower(F.hex(F.lit(1 << 32) - h)))).otherwise(F.lower(F.hex(h)))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..streaming.run import drain, open_stream
+from ..streaming.run import cache_hits, changes_only, drain, open_stream
 from .registry import query
 
 
@@ -41,3 +42,20 @@ def X2_duplicates_dropped(t):
 @query("SELECT event_id, event_type FROM events WHERE value >= 50")
 def X1_micro_batch_ingest(t):
     return drain(events(t).filter("value >= 50").select("event_id", "event_type"), "append")
+
+
+@query("SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS second, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) WHERE event_type IS DISTINCT FROM prev")
+def X3_changed_captions(t):
+    return drain(changes_only(events(t), "user_id", "ts", "event_type"), "append").select("user_id", F.col("ts").cast("long").alias("second"), "event_type")
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 60")
+def X5_last_points(t):
+    """The last 60 points of each user; ranks are cut at 60 in each task before rows move."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return drain(events(t).select("user_id", "event_id", "ts", "value"), "append").withColumn("r", rank).filter("r <= 60").select("user_id", "event_id", "value")
+
+
+@query()
+def X6_cache_hits(t):
+    return drain(cache_hits(events(t), "user_id", "ts", 86_400), "append").select("user_id", F.col("ts").cast("long").alias("second"), "hit")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -68,3 +69,76 @@ def categories(spark: SparkSession, path: str) -> DataFrame:
     shape = "categories array<struct<category_id: int, category_name: string, articles: array<struct<article_id: string, title: string>>>>"
     each = spark.read.schema(shape).json(path, multiLine=True).select(F.explode("categories").alias("c"))
     return each.select("c.category_id", "c.category_name", F.explode("c.articles").alias("a")).select("category_id", "category_name", "a.*")
+
+
+def kill_rules(spark: SparkSession, path: str) -> DataFrame:
+    """source, pattern of a rule list (S2), where a dot matches newlines too: as for feeds, and a later source wins."""
+    return feeds(spark, path).select(F.col("name").alias("source"), F.concat(F.lit("(?s)"), "url").alias("pattern"))
+
+
+def agent_stats(spark: SparkSession, path: str) -> DataFrame:
+    """agent, success, failure (S22); lines with fewer fields go, what isn't a number counts as 0."""
+    parts = F.split("value", "\t", 3)
+    number = lambda i: F.coalesce(F.get(parts, F.lit(i)).try_cast("long"), F.lit(0)).alias(("", "success", "failure")[i])
+    return _lines(spark, path).filter(F.size(parts) == 3).select(parts[0].alias("agent"), number(1), number(2))
+
+
+def training_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(article, label) of a JSON array, and (entry, error) of what isn't valid (S10). The caller decides if none is an error."""
+    shape = "article string, label struct<dir: struct<L: double, C: double, R: double>, deg: struct<L: double, M: double, H: double>, reason: string>, _corrupt_record string"
+    rows = spark.read.schema(shape).json(path, multiLine=True)
+    error = F.when(F.col("_corrupt_record").isNotNull(), "not JSON").when(F.coalesce(F.trim("article"), F.lit("")) == "", "no article").when(F.col("label").isNull(), "no label")
+    for axis, keys in (("dir", "LCR"), ("deg", "LMH")):
+        error = F.coalesce(error, F.when(sum((F.col(f"label.{axis}.{k}").isNull().cast("int") for k in keys), F.lit(0)) > 0, f"incomplete {axis}"))
+    marked = rows.withColumn("error", error)
+    return marked.filter("error is null").select("article", "label"), marked.filter("error is not null").select(F.to_json(F.struct("article", "label")).alias("entry"), "error")
+
+
+def entity_block(spark: SparkSession, path: str) -> DataFrame:
+    """label, text of lines "LABEL: a, b" in a file's <entities> block (S15); single characters go; no block is an error."""
+    found = F.regexp_extract("value", r"(?s)<entities>(.*?)</entities>", 1)
+    block = F.when(F.col("value").rlike("(?s)<entities>.*?</entities>"), found).otherwise(F.raise_error(F.lit("no <entities> block")))
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split(block, "\n")).alias("line")).filter(F.contains("line", F.lit(":")))
+    parts = F.split("line", ":", 2)
+    each = lines.select(F.trim(parts[0]).alias("label"), F.explode(F.split(parts[1], ",")).alias("text"))
+    return each.select("label", F.trim("text").alias("text")).filter(F.length("text") > 1)
+
+
+def relation_block(spark: SparkSession, path: str) -> DataFrame:
+    """source, target, relationship, description of the tuples in a file's <relations> block."""
+    tuples = F.regexp_extract_all(F.regexp_extract("value", r"(?s)<relations>(.*?)</relations>", 1), F.lit(r'\("[^"]+",\s*"[^"]+",\s*"[^"]+",\s*"[^"]+"\)'), F.lit(0))
+    got = spark.read.text(path, wholetext=True).select(F.explode(tuples).alias("t")).select(F.regexp_extract_all("t", F.lit('"([^"]+)"'), F.lit(1)).alias("x"))
+    return got.select(*(F.get("x", F.lit(i)).alias(n) for i, n in enumerate(("source", "target", "relationship", "description"))))
+
+
+def segments(spark: SparkSession, path: str) -> DataFrame:
+    """text, background, entities (label and texts) for each <entities> line after a <text> line.
+
+    The window is one input file in line order, which the format demands; files are dealt over tasks.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    tagged = lambda tag: F.regexp_extract(F.trim("line"), f"^<{tag}>(.*)</{tag}>$", 1)
+    is_tag = lambda tag: F.trim("line").rlike(f"^<{tag}>.*</{tag}>$")
+    marked = lines.select("file", "n", *(F.when(is_tag(tag), tagged(tag)).alias(tag) for tag in ("text", "background", "entities")))
+    before = Window.partitionBy("file").orderBy("n")
+    # a segment ends the group: its text and background hold for it alone
+    part = marked.withColumn("seen", F.last(F.when(F.col("text").isNotNull(), 1).when(F.col("entities").isNotNull(), 0), ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    part = part.withColumn("ends", (F.col("entities").isNotNull() & (F.col("seen") == 1)).cast("int"))
+    part = part.withColumn("g", F.coalesce(F.sum("ends").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    each = part.groupBy("file", "g").agg(F.max_by("text", F.when(F.col("text").isNotNull(), F.col("n"))).alias("text"), F.max_by("background", F.when(F.col("background").isNotNull(), F.col("n"))).alias("background"), F.max(F.when(F.col("ends") == 1, F.col("entities"))).alias("e"))
+    pairs = F.transform(F.regexp_extract_all("e", F.lit(r"<(\w+)>[^<]+</\1>"), F.lit(0)), lambda x: F.struct(F.upper(F.regexp_extract(x, "^<([^>]+)>", 1)).alias("label"), F.transform(F.split(F.regexp_extract(x, ">([^<]+)<", 1), ","), lambda v: F.trim(v)).alias("texts")))
+    return each.filter("e is not null").select("text", F.coalesce("background", F.lit("")).alias("background"), pairs.alias("entities"))
+
+
+def batch_queries(spark: SparkSession, path: str, row: int | None = None) -> DataFrame:
+    """The parameter rows of a TSV with a header (S18), numbered from 1 as `row`; rows that begin with # don't count."""
+    got = spark.read.csv(path, sep="\t", header=True, quote="")
+    first = got.columns[0]
+    kept = got.filter(F.col(first).isNull() | ~F.startswith(F.ltrim(first), F.lit("#")))
+    numbered = kept.withColumn("_order", F.monotonically_increasing_id()).withColumn("row", F.row_number().over(Window.orderBy("_order"))).drop("_order")  # a short hand-written list
+    return numbered if row is None else numbered.filter(F.col("row") == row)
+
+
+def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
+    """text of each line that isn't blank."""
+    return spark.read.text(path).select(F.trim("value").alias("text")).filter("text <> ''")

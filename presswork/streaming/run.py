@@ -35,3 +35,45 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
         return spark.createDataFrame([], stream.schema)
     epochs = last[-1:] if mode == "complete" else sorted(set(last))
     return spark.read.schema(stream.schema).parquet(*(f"{out}/rows/epoch={e}" for e in epochs))
+
+
+def changes_only(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, order, value of the rows whose value is not that of the row before, for each key.
+
+    The state of a key is its last value. A micro-batch's rows are taken in order; a row that comes in a later batch
+    than its successors is held against the last value seen.
+    """
+    import pandas as pd
+
+    kinds = dict(stream.dtypes)
+
+    def run(_, frames, state):
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        before = rows[value].shift(1)
+        if len(rows):
+            before.iloc[0] = last
+        state.update((rows[value].iloc[-1],))
+        yield rows[rows[value] != before][[key, order, value]]
+
+    out = f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}"
+    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(run, out, f"last {kinds[value]}", "append", "NoTimeout")
+
+
+def cache_hits(stream: DataFrame, key: str, order: str, seconds: int) -> DataFrame:
+    """key, order, hit: whether an entry for the key was stored less than `seconds` before (X6); a miss stores one."""
+    import pandas as pd
+
+    kinds = dict(stream.dtypes)
+
+    def run(_, frames, state):
+        stored = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        hits = []
+        for at in rows[order]:
+            hits.append(stored is not None and (at.timestamp() - stored) < seconds)
+            stored = stored if hits[-1] else at.timestamp()
+        state.update((stored,))
+        yield rows.assign(hit=hits)[[key, order, "hit"]]
+
+    return stream.select(key, order).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, hit boolean", "stored double", "append", "NoTimeout")
