@@ -34,13 +34,13 @@ def failover(providers: list[Provider]) -> Provider:
 
 
 def tag_entities(c: Column, known: dict[str, tuple[str, ...]], limit: int = 10_000) -> Column:
-    """text, label of the known entities that the text holds: one word at word borders in any case, several as they
+    """text, label of the known entities that the text holds: one word between other characters than letters of any script, digits and _, in any case, several as they
     stand in any case (M2, J7). The list is part of the plan, so its size is checked."""
     if (n := sum(map(len, known.values()))) > limit:
         raise ValueError(f"{n} entities; join a table of them instead")
     each = F.array(*(F.struct(F.lit(e).alias("text"), F.lit(label).alias("label"), F.lit(e.lower()).alias("low"), F.lit(len(e.split()) > 1).alias("many")) for label in sorted(known) for e in known[label]))
     low = F.lower(c)
-    held = lambda e: F.when(e["many"], F.contains(low, e["low"])).otherwise(F.contains(low, e["low"]) & F.regexp_like(low, F.concat(F.lit(r"\b\Q"), e["low"], F.lit(r"\E\b"))))
+    held = lambda e: F.when(e["many"], F.contains(low, e["low"])).otherwise(F.contains(low, e["low"]) & F.regexp_like(low, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), e["low"], F.lit(r"\E(?![\p{L}\p{N}_])"))))
     return F.transform(F.filter(each, held), lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label")))
 
 

@@ -30,7 +30,10 @@ def M8_density_clusters(t):
 
 
 KNOWN = {"GPE": ("Spain", "New York", "the license"), "ORG": ("MIT", "a"), "PERSON": ("stupid",)}
-HELD = ", ".join(f"CASE WHEN {test} THEN '{e}/{label}' END" for label, e, test in (("GPE", "Spain", "regexp_matches(lower(text), '\\bspain\\b')"), ("GPE", "New York", "contains(lower(text), 'new york')"), ("GPE", "the license", "contains(lower(text), 'the license')"), ("ORG", "MIT", "regexp_matches(lower(text), '\\bmit\\b')"), ("ORG", "a", "regexp_matches(lower(text), '\\ba\\b')"), ("PERSON", "stupid", "regexp_matches(lower(text), '\\bstupid\\b')")))
+EDGE = "[^\\p{L}\\p{N}_]"
+WORDS = {e: f"regexp_matches(lower(text), '(^|{EDGE}){e.lower()}($|{EDGE})')" for e in ("Spain", "MIT", "a", "stupid")}
+PHRASES = {e: f"contains(lower(text), '{e.lower()}')" for e in ("New York", "the license")}
+HELD = ", ".join(f"CASE WHEN {(WORDS | PHRASES)[e]} THEN '{e}/{label}' END" for label, names in KNOWN.items() for e in names)
 
 
 @query(f"SELECT doc_id, concat_ws(',', {HELD}) AS entities FROM documents")
