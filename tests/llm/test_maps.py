@@ -155,6 +155,35 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd, toxicity.train(docs.limit(0), labels.limit(0))).count() == odd.count()
 
 
+def test_toxicity_takes_all_words(spark):
+    """A text whose words are all rare among labelled rows has neighbours, and its cosines are those of a full scan."""
+    import math
+    import re
+    from collections import Counter
+
+    texts = ["the cat is an idiot", "the dog is a fool quarkle", "the sun is up", "the moon is down today", "an idiot and a clown", "rain and wind today"]
+    toxic = [1, 1, 0, 0, 1, 0]
+    docs = spark.createDataFrame([*enumerate(texts), (10, "quarkle"), (11, "The moon moon idiot")], "doc_id long, text string")
+    index = toxicity.train(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, index).collect()}
+    assert [x["id"] for x in got[10]["neighbours"]] == ["1"] and got[10]["score"] > got[3]["score"]
+    counts = [Counter(re.findall("[a-z]+", x.lower())) for x in texts]
+    n, n1 = len(texts), sum(toxic)
+
+    def weight(w):
+        t, c = (sum(w in x for x, y in zip(counts, toxic, strict=True) if y == label) for label in (1, 0))
+        z = (t / n1 - c / (n - n1)) / math.sqrt((t + c) / n * (1 - (t + c) / n + 1e-9) * (1 / n1 + 1 / (n - n1)))
+        return math.log((n + 1) / (t + c + 0.5)) * (1 + z * z)
+
+    def unit(x):
+        v = {w: (1 + math.log(m)) * weight(w) for w, m in x.items()}
+        return {w: y / math.sqrt(sum(y * y for y in v.values())) for w, y in v.items()}
+
+    q = unit(Counter("the moon moon idiot".split()))
+    want = {str(i): s for i, x in enumerate(counts) if (s := sum(y * q.get(w, 0) for w, y in unit(x).items())) > 0}
+    assert {x["id"]: round(x["cosine"], 9) for x in got[11]["neighbours"]} == {i: round(s, 9) for i, s in sorted(want.items(), key=lambda x: -x[1])[:5]}
+
+
 def test_mix(spark, odd):
     sf = "/root/testdata/sf0.01"
     got = queries.op1_source_mix(spark, sf).collect()
