@@ -16,6 +16,8 @@ Copies (equal sets) are one point. Large groups of near copies are not expanded
 are its hubs, other points are first compared with hubs only; nodes whose points are then in one component are done,
 and only pairs of points in different components of the other nodes are looked at. No pair that could join components
 is left out, so components are exact. Nodes of more than PAGE_GROUP points are dealt out by pairs of parts.
+Links are counted, or listed, in a pass of its own: both ends of a link are in one component, so all pairs of points of
+each finished component are compared on their tokens, large components dealt out by pairs of parts.
 
 Texts without a word are the empty set, linked with nothing. Null ids are returned with a null component and linked
 with nothing; equal rows have equal sets and so one component; empty tables give no rows.
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -40,6 +42,10 @@ GROUPS = 64
 PAGE_GROUP = 2_048
 #: Points of a page.
 PAGE = 64
+#: Tokens of a component that one task may hold on each side.
+PAGE_TOKENS = 4_000_000
+#: Cells of the table of points by tokens that are multiplied at once.
+CELLS = 4_000_000
 FLUSH = 12_000_000
 _BAND = 1.5
 
@@ -301,17 +307,18 @@ def left_pairs(tree: DataFrame, labels: DataFrame, known: DataFrame, link: Link)
 
 
 def with_fine(texts: DataFrame, link: Link) -> DataFrame:
-    """point, text, fine: counts (uint16) of so many groups, a power of two, that a group has two to four tokens."""
+    """point, text, size, fine: counts (uint16) of so many groups, a power of two, that a group has two to four tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             fine = []
-            for s in token_sets(chunk, link):
+            sets = token_sets(chunk, link)
+            for s in sets:
                 groups = max(GROUPS, 1 << max(0, (len(s) // 2).bit_length() - 1))
                 fine.append(np.bincount((s & U64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([chunk.column("point"), chunk.column("text"), pa.array(fine, pa.binary())], ["point", "text", "fine"])
+            yield pa.RecordBatch.from_arrays([chunk.column("point"), chunk.column("text"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fine, pa.binary())], ["point", "text", "size", "fine"])
 
-    return texts.select("point", "text").mapInArrow(run, "point long, text string, fine binary")
+    return texts.select("point", "text").mapInArrow(run, "point long, text string, size long, fine binary")
 
 
 def screened(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
@@ -355,12 +362,163 @@ def verified(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The number of shared tokens of each set of x with each of y."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    if len(x) * len(y) <= 16:
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                z = np.sort(np.concatenate((a, b)))
+                out[i, j] = (z[1:] == z[:-1]).sum()
+        return out
+    tokens = [np.concatenate(side) for side in (x, y)]
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (x, y)]
+    both = np.intersect1d(*tokens)
+    if not len(both):
+        return out
+    at = [np.minimum(np.searchsorted(both, t), len(both) - 1) for t in tokens]
+    ok = [both[i] == t for i, t in zip(at, tokens, strict=True)]
+    step = max(1, CELLS // (len(x) + len(y)))
+    for first in range(0, len(both), step):
+        n, tables = min(step, len(both) - first), []
+        for side, row, i, good in zip((x, y), rows, at, ok, strict=True):
+            own = good & (i >= first) & (i < first + n)
+            cells = np.zeros((len(side), n), np.float32)
+            cells[row[own], i[own] - first] = 1
+            tables.append(cells)
+        out += (tables[0] @ tables[1].T).astype(np.int64)
+    return out
+
+
+def linked(held: list[tuple[int, int, np.ndarray]], link: Link) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(points a, points b, shared, union) of all links; held: (point, side, set); side 0: both sides."""
+    held.sort(key=lambda x: (len(x[2]), x[0]))
+    p, side = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
+    size = np.array([len(x[2]) for x in held], np.int64)
+    pages = range(0, len(p), 4 * PAGE)
+    for i in pages:
+        u = slice(i, i + 4 * PAGE)
+        for j in pages:
+            v = slice(j, j + 4 * PAGE)
+            if j < i or size[u].max() * link.den < size[j] * link.num:
+                continue
+            sides = side[u, None] + side[None, v]
+            ok = (sides == 0) | (sides == 3)
+            if i == j:
+                ok &= np.triu(np.ones(ok.shape, bool), 1)
+            if not ok.any():
+                continue
+            shared = overlaps([x[2] for x in held[u]], [x[2] for x in held[v]])
+            union = size[u, None] + size[None, v] - shared
+            a, b = np.nonzero(ok & (shared > 0) & (link.den * shared >= link.num * union))
+            yield p[i + a], p[j + b], shared[a, b], union[a, b]
+
+
+def all_links(labels: DataFrame, texts: DataFrame, link: Link, listed: bool = False) -> DataFrame:
+    """v, n_links: partial numbers of links of the points of components; or if listed a, b, shared, n_union for each link.
+
+    labels: v, label; texts: point, text, size.
+    """
+    each = labels.join(texts.select(F.col("point").alias("v"), "text", "size").hint("merge"), "v")
+    parts = labels.join(texts.select(F.col("point").alias("v"), "size").hint("merge"), "v").groupBy("label")
+    parts = parts.agg(F.ceil(F.greatest(F.count("*") / PAGE_GROUP, F.sum("size") / PAGE_TOKENS)).alias("parts"))
+    rows = each.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("v"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    rows = rows.select("label", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "v", side.alias("side"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        points_, counts, n = [], [], 0
+        seen: set[int] = set()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if points_:
+                v, m = np.concatenate(points_), np.concatenate(counts)
+                points_.clear(), counts.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(m)], ["v", "n_links"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            ends = []
+            for a, b, shared, union in linked(held, link) if len(held) > 1 else ():
+                if listed and len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared), pa.array(union)], ["a", "b", "shared", "n_union"])
+                ends.append(np.unique(np.concatenate((a, b)), return_counts=True))
+            held.clear()
+            if ends and not listed:
+                points_.extend(v for v, _ in ends)
+                counts.extend(m for _, m in ends)
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            row = 0
+            for chunk in chunks(iter([batch])):
+                for s in token_sets(chunk, link):
+                    label, p, q, v, side = keys[row]
+                    row += 1
+                    if (label, p, q) != at:
+                        yield from done()
+                        at = label, p, q
+                        n += 1
+                        if n % 1_000 == 0:
+                            yield from told()
+                        seen.clear()
+                    if v not in seen:  # equal rows are one point
+                        seen.add(v)
+                        held.append((v, side, s))
+        yield from done()
+        yield from told()
+
+    n = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "label", "p", "q").sortWithinPartitions("label", "p", "q").mapInArrow(run, "a long, b long, shared long, n_union long" if listed else "v long, n_links long")
+
+
+@dataclass
+class Found:
+    """Components of a table: every row's point; each point's least document; texts of points; v, label of points with links."""
+
+    every: DataFrame
+    known: DataFrame
+    texts: DataFrame
+    labels: DataFrame
+    ok: Column
+
+    def groups(self) -> DataFrame:
+        """point, component: the least document that each point reaches."""
+        by_point = self.known.select("point", "rep").join(self.labels, self.known["point"] == self.labels["v"], "left").drop("v")
+        reach = by_point.filter("label is not null").groupBy("label").agg(F.min("rep").alias("component"))
+        return by_point.join(reach, "label", "left").select("point", F.coalesce("component", "rep").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable), n_links (of the set with other sets, by verified pairs): one row for each row of docs.
+    """doc_id, n_shingles, component_id (least doc_id reachable), n_links (of the set with other sets, all of them): one row for each row of docs.
 
     Documents link if den * overlap >= num * union of their word n-grams. Ids must be integers.
     """
     link = Link(n, num, den)
+    found = _found(docs, link, id_col, text_col)
+    degree = all_links(found.labels, found.texts, link).groupBy(F.col("v").alias("point")).agg(F.sum("n_links").alias("n_links"))
+    out = found.every.select("doc_id", "size", "point").join(found.groups().join(degree, "point", "left"), "point", "left")
+    own = F.when(found.ok, F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of near_duplicates, without the pass that counts links."""
+    found = _found(docs, Link(n, num, den), id_col, text_col)
+    own = F.when(found.ok, F.col("component")).otherwise(F.col("doc_id"))
+    return found.every.select("doc_id", "size", "point").join(found.groups(), "point", "left").select("doc_id", own.alias("component_id"))
+
+
+def near_pairs(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_a, doc_b, shared, n_union: each link of two different sets once, a set being told by its least doc_id."""
+    link = Link(n, num, den)
+    found = _found(docs, link, id_col, text_col)
+    a, b = (found.known.select(F.col("point").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab")
+    pairs = all_links(found.labels, found.texts, link, listed=True).join(a, "a").join(b, "b")
+    return pairs.select(F.least("rep_a", "rep_b").alias("doc_a"), F.greatest("rep_a", "rep_b").alias("doc_b"), "shared", "n_union")
+
+
+def _found(docs: DataFrame, link: Link, id_col: str, text_col: str) -> Found:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     every = written(points(rows, link))
     ok = F.col("doc_id").isNotNull() & (F.col("size") > 0)
@@ -378,21 +536,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
     hubs = tree.groupBy("node").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "point").alias("h"), "point")).alias(f"hub{i}") for i in (1, 2)))
     stars = tree.join(hubs, "node").select("point", F.explode(F.array("hub1.point", "hub2.point")).alias("hub")).filter("point <> hub")
     stars = stars.select(F.least("point", "hub").alias("a"), F.greatest("point", "hub").alias("b")).distinct()
-    sized = stars.join(a_side, "a").join(b_side, "b").filter((F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num))
+    sized = stars.join(a_side, "a").join(b_side, "b").filter((F.least("size_a", "size_b") * link.den >= F.greatest("size_a", "size_b") * link.num))
     first = written(verified(screened(bounded(sized, link), texts, link), texts, link))
     labels = components(first)
     left = written(left_pairs(tree, labels, ends, link))
-    links = first
     if not left.isEmpty():
         second = written(verified(screened(left, texts, link), texts, link))
         if not second.isEmpty():
-            links = first.union(second).distinct()
-            labels = components(links)
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
-    by_point = known.select("point", "rep").join(labels, known["point"] == labels["v"], "left").drop("v")
-    reach = by_point.filter("label is not null").groupBy("label").agg(F.min("rep").alias("component"))
-    by_point = by_point.join(reach, "label", "left").join(degree.withColumnRenamed("v", "point"), "point", "left").select("point", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    own = F.when(ok, F.col("component")).otherwise(F.col("doc_id"))
-    out = every.select("doc_id", "size", "point").join(by_point, "point", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+            labels = components(first.union(second).distinct())
+
+    return Found(every, known, texts, labels, ok)

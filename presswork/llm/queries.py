@@ -32,6 +32,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op3_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.near_pairs(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), n=20).drop("kept")
 
@@ -83,6 +87,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), F.to_json("neighbours").alias("evidence"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_secret_scan, op3_jaccard_join, op4_repeats, op5_language, op6_quality, op7_licenses, op8_surrogates, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_secret_scan, op3_jaccard_join, op3_jaccard_pairs, op4_repeats, op5_language, op6_quality, op7_licenses, op8_surrogates, op9_decontamination, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}

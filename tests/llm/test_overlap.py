@@ -64,3 +64,45 @@ def test_pages_in_parts():
     for side in ([(x, 0) for x in pts if x[0] % 2 == 0], [(x, 0) for x in pts if x[0] % 2], [(x, 1 + x[0] % 2) for x in pts]):
         halves |= set(overlap.page_pairs([(*x[:4], s) for x, s in side], link))
     assert halves == want
+
+
+def all_pairs(rows, n, num, den):
+    """{(least id, least id): (shared, union)} of all links of different sets, and the least id of each id's set."""
+    sets, least = {}, {}
+    for i, t in sorted(rows):
+        w = [x.translate(brute.AZ) for x in brute.words(t)]
+        s = frozenset(tuple(w[j : j + n]) for j in range(len(w) - n + 1)) if len(w) >= n else frozenset({tuple(w)} - {()})
+        least[i] = sets.setdefault(s, i)
+    sets = sorted((i, s) for s, i in sets.items() if s)
+    found = ((a, b, len(x & y), len(x | y)) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :])
+    return {(a, b): (c, u) for a, b, c, u in found if den * c >= num * u}, least
+
+
+def test_all_links(spark, monkeypatch):
+    rng = random.Random(2)
+    rows, word = [], lambda: f"w{rng.randint(0, 500)}"
+    for size, copies in ((60, 90), (200, 40), (5, 3), (120, 2)):
+        text = [word() for _ in range(size)]
+        for _ in range(copies):
+            copy = list(text)
+            for _ in range(rng.randint(0, 1 + size // 40)):
+                copy[rng.randrange(size)] = word()
+            text = copy if rng.random() < 0.1 else text
+            rows.append((len(rows) + 5, " ".join(copy)))
+    rows += [(1, rows[3][1].upper()), (900, rows[3][1]), (901, "")]
+    want, least = all_pairs(rows, 3, 80, 100)
+    degree = {i: sum(least[i] in ab for ab in want) for i, _ in rows}
+    assert max(degree.values()) > 20
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3)
+    for limit in (overlap.PAGE_GROUP, 25):  # whole, and dealt out by parts
+        monkeypatch.setattr(overlap, "PAGE_GROUP", limit)
+        assert {r["doc_id"]: r["n_links"] for r in overlap.near_duplicates(docs, 3, 80, 100).collect()} == degree
+        got = overlap.near_pairs(docs, 3, 80, 100).collect()
+        assert len(got) == len(want) and {(r["doc_a"], r["doc_b"]): (r["shared"], r["n_union"]) for r in got} == want
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 90))).astype(np.uint64) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert overlap.overlaps(sets, sets).tolist() == want and overlap.overlaps(sets[:2], sets[:3]).tolist() == [r[:3] for r in want[:2]]
