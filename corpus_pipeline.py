@@ -34,7 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.rewrite_texts(docs, queries.KEY)
+    out = pii.distinct(lambda key: pii.rewrite_texts(docs, key), queries.KEY, "_entities").drop("_entities")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -4,9 +4,10 @@ Each value is written as a number in the mixed radix of its characters (a digit
 Cyrillic letter stays a letter of its script and case), mapped by a keyed one-to-one map of that number's range without
 fixed points, and written back. The map being one-to-one, two different values of a form never get the same surrogate,
 and equal values always do, in any document and on any executor, without a shared table. Names keep their gender: they
-are moved within the list of their gender by a keyed one-to-one map.
+are moved within the list of their gender by a keyed one-to-one map; names that aren't listed never become listed ones.
 
-surrogate_collisions() checks this over a whole corpus. Values of one phone number in different spellings share their
+surrogate_collisions() checks this over a whole corpus, and distinct() replaces all with the next of a row of keys as long
+as two values share a surrogate. Values of one phone number in different spellings share their
 surrogate digits. Null texts stay null; ids, ties and repeated rows have no influence; empty tables give no rows.
 """
 
@@ -16,13 +17,15 @@ import hashlib
 import hmac
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: First names by gender, for the persons rule.
 FEMALE = ("Alice", "Amelia", "Anna", "Camille", "Carmen", "Charlotte", "Claire", "Elena", "Emma", "Eva", "Hannah", "Ines", "Isabel", "Julia", "Laura", "Lucia", "Maria", "Marie", "Olivia", "Paula", "Sarah", "Sofia", "Sophie", "Valerie")
 MALE = ("Adam", "Antonio", "Carlos", "Daniel", "David", "Diego", "Felix", "Fernando", "George", "Hugo", "Jack", "James", "Javier", "John", "Jonas", "Jules", "Louis", "Lucas", "Martin", "Michael", "Paul", "Peter", "Robert", "Thomas")
@@ -31,6 +34,9 @@ SURNAMES = ("Adler", "Bauer", "Bernard", "Brown", "Clark", "Diaz", "Dubois", "Fi
 ALPHABETS = (string.digits, string.ascii_lowercase, string.ascii_uppercase, "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 _OF = {c: a for a in ALPHABETS for c in a}
 _TITLES = {"Mr": MALE, "Herr": MALE, "Monsieur": MALE, "Señor": MALE, "Mrs": FEMALE, "Ms": FEMALE, "Frau": FEMALE, "Madame": FEMALE, "Señora": FEMALE}
+_LISTED = frozenset(FEMALE + MALE + SURNAMES)
+#: Keys that are tried before a corpus is given up.
+MAX_KEYS = 8
 #: What is found, first match first where spans overlap.
 PATTERNS = (
     ("email", r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.\w{2,}"),
@@ -82,12 +88,8 @@ class Surrogates:
         return self._permute((self._permute(x, n, tweak) + 1) % n, n, tweak, back=True)
 
     def _form(self, text: str, tweak: str) -> str:
-        """Characters of an alphabet change within it, all others stay. A leading digit but 0 doesn't become 0."""
-        radix = []
-        for i, c in enumerate(text):
-            if a := _OF.get(c):
-                first = a is string.digits and c != "0" and (i == 0 or text[i - 1] not in string.digits)
-                radix.append((i, a[1:] if first else a))
+        """Characters of an alphabet change within it, all others stay: texts with the same alphabets at the same places are permuted."""
+        radix = [(i, a) for i, c in enumerate(text) if (a := _OF.get(c))]
         n = x = 0
         size = 1
         for i, a in radix:
@@ -118,8 +120,10 @@ class Surrogates:
             return re.sub(r"\d", lambda _: next(new), value)
         if kind == "card":
             digits = re.sub(r"\D", "", value)
-            body = self._form("1" + digits[:-1], f"{kind}{luhn(digits)}")[1:]
-            new = iter(body + (check_digit(body) if luhn(digits) else self._form("x" + digits[-1], f"{kind}:{body}")[1:]))
+            off = (int(digits[-1]) - int(check_digit(digits[:-1]))) % 10  # 0: the last digit is the right one
+            body = self._form(digits[:-1], f"{kind}{off == 0}")
+            off = off and self.moved(off - 1, 9, f"{kind}:{body}") + 1
+            new = iter(body + str((int(check_digit(body)) + off) % 10))
             return re.sub(r"\d", lambda _: next(new), value)
         if kind == "person":
             parts = value.split(" ")
@@ -133,7 +137,10 @@ class Surrogates:
                 elif parts[i] in SURNAMES:
                     parts[i] = SURNAMES[self.moved(SURNAMES.index(parts[i]), len(SURNAMES), "surname")]
                 else:
+                    # Walked on past listed names. The map is one cycle, so the other names stay one-to-one.
                     parts[i] = self._form(parts[i], f"name{given is FEMALE}")
+                    while parts[i] in _LISTED:
+                        parts[i] = self._form(parts[i], f"name{given is FEMALE}")
             return " ".join(parts)
         return self._form(value, kind)
 
@@ -156,6 +163,9 @@ def check_digit(body: str) -> str:
     return next(d for d in string.digits if luhn(body + d))
 
 
+ENTITIES = "array<struct<type: string, value_sha256: string, surrogate: string>>"
+
+
 def replace_pii(docs: DataFrame, key: bytes = b"presswork", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, n_entities, entities (array of type, value digest, surrogate): one row for each row of docs. Maps rows; nothing is shuffled."""
 
@@ -170,24 +180,41 @@ def replace_pii(docs: DataFrame, key: bytes = b"presswork", id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([len(f) for _, f in done], pa.int64()), pa.array(told, pa.list_(one))], ["doc_id", "text", "n_entities", "entities"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, n_entities long, entities array<struct<type: string, value_sha256: string, surrogate: string>>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, n_entities long, entities {ENTITIES}")
 
 
 def rewrite_texts(docs: DataFrame, key: bytes = b"presswork", text_col: str = "text") -> DataFrame:
-    """docs with all columns, the text with surrogates. Maps rows; nothing is shuffled."""
+    """docs with all columns, the text with surrogates, and the column _entities as in replace_pii. Maps rows; nothing is shuffled."""
     at = docs.columns.index(text_col)
+    one = pa.struct([("type", pa.string()), ("value_sha256", pa.string()), ("surrogate", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keyed = Surrogates(key)
         for batch in batches:
-            new = pa.array([None if t is None else keyed.rewrite(t)[0] for t in batch.column(at).to_pylist()], batch.column(at).type)
-            yield batch.set_column(at, batch.schema.field(at).name, new)
+            done = [(None, []) if t is None else keyed.rewrite(t) for t in batch.column(at).to_pylist()]
+            told = [[{"type": k, "value_sha256": hashlib.sha256(canonical(k, v).encode()).hexdigest(), "surrogate": s} for k, v, s in found] for _, found in done]
+            out = batch.set_column(at, batch.schema.field(at).name, pa.array([t for t, _ in done], batch.column(at).type))
+            yield out.append_column("_entities", pa.array(told, pa.list_(one)))
+
+    return docs.mapInArrow(run, docs.withColumn("_entities", F.lit(None).cast(ENTITIES)).schema)
+
+
+def distinct(replaced: Callable[[bytes], DataFrame], key: bytes, entities: str = "entities") -> DataFrame:
+    """replaced(key), written, if no two values share a surrogate in it; else replaced() with the next key for the whole corpus.
 
-    return docs.mapInArrow(run, docs.schema)
+    Key i is the HMAC of "key i" under the given key. After MAX_KEYS keys with collisions it raises.
+    """
+    for i in range(MAX_KEYS):
+        out = written(replaced(key if i == 0 else hmac.new(key, f"key {i}".encode(), hashlib.sha256).digest()))
+        if surrogate_collisions(out.select(F.col(entities).alias("entities"))).isEmpty():
+            return out
+    raise ValueError(f"surrogates of different values are equal under each of {MAX_KEYS} keys")
 
 
 def canonical(kind: str, value: str) -> str:
     """What counts as the same value."""
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
     return re.sub(r"\D", "", value)[-10:] if kind == "phone" else value
 
 

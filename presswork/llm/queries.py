@@ -68,7 +68,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents"), KEY)
+    docs = table(spark, sf_dir, "documents")
+    return pii.distinct(lambda key: pii.replace_pii(docs, key), KEY)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

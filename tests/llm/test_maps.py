@@ -104,6 +104,35 @@ def test_pii(spark, odd):
         assert sorted(moved) == list(range(n)) and all(x != y for x, y in enumerate(moved))
 
 
+def test_surrogates_are_one_to_one():
+    maps = pii.Surrogates(queries.KEY)
+    for values in ([f"{body}{d}" for body in range(123456789012, 123456789042) for d in range(10)], [f"{body:012d}{d}" for body in range(20) for d in range(10)]):
+        new = [maps.of("card", v) for v in values]
+        assert len(set(new)) == len(values) and [pii.luhn(v) for v in values] == [pii.luhn(v) for v in new] and not any(a == b for a, b in zip(values, new, strict=True))
+    for kind, values in (("ssn", [f"{i:03d}-00-0001" for i in range(1000)]), ("email", [f"a{i:03d}@x.de" for i in range(1000)])):
+        assert len({maps.of(kind, v) for v in values}) == 1000
+    assert len({maps._form(f"{i:03d}", "t") for i in range(1000)}) == 1000  # leading zeros too
+    letters = pii.string.ascii_lowercase
+    names = [a + b + c for a in pii.string.ascii_uppercase for b in letters for c in letters]
+    new = [maps.of("person", f"Mr {n}") for n in names]
+    assert len(set(new)) == len(names) and not any(a == f"Mr {b}" for a, b in zip(new, names, strict=True))
+    assert all((n in pii._LISTED) == (s[3:] in pii._LISTED) for n, s in zip(names, new, strict=True))
+
+
+def test_collisions_take_the_next_key(spark):
+    asked = []
+
+    def replaced(key):
+        asked.append(key)
+        same = "x" if len(asked) < 3 else "y"
+        return spark.createDataFrame([(1, [("ssn", "h1", "x")]), (2, [("ssn", "h2", same)])], f"doc_id long, entities {pii.ENTITIES}")
+
+    assert pii.distinct(replaced, b"k").count() == 2
+    assert len(asked) == len(set(asked)) == 3 and asked[0] == b"k"
+    with pytest.raises(ValueError):
+        pii.distinct(lambda key: spark.createDataFrame([(1, [("ssn", "h1", "x"), ("ssn", "h2", "x")])], f"doc_id long, entities {pii.ENTITIES}"), b"k")
+
+
 def test_decontamination(spark, odd):
     def distance(a, b):  # least edit distance of a to any substring of b
         row = [0] * (len(b) + 1)
