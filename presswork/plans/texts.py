@@ -62,11 +62,21 @@ def F14_flat_export(t):
     return t.documents.select("doc_id", F.translate(F.substring("text", 1, 300), "\t\n\r", "   ").alias("flat"))
 
 
+@query("SELECT doc_id, translate(text, chr(9) || chr(10) || chr(13), '   ') AS flat FROM documents")
+def F14_flat_texts(t):
+    return t.documents.select("doc_id", F.translate("text", "\t\n\r", "   ").alias("flat"))
+
+
 @query("SELECT DISTINCT regexp_replace(substr(text, 1, 20), '[^a-zA-Z0-9_]', '_', 'g') AS gid FROM documents")
 def F15_graph_id(t):
     return t.documents.select(F.regexp_replace(F.substring("text", 1, 20), "[^a-zA-Z0-9_]", "_").alias("gid")).distinct()
 
 
+@query("SELECT DISTINCT regexp_replace(text, '[^a-zA-Z0-9_]', '_', 'g') AS gid FROM documents")
+def F15_graph_ids(t):
+    return t.documents.select(F.regexp_replace("text", "[^a-zA-Z0-9_]", "_").alias("gid")).distinct()
+
+
 @query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[<>:\"/\\\\|?* ,]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS name FROM pages")
 def F16_file_name(t):
     return t.pages.select("page_id", x.file_name(F.col("url")).alias("name"))
@@ -80,6 +90,14 @@ def F17_escaped_html(t):
     return t.pages.select("page_id", c.alias("escaped"))
 
 
+@query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+def F17_escaped_pages(t):
+    c = F.col("html")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return t.pages.select("page_id", c.alias("escaped"))
+
+
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, chr(10), ' '), '[^a-zA-Z0-9 .,!?-]', '', 'g'), ' +', ' ', 'g')) AS spoken FROM documents")
 def F18_speech_text(t):
     c = F.regexp_replace(F.regexp_replace(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), "[^a-zA-Z0-9 .,!?-]", ""), " +", " ")
