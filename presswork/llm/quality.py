@@ -179,8 +179,8 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate:
     return Field(emit, move)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 2_000, max_lines: int = 300) -> Field:
-    """The field from about max_train_docs labelled documents, chosen by a hash of the id; of a document, max_lines lines."""
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 2_000) -> Field:
+    """The field from about max_train_docs labelled documents, chosen by a hash of the id, with all their lines."""
     known = labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
     n = known.count()
     good = known.filter("quality = 1").count()
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 2_000, max_l
             lines = Lines(chunk)
             quality = chunk.column("quality").to_pylist()
             for i in range(chunk.n):
-                a, b = int(lines.bounds[i]), min(int(lines.bounds[i + 1]), int(lines.bounds[i]) + max_lines)
+                a, b = int(lines.bounds[i]), int(lines.bounds[i + 1])
                 y = np.full(b - a, quality[i], np.int8) & ~(lines.again[a:b] & (lines.line_words[a:b] < 8))
                 yield pa.RecordBatch.from_arrays([chunk.column("doc_id").slice(i, 1).cast(pa.string()), pa.array([lines.x[a:b].tobytes()], pa.binary()), pa.array([y.astype(np.int8).tobytes()], pa.binary())], ["doc_id", "x", "y"])
 

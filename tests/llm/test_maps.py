@@ -64,6 +64,14 @@ def test_viterbi_is_exact():
     assert field.decode(x, np.array([0, 11])).tolist() == list(best)
 
 
+def test_quality_trains_on_all_lines(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "\n".join(f"line {i} of a long text" for i in range(900))), (2, "\n".join(f"x {i}" for i in range(400)))], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda sequences: seen.extend((len(x), len(y)) for x, y in sequences))
+    quality.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert seen == [(900, 900), (400, 400)]
+
+
 def test_licenses(spark, odd):
     extra = spark.createDataFrame([(900 + i, t) for i, t in enumerate(["Under the MIT license, under the mit LICENSE", "Apache License, Version 2", "x cc-by-nc cc by nc", "under the mité license", "apache license version 20"])], "doc_id long, text string")
     for docs in (spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), extra, odd.filter("doc_id is not null and doc_id <> 3").select("doc_id", "text")):
