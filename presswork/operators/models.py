@@ -91,3 +91,23 @@ def group_names(titles: DataFrame, group: str, id_col: str, title_col: str, stop
     top = score.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "term"))).filter(F.col("r") <= words)
     name = top.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: F.initcap(x["term"])), " / ").alias("name"))
     return n.join(name, n["g"].eqNullSafe(name["g"]), "left").select(n["g"].alias(group), F.coalesce("name", F.lit("General")).alias("name"))
+
+
+def recommend(ratings: DataFrame, weights: DataFrame, n: int, min_rating: float | None = None) -> DataFrame:
+    """id, cosine of the n unrated documents nearest to one user's profile (T9). ratings: user_id, id, rating, of that user.
+
+    min_rating: lower ratings don't shape the profile; by default all do. Ties go to the smaller id.
+    """
+    liked = ratings if min_rating is None else ratings.filter(F.col("rating") >= min_rating)
+    profile = profiles(liked, weights).select("term", F.col("weight").alias("p"))
+    norm = profile.agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("norm"))
+    open_ = weights.join(ratings.select("id").distinct(), "id", "left_anti")
+    scored = open_.join(profile, "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("p")).alias("dot")).crossJoin(F.broadcast(norm))
+    return scored.select("id", F.round(F.try_divide("dot", "norm"), 9).alias("cosine")).orderBy(F.desc("cosine"), "id").limit(n)
+
+
+def similar(weights: DataFrame, of: object, n: int) -> DataFrame:
+    """id, cosine of the n documents nearest to the document `of`; vectors are of length 1."""
+    own = weights.filter(F.col("id") == F.lit(of)).select("term", F.col("weight").alias("p"))
+    scored = weights.filter(F.col("id") != F.lit(of)).join(own, "term").groupBy("id").agg(F.round(F.sum(F.col("weight") * F.col("p")), 9).alias("cosine"))
+    return scored.orderBy(F.desc("cosine"), "id").limit(n)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("filters", "aggregates", "joins", "bias", "texts", "search", "shapes", "stores", "models", "records", "scans", "streams")
+MODULES = ("heuristics", "ranking", "filters", "aggregates", "joins", "bias", "texts", "search", "shapes", "stores", "models", "records", "scans", "streams")
 
 
 @dataclass
