@@ -4,23 +4,25 @@ A document is the set of its word n-grams. Its tokens are hashed into groups, an
 point; the overlap of two sets is at most the sum of coordinate minima of their points. Two sets that link differ in
 at most t tokens, t growing with the size.
 
-Upper level: sizes are cut into bands, and in each band the (fine) groups into t + 1 slabs of coordinates. Points that
+Upper level: sizes are cut into bands, and in each band the tokens into t + 1 slabs of coordinates. Points that
 link agree in all coordinates of a slab at least (else they would differ in more than t tokens), so the tree's inner
 nodes are the values of a slab, a box without extent in its coordinates; a point is in t + 1 nodes. Nodes with one
-point are dropped at once, which is where nearly all points go.
-Lower level: points of a node are packed into pages by size; a page has a box over 64 (coarse) coordinates. Pairs of
-pages, then of points, are dropped if the sum of coordinate minima of box corners, then of counts, is too low for a link.
-Surviving pairs are held against finer counts (groups in proportion to the size), then verified on the texts' tokens.
-
-Copies (equal sets) are one point. Large groups of near copies are not expanded to all pairs: two points of each node
-are its hubs, other points are first compared with hubs only; nodes whose points are then in one component are done,
-and only pairs of points in different components of the other nodes are looked at. No pair that could join components
-is left out, so components are exact. Nodes of more than PAGE_GROUP points are dealt out by pairs of parts.
-Links are counted, or listed, in a pass of its own: both ends of a link are in one component, so all pairs of points of
-each finished component are compared on their tokens, large components dealt out by pairs of parts.
-
-Texts without a word are the empty set, linked with nothing. Null ids are returned with a null component and linked
-with nothing; equal rows have equal sets and so one component; empty tables give no rows.
+point are dropped at once, which is where nearly all points go, and of nodes with the same points one is kept.
+Lower level: the points of a node, with as many groups as their size asks for, are packed into pages by size; a page has
+a box. A point meets a page, then its points, if the sum of coordinate minima of box corner, then of counts, allows a link.
+
+Rows stay linear in points, however large a group of near copies is: a node doesn't give out its pairs but at most one
+pair less than it has points, those that span the components of "the bounds allow a link" (first with two hubs of
+each node, then, in the nodes that are still in pieces, by a search that compares reached points with unreached ones).
+The components of these pairs are clusters; no link leaves a cluster, and a point is in one cluster at most. So texts
+move once, to their cluster, where all pairs that sizes allow are verified on their tokens; large clusters are dealt out by
+pairs of parts. That gives every link: counted, listed, or as one pair less than points for the components.
+
+Equal sets are one point. Sets are told apart by 64 bits, tokens by 64 bits: among 10^9 different sets the chance that
+any two are taken for one is 3 %. Texts without a word are the empty set, linked with nothing. Null ids are returned
+with a null component and linked with nothing; equal rows have equal sets and so one component; a component is named by
+its least id, so ties need no rule; very long texts are a chunk of their own; other columns, whatever their name, are not
+read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -103,15 +105,14 @@ def digest(s: np.ndarray) -> int:
 
 
 def points(docs: DataFrame, link: Link) -> DataFrame:
-    """doc_id, text_key, size, point (64-bit digest of the set), counts (64 int32): one row for each row of docs."""
+    """doc_id, text_key, size, point (64-bit digest of the set): one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             sets = token_sets(chunk, link)
-            counts = [np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "text_key", "size", "point", "counts"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], ["doc_id", "text_key", "size", "point"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, size long, point long, counts binary")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, size long, point long")
 
 
 def slab_values(sets: list[np.ndarray], link: Link) -> tuple[np.ndarray, np.ndarray]:
@@ -231,135 +232,227 @@ def nodes(docs: DataFrame, link: Link) -> DataFrame:
     return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node long, point long")
 
 
-def bounded(pairs: DataFrame, link: Link) -> DataFrame:
-    """The pairs (a, b, size_a, size_b, counts_a, counts_b) whose sum of coordinate minima allows a link."""
+def fine_counts(s: np.ndarray) -> bytes:
+    """Counts (uint16) of so many groups, a power of two, that a group has one or two tokens. Finer counts fold onto coarser ones."""
+    groups = max(GROUPS, 1 << max(0, len(s).bit_length() - 1))
+    return np.bincount((s & U64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sa, sb = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-                ca, cb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int32).reshape(-1, GROUPS) for i in (4, 5))
-                ok = np.minimum(ca, cb).sum(1) >= link.need(sa + sb)
-                yield batch.select([0, 1]).filter(pa.array(ok))
-
-    return pairs.select("a", "b", "size_a", "size_b", "counts_a", "counts_b").mapInArrow(run, "a long, b long")
-
-
-def page_pairs(points_: list[tuple[int, int, int, np.ndarray, int]], link: Link) -> Iterator[tuple[int, int]]:
-    """Pairs of different components that the bounds allow. points_: (point, component, size, counts, side); side 0: both sides."""
-    points_.sort(key=lambda x: (x[2], x[0]))
-    p = np.array([x[0] for x in points_], np.int64)
-    comp = np.array([x[1] for x in points_], np.int64)
-    size = np.array([x[2] for x in points_], np.int64)
-    count = np.stack([x[3] for x in points_])
-    side = np.array([x[4] for x in points_])
-    pages = range(0, len(p), PAGE)
-    corner = [count[i : i + PAGE].max(0) for i in pages]
-    for x, i in enumerate(pages):
-        for y, j in enumerate(pages):
-            if j < i or size[i : i + PAGE].max() * link.den < size[j] * link.num:
-                continue
-            if np.minimum(corner[x], corner[y]).sum() < link.need(int(size[i] + size[j])):
-                continue
-            low = np.minimum(count[i : i + PAGE, None, :], count[None, j : j + PAGE, :]).sum(2)
-            ok = low >= link.need(size[i : i + PAGE, None] + size[None, j : j + PAGE])
-            ok &= comp[i : i + PAGE, None] != comp[None, j : j + PAGE]
-            sides = side[i : i + PAGE, None] + side[None, j : j + PAGE]
-            ok &= (sides == 0) | (sides == 3)  # sides 1 and 2 are compared with each other only
-            if i == j:
-                ok &= np.triu(np.ones(ok.shape, bool), 1)
-            for a, b in zip(*np.nonzero(ok), strict=True):
-                a, b = int(p[i + a]), int(p[j + b])
-                yield min(a, b), max(a, b)
 
-
-def left_pairs(tree: DataFrame, labels: DataFrame, known: DataFrame, link: Link) -> DataFrame:
-    """a, b: pairs of points in one node but different components that the bounds allow. known: point, size, counts."""
-    with_label = tree.join(labels.withColumnRenamed("v", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
-    open_ = with_label.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("node", "n")
-    parts = F.ceil(F.col("n") / PAGE_GROUP)
-    rows = with_label.join(open_, "node").join(known.select("point", "size", "counts"), "point")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("point"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
-    rows = rows.select("node", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "point", "label", "size", "counts", side.alias("side"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            out = list(page_pairs(held, link)) if len(held) > 1 else []
-            held.clear()
-            if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(8)]
-            for node, p, q, point, label, size, counts, side in zip(*cols, strict=True):
-                if (node, p, q) != at:
-                    yield from done()
-                    at = node, p, q
-                held.append((point, label, size, np.frombuffer(counts, np.int32), side))
-        yield from done()
-
-    n = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "node", "p", "q").sortWithinPartitions("node", "p", "q").mapInArrow(run, "a long, b long").distinct()
+def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose first column isn't that of the row before."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            p = np.asarray(batch.column(0))
+            new = np.append(last is None or p[0] != last, p[1:] != p[:-1])
+            last = p[-1]
+            yield batch.filter(pa.array(new))
 
 
 def with_fine(texts: DataFrame, link: Link) -> DataFrame:
-    """point, text, size, fine: counts (uint16) of so many groups, a power of two, that a group has two to four tokens."""
+    """point, text, size, fine. Of neighbouring rows of one point the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
-            fine = []
+        for chunk in chunks(firsts(batches)):
             sets = token_sets(chunk, link)
-            for s in sets:
-                groups = max(GROUPS, 1 << max(0, (len(s) // 2).bit_length() - 1))
-                fine.append(np.bincount((s & U64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([chunk.column("point"), chunk.column("text"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fine, pa.binary())], ["point", "text", "size", "fine"])
+            yield pa.RecordBatch.from_arrays([chunk.column("point"), chunk.column("text"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fine_counts(s) for s in sets], pa.binary())], ["point", "text", "size", "fine"])
 
     return texts.select("point", "text").mapInArrow(run, "point long, text string, size long, fine binary")
 
 
+def folded(counts: np.ndarray, n: int) -> np.ndarray:
+    """Counts (the last axis) of n groups from those of more groups."""
+    return counts if counts.shape[-1] == n else counts.reshape(*counts.shape[:-1], -1, n).sum(-2)
+
+
+def allowed(x: np.ndarray, y: np.ndarray, size_x: int, size_y: int, link: Link) -> bool:
+    """Whether sizes and the sum of coordinate minima allow a link."""
+    if min(size_x, size_y) * link.den < max(size_x, size_y) * link.num:
+        return False
+    n = min(len(x), len(y))
+    return bool(np.minimum(folded(x, n), folded(y, n)).sum(dtype=np.int64) >= link.need(size_x + size_y))
+
+
 def screened(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
-    """The pairs (a, b) that the sum of minima of their fine counts allows. A finer vector folds onto a coarser one."""
-    left = texts.select(F.col("point").alias("a"), F.col("fine").alias("fine_a"))
-    right = texts.select(F.col("point").alias("b"), F.col("fine").alias("fine_b"))
+    """The pairs (a, b) for which sizes and fine counts allow a link. texts: point, size, fine."""
+    left = texts.select(F.col("point").alias("a"), F.col("size").alias("size_a"), F.col("fine").alias("fine_a"))
+    right = texts.select(F.col("point").alias("b"), F.col("size").alias("size_b"), F.col("fine").alias("fine_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64)
-                n = min(len(x), len(y))
-                low = np.minimum(x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)).sum()
-                ok.append(bool(low >= link.need(int(x.sum() + y.sum()))))
+            cols = [batch.column(i).to_pylist() for i in range(2, 6)]
+            ok = [allowed(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), m, n, link) for m, n, x, y in zip(*cols, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "fine_a", "fine_b").mapInArrow(run, "a long, b long")
+    sizes = texts.select("point", "size")
+    near = pairs.join(sizes.select(F.col("point").alias("a"), F.col("size").alias("of_a")).hint("merge"), "a").join(sizes.select(F.col("point").alias("b"), F.col("size").alias("of_b")).hint("merge"), "b")
+    near = near.filter(F.least("of_a", "of_b") * link.den >= F.greatest("of_a", "of_b") * link.num).select("a", "b")
+    return near.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "size_a", "size_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long")
+
+
+class Roots:
+    """The components of n things as pairs of them are joined; the root of a component is its least number."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        x, y = self.of[a], self.of[b]
+        apart = x != y
+        if not apart.any():
+            return
+        n = len(self.of)
+        parent: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (to := parent.get(i, i)) != i:
+                i = to
+            return i
+
+        for key in np.unique(x[apart] * n + y[apart]).tolist():
+            i, j = find(key // n), find(key % n)
+            parent[max(i, j)] = parent.setdefault(min(i, j), min(i, j))
+        to = np.arange(n)
+        for i in parent:
+            to[i] = find(i)
+        self.of = to[self.of]
+
+    def one(self, u: slice, v: slice) -> bool:
+        """Whether all things of both slices are in one component."""
+        root = self.of[u.start]
+        return bool((self.of[u] == root).all() and (self.of[v] == root).all())
+
+
+class Level:
+    """Points whose counts have one length, packed into pages; folded versions of both are made when asked for."""
+
+    def __init__(self, at: np.ndarray, table: np.ndarray, size: np.ndarray):
+        self.at, self.size = at, size
+        starts = np.arange(0, len(at), PAGE)
+        self.page = np.arange(len(at)) // PAGE
+        self.least, self.most = np.minimum.reduceat(size, starts), np.maximum.reduceat(size, starts)
+        self.starts, self.tables = starts, {table.shape[1]: (table, np.maximum.reduceat(table, starts))}
+        self.width = table.shape[1]
+
+    def folded(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        if m not in self.tables:
+            table = folded(self.tables[self.width][0], m)
+            self.tables[m] = table, np.maximum.reduceat(table, self.starts)
+        return self.tables[m]
+
+    def near(self, x: np.ndarray, n: int, open_: np.ndarray, link: Link) -> np.ndarray:
+        """Numbers of the open points that the bounds allow to link with counts x of n tokens."""
+        alive = open_[self.at]
+        pages = (self.most * link.den >= n * link.num) & (n * link.den >= self.least * link.num)
+        pages &= np.bitwise_or.reduceat(alive, self.starts)
+        if not pages.any():
+            return self.at[:0]
+        m = min(len(x), self.width)
+        x, (table, corner) = folded(x, m), self.folded(m)
+        live = np.flatnonzero(pages)
+        pages[live] = np.minimum(corner[live], x).sum(1, dtype=np.int64) >= link.need(n + self.least[live])
+        own = np.flatnonzero(alive & pages[self.page] & (np.minimum(n, self.size) * link.den >= np.maximum(n, self.size) * link.num))
+        if not len(own):
+            return self.at[:0]
+        low = np.minimum(table[own], x).sum(1, dtype=np.int64)
+        return self.at[own[low >= link.need(n + self.size[own])]]
+
+
+def spanning(held: list[tuple], link: Link) -> list[tuple[int, int]]:
+    """Pairs of labels, one less than there are, for each component of points that the bounds allow to link.
+
+    held: (point, label, size, fine counts, part); points of a label count as joined already, and with two parts only
+    points of different parts are compared. Labels are taken from the one with the fewest points on, each point being
+    compared with all that aren't in its component yet; so the largest label's points needn't be taken at all.
+    """
+    held.sort(key=lambda x: (len(x[3]), x[2], x[0]))
+    names, label = np.unique(np.array([x[1] for x in held], np.int64), return_inverse=True)
+    if len(names) < 2:
+        return []
+    size = np.array([x[2] for x in held], np.int64)
+    part = np.array([x[4] for x in held], np.int64)
+    parted = bool((part != part[0]).any())
+    width = np.array([len(x[3]) for x in held])
+    cut = np.append(np.flatnonzero(np.append(True, width[1:] != width[:-1])), len(held))
+    levels = [Level(np.arange(a, b), np.stack([x[3] for x in held[a:b]]), size[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    roots, out = Roots(len(names)), []
+    order = np.argsort(np.bincount(label), kind="stable")
+    members = np.split(np.argsort(label, kind="stable"), np.cumsum(np.bincount(label))[:-1])
+    for own in order[:-1].tolist():
+        for u in members[own].tolist():
+            open_ = roots.of[label] != roots.of[own]
+            if parted:
+                open_ &= part != part[u]
+            if not open_.any():
+                if not parted:
+                    break
+                continue
+            hit = [level.near(held[u][3], int(size[u]), open_, link) for level in levels]
+            new = np.unique(label[np.concatenate(hit)])
+            _, first = np.unique(roots.of[new], return_index=True)
+            new = new[first]
+            out += [(int(names[own]), int(names[x])) for x in new.tolist()]
+            roots.join(np.full(len(new), own), new)
+    return out
+
+
+class Memo:
+    """Labels that a task has told to be joined; so later nodes of the same points have less to look at."""
 
+    def __init__(self, limit: int = 500_000):
+        self.parent: dict[int, int] = {}
+        self.limit = limit
 
-def verified(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
-    """The pairs (a, b) of points whose texts' tokens link. texts: point, text."""
-    left = texts.select(F.col("point").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("point").alias("b"), F.col("text").alias("text_b"))
+    def find(self, x: int) -> int:
+        while (to := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(to, to)
+            x = to
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        if len(self.parent) > self.limit:
+            self.parent.clear()
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+
+def node_edges(tree: DataFrame, labels: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
+    """a, b: labels (a point without one is its own) that join the pieces of nodes as far as the bounds allow; distinct."""
+    with_label = tree.join(labels.withColumnRenamed("v", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
+    open_ = with_label.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("node", "n")
+    rows = with_label.join(open_, "node").join(texts.select("point", "size", "fine").hint("merge"), "point")
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / PAGE_GROUP)).withColumn("part", F.pmod(F.xxhash64("point"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("node", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "point", "label", "size", "fine", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, memo, out = None, [], Memo(), []
+
+        def done() -> None:
+            out.extend(x for x in spanning(held, link) if memo.join(*x))
+            held.clear()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if out:
+                a, b = zip(*out, strict=True)
+                out.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                sides = []
-                for i in (2, 3):
-                    own = pa.RecordBatch.from_arrays([part.column(i)], ["text"])
-                    sides.append([s for chunk in chunks(iter([own])) for s in token_sets(chunk, link)])
-                ok = []
-                for x, y in zip(*sides, strict=True):
-                    z = np.sort(np.concatenate((x, y)))
-                    shared = int((z[1:] == z[:-1]).sum())
-                    ok.append(shared > 0 and link.den * shared >= link.num * (len(x) + len(y) - shared))
-                yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+            cols = [batch.column(i).to_pylist() for i in range(8)]
+            for node, p, q, point, label, size, fine, part in zip(*cols, strict=True):
+                if (node, p, q) != at:
+                    done()
+                    at = node, p, q
+                held.append((point, memo.find(label), size, np.frombuffer(fine, np.uint16), part))
+            yield from told()
+        done()
+        yield from told()
+
+    n = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "node", "p", "q").sortWithinPartitions("node", "p", "q").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -390,17 +483,19 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(held: list[tuple[int, int, np.ndarray]], link: Link) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(points a, points b, shared, union) of all links; held: (point, side, set); side 0: both sides."""
-    held.sort(key=lambda x: (len(x[2]), x[0]))
-    p, side = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
+def linked(held: list[tuple[int, int, np.ndarray]], link: Link, roots: Roots | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers a, numbers b, shared, union) of all links; held: (point, side, set), sorted by size; side 0: both sides.
+
+    With roots, pages that are in one component already are passed over.
+    """
+    side = np.array([x[1] for x in held], np.int64)
     size = np.array([len(x[2]) for x in held], np.int64)
-    pages = range(0, len(p), 4 * PAGE)
+    pages = range(0, len(held), 4 * PAGE)
     for i in pages:
         u = slice(i, i + 4 * PAGE)
         for j in pages:
             v = slice(j, j + 4 * PAGE)
-            if j < i or size[u].max() * link.den < size[j] * link.num:
+            if j < i or size[u].max() * link.den < size[j] * link.num or roots is not None and roots.one(u, v):
                 continue
             sides = side[u, None] + side[None, v]
             ok = (sides == 0) | (sides == 3)
@@ -411,42 +506,55 @@ def linked(held: list[tuple[int, int, np.ndarray]], link: Link) -> Iterator[tupl
             shared = overlaps([x[2] for x in held[u]], [x[2] for x in held[v]])
             union = size[u, None] + size[None, v] - shared
             a, b = np.nonzero(ok & (shared > 0) & (link.den * shared >= link.num * union))
-            yield p[i + a], p[j + b], shared[a, b], union[a, b]
+            yield i + a, j + b, shared[a, b], union[a, b]
 
 
-def all_links(labels: DataFrame, texts: DataFrame, link: Link, listed: bool = False) -> DataFrame:
-    """v, n_links: partial numbers of links of the points of components; or if listed a, b, shared, n_union for each link.
+#: What all_links gives out: a, b, shared, n_union of each link; or a, b of pairs that span the components, and, with
+#: DEGREES, the rows (a, null, n_links) too, to be summed by a.
+LISTED, DEGREES, SPANNING = "listed", "degrees", "spanning"
 
-    labels: v, label; texts: point, text, size.
-    """
-    each = labels.join(texts.select(F.col("point").alias("v"), "text", "size").hint("merge"), "v")
-    parts = labels.join(texts.select(F.col("point").alias("v"), "size").hint("merge"), "v").groupBy("label")
-    parts = parts.agg(F.ceil(F.greatest(F.count("*") / PAGE_GROUP, F.sum("size") / PAGE_TOKENS)).alias("parts"))
-    rows = each.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("v"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+
+def all_links(clusters: DataFrame, texts: DataFrame, link: Link, what: str) -> DataFrame:
+    """The links within clusters. clusters: v, label; texts: point, text, size."""
+    sizes = clusters.join(texts.select(F.col("point").alias("v"), "size").hint("merge"), "v")
+    parts = sizes.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / PAGE_GROUP, F.sum("size") / PAGE_TOKENS)).alias("parts"))
+    dealt = clusters.join(parts.hint("merge"), "label")
+    rows = dealt.join(texts.select(F.col("point").alias("v"), "text").hint("merge"), "v")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("v"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
     rows = rows.select("label", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "v", side.alias("side"), "text")
+    names = ["a", "b", "shared", "n_union"] if what == LISTED else ["a", "b", "n_links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        points_, counts, n = [], [], 0
+        at, held, out, n = None, [], [], 0
         seen: set[int] = set()
 
         def told() -> Iterator[pa.RecordBatch]:
-            if points_:
-                v, m = np.concatenate(points_), np.concatenate(counts)
-                points_.clear(), counts.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(m)], ["v", "n_links"])
-
-        def done() -> Iterator[pa.RecordBatch]:
-            ends = []
-            for a, b, shared, union in linked(held, link) if len(held) > 1 else ():
-                if listed and len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared), pa.array(union)], ["a", "b", "shared", "n_union"])
-                ends.append(np.unique(np.concatenate((a, b)), return_counts=True))
+            if out:
+                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+                out.clear()
+                none = cols[2] > 0 if what != LISTED else None
+                yield pa.RecordBatch.from_arrays([pa.array(c, mask=none if i == 1 else None) for i, c in enumerate(cols)], names)
+
+        def done() -> None:
+            if len(held) > 1:
+                held.sort(key=lambda x: (len(x[2]), x[0]))
+                p, roots = np.array([x[0] for x in held], np.int64), Roots(len(held))
+                degree = np.zeros(len(held), np.int64)
+                for a, b, shared, union in linked(held, link, roots if what == SPANNING else None):
+                    if what == LISTED:
+                        out.append((np.minimum(p[a], p[b]), np.maximum(p[a], p[b]), shared, union))
+                        continue
+                    roots.join(a, b)
+                    degree += np.bincount(a, minlength=len(held)) + np.bincount(b, minlength=len(held))
+                if what != LISTED:
+                    own = np.flatnonzero(roots.of != np.arange(len(held)))
+                    out.append((p[roots.of[own]], p[own], np.zeros(len(own), np.int64)))
+                if what == DEGREES:
+                    own = np.flatnonzero(degree)
+                    out.append((p[own], p[own], degree[own]))
             held.clear()
-            if ends and not listed:
-                points_.extend(v for v, _ in ends)
-                counts.extend(m for _, m in ends)
+            seen.clear()
 
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
@@ -456,37 +564,36 @@ def all_links(labels: DataFrame, texts: DataFrame, link: Link, listed: bool = Fa
                     label, p, q, v, side = keys[row]
                     row += 1
                     if (label, p, q) != at:
-                        yield from done()
+                        done()
                         at = label, p, q
                         n += 1
-                        if n % 1_000 == 0:
+                        if n % 500 == 0 or sum(len(x[0]) for x in out[-1:]) > 100_000:
                             yield from told()
-                        seen.clear()
                     if v not in seen:  # equal rows are one point
                         seen.add(v)
                         held.append((v, side, s))
-        yield from done()
+        done()
         yield from told()
 
-    n = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "label", "p", "q").sortWithinPartitions("label", "p", "q").mapInArrow(run, "a long, b long, shared long, n_union long" if listed else "v long, n_links long")
+    n = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "label", "p", "q").sortWithinPartitions("label", "p", "q").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 @dataclass
 class Found:
-    """Components of a table: every row's point; each point's least document; texts of points; v, label of points with links."""
+    """Clusters of a table: every row's point; each point's least document; texts of points; v, label of points that may link."""
 
     every: DataFrame
     known: DataFrame
     texts: DataFrame
-    labels: DataFrame
+    clusters: DataFrame
     ok: Column
 
-    def groups(self) -> DataFrame:
-        """point, component: the least document that each point reaches."""
-        by_point = self.known.select("point", "rep").join(self.labels, self.known["point"] == self.labels["v"], "left").drop("v")
-        reach = by_point.filter("label is not null").groupBy("label").agg(F.min("rep").alias("component"))
-        return by_point.join(reach, "label", "left").select("point", F.coalesce("component", "rep").alias("component"))
+    def groups(self, edges: DataFrame) -> DataFrame:
+        """point, one: doc_id and text_key of the least document that each point reaches by edges."""
+        by_point = self.known.join(components(edges).withColumnRenamed("v", "point"), "point", "left")
+        reach = by_point.filter("label is not null").groupBy("label").agg(F.min("one").alias("least"))
+        return by_point.join(reach, "label", "left").select("point", F.coalesce("least", "one").alias("one"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -496,25 +603,49 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
     """
     link = Link(n, num, den)
     found = _found(docs, link, id_col, text_col)
-    degree = all_links(found.labels, found.texts, link).groupBy(F.col("v").alias("point")).agg(F.sum("n_links").alias("n_links"))
-    out = found.every.select("doc_id", "size", "point").join(found.groups().join(degree, "point", "left"), "point", "left")
-    own = F.when(found.ok, F.col("component")).otherwise(F.col("doc_id"))
+    links = written(all_links(found.clusters, found.texts, link, DEGREES))
+    degree = links.filter("b is null").groupBy(F.col("a").alias("point")).agg(F.sum("n_links").alias("n_links"))
+    groups = found.groups(links.filter("b is not null").select("a", "b"))
+    out = found.every.select("doc_id", "size", "point").join(groups.join(degree, "point", "left"), "point", "left")
+    own = F.when(found.ok, F.col("one.doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def near_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of near_duplicates, without the pass that counts links."""
-    found = _found(docs, Link(n, num, den), id_col, text_col)
-    own = F.when(found.ok, F.col("component")).otherwise(F.col("doc_id"))
-    return found.every.select("doc_id", "size", "point").join(found.groups(), "point", "left").select("doc_id", own.alias("component_id"))
+    """doc_id, text_key (xxhash64 of the text), component_id and component_key: one row for each row of docs that has an id and a word.
+
+    component_id and component_key tell the least (doc_id, text_key) that the row reaches. Links are not counted.
+    """
+    link = Link(n, num, den)
+    found = _found(docs, link, id_col, text_col)
+    groups = found.groups(written(all_links(found.clusters, found.texts, link, SPANNING)).select("a", "b"))
+    return found.every.filter(found.ok).join(groups, "point").select("doc_id", "text_key", F.col("one.doc_id").alias("component_id"), F.col("one.text_key").alias("component_key"))
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, of which each group of near copies keeps one: that with the least (id, text hash).
+
+    Rows of one id with different texts are documents of their own. Of rows equal in id and text one stays (any one, if
+    they differ in other columns). Rows without an id or without a word are in no group and stay.
+    """
+    groups = near_groups(docs, n, num, den, id_col, text_col)
+    gone = (F.col("doc_id") != F.col("component_id")) | (F.col("text_key") != F.col("component_key"))
+    judged = groups.groupBy(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key")).agg(F.max(gone).alias("_near_gone"), F.count("*").alias("_near_rows"))
+    judged = written(judged.filter("_near_gone or _near_rows > 1"))
+    # By position, since columns of docs may have any name, or one name twice.
+    same = (docs[id_col].cast("long") == judged["_near_id"]) & (F.xxhash64(docs[text_col]) == judged["_near_key"])
+    one = docs.join(judged.select("_near_id", "_near_key"), same, "left_anti")
+    again = judged.filter("not _near_gone")
+    several = docs.join(again, (docs[id_col].cast("long") == again["_near_id"]) & (F.xxhash64(docs[text_col]) == again["_near_key"]), "left_semi")
+    return one.unionByName(several.dropDuplicates([id_col, text_col])) if not again.isEmpty() else one
 
 
 def near_pairs(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_a, doc_b, shared, n_union: each link of two different sets once, a set being told by its least doc_id."""
     link = Link(n, num, den)
     found = _found(docs, link, id_col, text_col)
-    a, b = (found.known.select(F.col("point").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab")
-    pairs = all_links(found.labels, found.texts, link, listed=True).join(a, "a").join(b, "b")
+    a, b = (found.known.select(F.col("point").alias(x), F.col("one.doc_id").alias(f"rep_{x}")) for x in "ab")
+    pairs = all_links(found.clusters, found.texts, link, LISTED).join(a, "a").join(b, "b")
     return pairs.select(F.least("rep_a", "rep_b").alias("doc_a"), F.greatest("rep_a", "rep_b").alias("doc_b"), "shared", "n_union")
 
 
@@ -522,27 +653,24 @@ def _found(docs: DataFrame, link: Link, id_col: str, text_col: str) -> Found:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     every = written(points(rows, link))
     ok = F.col("doc_id").isNotNull() & (F.col("size") > 0)
-    one = F.min(F.struct("doc_id", "text_key"))
-    known = written(every.filter(ok).groupBy("point").agg(one.alias("one"), F.max("size").alias("size"), F.max("counts").alias("counts")).select("point", F.col("one.doc_id").alias("rep"), F.col("one.text_key").alias("rep_key"), "size", "counts"))
+    known = written(every.filter(ok).groupBy("point").agg(F.min(F.struct("doc_id", "text_key")).alias("one")))
+
     tree = written(nodes(rows, link))
-    in_tree = written(tree.select("point").distinct().join(known, "point"))
+    # Of nodes with the same points (told by 128 bits) one is kept. Its hubs are its least and its largest point.
+    mark = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("point")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "point")).alias("y"))
+    kept = tree.groupBy("node").agg(F.min("point").alias("lo"), F.max("point").alias("hi"), *mark).groupBy("n", "x", "y", "lo", "hi").agg(F.min("node").alias("node"))
+    tree = written(tree.join(kept.select("node", "lo", "hi"), "node"))
+
     # The texts of one document for each point in a node of several. They are merged by shuffling at every size: a
     # broadcast of ids would only do for small tables, and a plan that changes with the size can't be judged on them.
-    wanted = in_tree.select("point", F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key"))
+    wanted = tree.select("point").distinct().join(known, "point").select("point", "one.doc_id", "one.text_key")
     texts = written(rows.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("point", "text").transform(with_fine, link))
-    ends = in_tree.select("point", "size", "counts")
-    a_side, b_side = (ends.select(*(F.col(c).alias(x if c == "point" else f"{c}_{x}") for c in ("point", "size", "counts"))) for x in "ab")
 
-    hubs = tree.groupBy("node").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "point").alias("h"), "point")).alias(f"hub{i}") for i in (1, 2)))
-    stars = tree.join(hubs, "node").select("point", F.explode(F.array("hub1.point", "hub2.point")).alias("hub")).filter("point <> hub")
+    stars = tree.select("point", F.explode(F.array("lo", "hi")).alias("hub")).filter("point <> hub")
     stars = stars.select(F.least("point", "hub").alias("a"), F.greatest("point", "hub").alias("b")).distinct()
-    sized = stars.join(a_side, "a").join(b_side, "b").filter((F.least("size_a", "size_b") * link.den >= F.greatest("size_a", "size_b") * link.num))
-    first = written(verified(screened(bounded(sized, link), texts, link), texts, link))
-    labels = components(first)
-    left = written(left_pairs(tree, labels, ends, link))
-    if not left.isEmpty():
-        second = written(verified(screened(left, texts, link), texts, link))
-        if not second.isEmpty():
-            labels = components(first.union(second).distinct())
-
-    return Found(every, known, texts, labels, ok)
+    labels = components(written(screened(stars, texts, link)))
+    joins = components(written(node_edges(tree.select("node", "point"), labels, texts, link)))
+    joins = joins.select(F.col("v").alias("_label"), F.col("label").alias("_to"))
+    own = texts.select(F.col("point").alias("v")).distinct().join(labels, "v", "left").withColumn("_own", F.coalesce("label", "v"))
+    clusters = own.join(joins, own["_own"] == joins["_label"], "left").filter("label is not null or _to is not null")
+    return Found(every, known, texts, written(clusters.select("v", F.coalesce("_to", "_own").alias("label"))), ok)

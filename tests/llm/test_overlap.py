@@ -49,21 +49,59 @@ def test_odd(spark):
     assert overlap.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_pages_in_parts():
+def test_spanning_pairs():
     link = overlap.Link(3, 90, 100)
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 9, (20, overlap.GROUPS)).astype(np.int32)
-    pts = []
-    for i in range(200):
-        c = base[i % 20].copy()
-        c[rng.integers(0, overlap.GROUPS, 3)] += 1
-        pts.append((i, i, int(c.sum()), c, 0))
-    want = {(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and np.minimum(a[3], b[3]).sum() * 190 >= 90 * (a[2] + b[2])}
-    assert set(overlap.page_pairs(list(pts), link)) == want and want
-    halves = set()
-    for side in ([(x, 0) for x in pts if x[0] % 2 == 0], [(x, 0) for x in pts if x[0] % 2], [(x, 1 + x[0] % 2) for x in pts]):
-        halves |= set(overlap.page_pairs([(*x[:4], s) for x, s in side], link))
-    assert halves == want
+    base = [np.unique(rng.integers(0, 1 << 62, size)).astype(np.uint64) for size in (40, 70, 130, 131, 300)]
+    points = []
+    for i in range(300):
+        s = base[i % 5].copy()
+        s[rng.integers(0, len(s), 1 + len(s) // 40)] = rng.integers(0, 1 << 62, 1 + len(s) // 40)
+        s = np.unique(s)
+        points.append((i, i // 2 if i < 40 else i, len(s), np.frombuffer(overlap.fine_counts(s), np.uint16), 0))
+    parent = {x[1]: x[1] for x in points}
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for x in points:
+        for y in points:
+            if overlap.allowed(x[3], y[3], x[2], y[2], link):
+                a, b = find(x[1]), find(y[1])
+                parent[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in parent}
+    got = overlap.spanning(list(points), link)
+    assert len(got) == len(parent) - len(set(want.values()))
+    parent = {x[1]: x[1] for x in points}
+    for a, b in got:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert {i: find(i) for i in parent} == want and 1 < len(set(want.values())) < 100
+    parent = {x[1]: x[1] for x in points}
+    sides = ([x for x in points if x[0] % 2 == 0], [x for x in points if x[0] % 2], [(*x[:4], x[0] % 2) for x in points])
+    for a, b in (y for side in sides for y in overlap.spanning(list(side), link)):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert {i: find(i) for i in parent} == want
+
+
+def test_roots():
+    rng = np.random.default_rng(3)
+    roots, parent = overlap.Roots(200), list(range(200))
+    for _ in range(8):
+        a, b = rng.integers(0, 200, (2, 15))
+        roots.join(a, b)
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            lo, hi = sorted((parent[x], parent[y]))
+            parent = [lo if p == hi else p for p in parent]
+    assert roots.of.tolist() == parent
+
+
+def test_dropped_copies(spark):
+    rows = [(4, "a b c d e f", "x"), (4, "q r s t u v", "x"), (4, "q r s t u v", "x"), (2, "a b c d e f", "y"), (None, "a b c d e f", "z"), (None, "a b c d e f", "z"), (7, "", None), (8, None, None), (9, "A B c d e f", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _near_id string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["_near_id"] or "") for r in overlap.drop_near_duplicates(docs).collect())
+    assert got == [(0, "a b c d e f", "z"), (0, "a b c d e f", "z"), (2, "a b c d e f", "y"), (4, "q r s t u v", "x"), (7, "", ""), (8, "", "")]
 
 
 def all_pairs(rows, n, num, den):
@@ -94,8 +132,10 @@ def test_all_links(spark, monkeypatch):
     degree = {i: sum(least[i] in ab for ab in want) for i, _ in rows}
     assert max(degree.values()) > 20
     docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3)
+    components = {i: c for i, (_, c) in brute.components(rows, 3, 80, 100).items()}
     for limit in (overlap.PAGE_GROUP, 25):  # whole, and dealt out by parts
         monkeypatch.setattr(overlap, "PAGE_GROUP", limit)
+        assert {r["doc_id"]: r["component_id"] for r in overlap.near_groups(docs, 3, 80, 100).collect()} == {i: c for i, c in components.items() if i != 901}
         assert {r["doc_id"]: r["n_links"] for r in overlap.near_duplicates(docs, 3, 80, 100).collect()} == degree
         got = overlap.near_pairs(docs, 3, 80, 100).collect()
         assert len(got) == len(want) and {(r["doc_a"], r["doc_b"]): (r["shared"], r["n_union"]) for r in got} == want
