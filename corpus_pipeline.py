@@ -6,8 +6,10 @@ decontamination documents that hold a benchmark item within its error budget go
 private_data    personal data become surrogates
 mix             how often each document is taken so that sources come near their targets; texts with copies > 0
 
-Rows with a null id are judged by their own text, are in no group, and stay. Columns beyond those of documents are
-carried along. Each stage gives an empty table for an empty table.
+Rows with a null id are judged by their own text, are in no group, and stay. Rows that share an id but not the text are
+documents of their own; of rows equal in both one stays. Columns beyond those of documents are carried along; the last
+stage adds copies, taken and source_target (with an underscore before a name that is in use). Each stage gives an empty
+table for an empty table.
 """
 
 from __future__ import annotations
@@ -24,9 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = overlap.near_groups(docs, n=5, num=8, den=10)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return overlap.drop_near_duplicates(docs, n=5, num=8, den=10)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +34,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.distinct(lambda key: pii.rewrite_texts(docs, key), queries.KEY, "_entities").drop("_entities")
+    out = pii.distinct(lambda key: pii.rewrite_texts(docs, key), queries.surrogate_key(spark), "_entities").drop("_entities")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.pareto_mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"), F.max("target").alias("source_target"))
-    taken = taken.filter("copies > 0")
-    own = [c for c in docs.columns if c not in ("copies", "taken", "source_target")]
-    return docs.select(*own).join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).select(*own, "copies", "taken", "source_target")
+    return mixing.mixed(docs)
 
 
 STAGES = [
