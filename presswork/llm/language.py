@@ -5,9 +5,11 @@ edges). A known word adds its log frequency by language. For an unseen word the
 are used, by their mean, and shorter ones only if none is. The language with the largest sum over the whole text wins;
 its score is the share that it has after the sums are divided by the square root of the number of words.
 
-Training reads at most about max_train_docs labelled documents, chosen by a hash of the id, so the model's size and
-the driver's share are bounded: max_words words and max_grams n-grams of each length, by falling count.
+Training reads at most about max_train_docs labelled documents, chosen by a hash of the id, which bounds the model and the
+driver's share; all their words and n-grams that occur twice or more are known ones.
 Null texts and texts without a letter are "und" with score 0, and so is everything if there is nothing to learn from.
+Languages that tie are settled by code point; repeated rows count as often as they are there and are judged alike; very long
+texts are chunks of their own; other columns are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -154,33 +156,29 @@ class Model:
         return out, np.bincount(p.doc, minlength=docs)
 
 
-def train(labelled: DataFrame, max_train_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5) -> Model | None:
+def train(labelled: DataFrame, max_train_docs: int = 10_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5) -> Model | None:
+    """A model of the languages of about max_train_docs rows (by hash of the id), or None if there are none with a letter."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.select(id_col).count()
     share = min(1.0, max_train_docs / max(1, n))
     some = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < share * 1_000_000)
     some = some.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = some.mapInArrow(_count, "n int, h long, lang string, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c"))
-    by = counts.groupBy("n", "h").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by"))
-    parts = None
-    for i in range(LONGEST + 1):
-        top = by.filter((F.col("n") == i) & (F.col("total") >= (3 if i == 0 else 2))).orderBy(F.desc("total"), "h").limit(max_words if i == 0 else max_grams)
-        parts = top if parts is None else parts.unionByName(top)
-    got = parts.collect()
-    langs = sorted({x["lang"] for r in got for x in r["by"]})
+    by = counts.groupBy("n", "h").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by")).filter("total >= 2")
+    got = by.select("n", "h", F.explode("by").alias("x")).select("n", "h", "x.lang", "x.c").toArrow()
+    langs = sorted(set(got["lang"].unique().to_pylist()))
     if not langs:
         return None
+    n, h, c = (np.asarray(got[x]) for x in ("n", "h", "c"))
+    lang = np.array([langs.index(x) for x in got["lang"].unique().to_pylist()], int)[np.asarray(got["lang"].combine_chunks().dictionary_encode().indices)]
     known, logs = [], []
     for i in range(LONGEST + 1):
-        own = [r for r in got if r["n"] == i]
-        h = np.array([r["h"] for r in own], np.int64).view(U64)
-        c = np.zeros((len(own), len(langs)))
-        for k, r in enumerate(own):
-            for x in r["by"]:
-                c[k, langs.index(x["lang"])] = x["c"]
-        order = np.argsort(h)
-        known.append(h[order])
-        logs.append(np.log((c[order] + smooth) / (c.sum(0) + smooth * max(1, len(own)))))
+        own = n == i
+        hashes, row = np.unique(h[own].astype(np.int64).view(U64), return_inverse=True)
+        count = np.zeros((len(hashes), len(langs)), np.float32)
+        count[row, lang[own]] = c[own]
+        known.append(hashes)
+        logs.append(np.log((count + smooth) / (count.sum(0) + smooth * max(1, len(hashes)))).astype(np.float32))
     return Model(langs, known, logs)
 
 

@@ -6,7 +6,8 @@ diagonals (words inserted or left out) are merged; a merged span is verified by
 covers. A phrase (a template that must stand word by word) needs all its grams on one diagonal.
 
 The grams of the templates are a fixed, small table (a few hundred rows), so it is broadcast; texts are not shuffled,
-only votes are. Null texts have no words; equal rows are told apart by a row key; empty tables give no rows.
+only votes are. Null texts have no words; rows equal in id and text have equal results; a span of several labels has
+all of them; very long texts are a chunk of their own; other columns are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -75,6 +76,11 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([chunk.column("doc_id").take(owner), chunk.column("text_key").take(owner), pa.array(words.place[at].astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "text_key", "pos", "h"])
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in chunks(batches, "text"):
+        yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("text_key"), pa.array(Words(chunk, ALNUM).count.astype(np.int64))], ["doc_id", "text_key", "n_words"])
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, places (of phrases, in order), base_labels, labels, score: one row for each row of docs.
 
@@ -102,8 +108,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sort_array(F.collect_set("label")).alias("labels"),
         F.max("share").alias("score"),
     ).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
-    counted = rows.select("doc_id", "text_key", n_words.alias("n_words"))
+    counted = rows.mapInArrow(_counts, f"doc_id {kind}, text_key long, n_words long")
     none = F.array().cast("array<string>")
     return counted.join(found, counted["doc_id"].eqNullSafe(found["_id"]) & (counted["text_key"] == found["_key"]), "left").select(
         "doc_id", "n_words", F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score")

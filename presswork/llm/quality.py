@@ -181,7 +181,7 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate:
 
 def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 2_000) -> Field:
     """The field from about max_train_docs labelled documents, chosen by a hash of the id, with all their lines."""
-    known = labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     good = known.filter("quality = 1").count()
     each = max_train_docs / 2
