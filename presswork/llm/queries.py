@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from . import decontaminate, language, licenses, mixing, overlap, pii, quality, repeats, secrets, toxicity
 from .shared import table
 
+#: Stands in where the session names no key, as in tests. Set spark.presswork.surrogateKey to a secret of your own.
 KEY = b"presswork surrogate key"
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    own = spark.conf.get("spark.presswork.surrogateKey", None)
+    return own.encode() if own else KEY
+
+
 def fold(id_col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
@@ -42,7 +48,7 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = fold("doc_id", 3) == 1
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     model = language.train(docs.filter(~held_out).select("doc_id", "text", "lang"))
     out = language.identify(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
@@ -69,7 +75,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pii.distinct(lambda key: pii.replace_pii(docs, key), KEY)
+    return pii.distinct(lambda key: pii.replace_pii(docs, key), surrogate_key(spark))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

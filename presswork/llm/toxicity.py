@@ -1,16 +1,19 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are all words, lower-cased, of the labelled examples. A word's weight is its IDF times 1 + z squared, z being how
-far its share of toxic rows is from its share of others, both counted in all labelled rows: no word is left out, those
-that go with the label count more (plain IDF finds 55 % of held-out toxic rows of sf0.1). Examples become unit vectors in an inverted index whose posting lists are sorted by example and cut into blocks, each with its largest
-weight. A query walks blocks of examples; a block whose sum of maxima can't reach the k-th best cosine is skipped, all
-others are scored exactly, so the neighbours are those of a full scan. Words that no example has are left out of a
-query's length: they would scale all its cosines alike.
+Terms are all words, lower-cased, of the labelled examples. A word's weight is its IDF, counted in all documents, times
+1 + z squared, z being how far its share of toxic rows is from its share of others in the sample of labelled rows: no word
+is left out, those that go with the label count more (plain IDF finds 55 % of held-out toxic rows of sf0.1). Examples
+become unit vectors in an inverted index; examples that are alike stand together, posting lists are sorted by example and
+cut into blocks, each with its largest weight. A query walks blocks of examples; a block whose sum of maxima can't reach
+the k-th best cosine is skipped, all others are scored exactly, so the neighbours are those of a full scan. Words that no
+example has are left out of a query's length: they would scale all its cosines alike.
 Neighbours vote with their cosine; the vote is turned into a score by a table of label shares fitted on the examples
 (each without itself), made monotone. The score carries the ids and cosines of the neighbours as evidence.
 
-Bounds: max_examples examples, by hash of the id. Null and empty texts and texts without any word of an example score
-the share of toxic ones among examples without a neighbour. Ties go to the smaller example.
+Bounds: max_examples examples out of max_rows labelled rows, both by hash of the id. Null and empty texts and texts
+without any word of an example score the share of toxic ones among examples without a neighbour. Ties go to the example
+that stands first; equal rows score alike; very long texts are scored whole; contradicting labels of an id count as toxic
+(the query sees to that); other columns are not read, or are carried along; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -173,17 +176,35 @@ class Index:
         self.cuts, self.shares = edges, np.clip(np.array(shares), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, k: int = 15, max_examples: int = 4_000) -> Index:
+def alike(vectors: list[tuple[object, int, np.ndarray, np.ndarray]], n_terms: int, pivots: int = 64) -> list:
+    """The vectors, those with the same nearest pivot together; so blocks have low maxima where a query has none of their words."""
+    if len(vectors) <= BLOCK:
+        return vectors
+    t, w = np.concatenate([v[2] for v in vectors]), np.concatenate([v[3] for v in vectors])
+    e = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])
+    best, own = np.full(len(vectors), -1.0), np.zeros(len(vectors), int)
+    for k, i in enumerate(np.linspace(0, len(vectors) - 1, pivots).astype(int).tolist()):
+        dense = np.zeros(n_terms)
+        dense[vectors[i][2]] = vectors[i][3]
+        cosine = np.bincount(e, w * dense[t], len(vectors))
+        own[cosine > best] = k
+        best = np.maximum(best, cosine)
+    return [vectors[i] for i in np.lexsort((-best, own)).tolist()]
+
+
+def train(docs: DataFrame, labels: DataFrame, k: int = 15, max_examples: int = 4_000, max_rows: int = 20_000) -> Index:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1), one row for each id.
 
-    About max_examples labelled rows, as many of either label as there are up to half, chosen by a hash of the id, become
-    examples. Their words are the terms, counted in all labelled rows.
+    About max_rows labelled rows, as many of either label as there are up to half, chosen by a hash of the id, say how
+    words go with the label; about max_examples of them become examples. In how many documents a word is, is counted in all.
     """
     known = written(labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")))
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = {y: min(1.0, max_examples / 2 / max(1, total.get(y, 0))) for y in (0, 1)}
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * 1_000_000
-    some = docs.select("doc_id", "text").join(F.broadcast(known.filter(drawn)), "doc_id")
+    share, row_share = ({y: min(1.0, m / 2 / max(1, total.get(y, 0))) for y in (0, 1)} for m in (max_examples, max_rows))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1_000_000))
+    drawn = lambda share: place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * 1_000_000
+    sample = F.broadcast(known.filter(drawn(row_share)))  # max_rows rows of an id and a label
+    some = docs.select("doc_id", "text").join(F.broadcast(known.filter(drawn(share))), "doc_id")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
@@ -198,36 +219,36 @@ def train(docs: DataFrame, labels: DataFrame, k: int = 15, max_examples: int = 4
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Labelled rows of either label with each term, summed over a task before anything moves."""
+        """Rows with each term: all, sampled and not toxic, sampled and toxic; summed over a task before anything moves."""
         terms = sent.value
-        count = np.zeros(2 * len(terms) + 2, np.int64)  # not toxic, toxic by term; the last term stands for the rows
+        count = np.zeros(3 * len(terms) + 3, np.int64)  # the last term stands for the rows
         for chunk in chunks(batches):
-            toxic = np.asarray(chunk.column("toxic")).astype(np.int64)
-            count[-2:] += np.bincount(toxic, minlength=2)
+            kind = np.asarray(chunk.column("kind")).astype(np.int64)
+            count[-3:] += np.bincount(kind, minlength=3)
             if len(terms):
                 doc, h, _ = row_terms(chunk)
                 at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
                 ok = terms[at] == h
-                count[:-2] += np.bincount(2 * at[ok] + toxic[doc[ok]], minlength=2 * len(terms))
+                count[:-3] += np.bincount(3 * at[ok] + kind[doc[ok]], minlength=3 * len(terms))
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["at", "n"])
 
-    # Merged by shuffling at every size: the ids of all labelled rows would only do for a broadcast in small tables.
-    every = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("text", "toxic")
+    every = docs.select("doc_id", "text").join(sample, "doc_id", "left").select("text", F.coalesce(F.col("toxic") + 1, F.lit(0)).alias("kind"))
     sums = every.mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros(2 * len(terms) + 2)
+    count = np.zeros(3 * len(terms) + 3)
     count[np.asarray(sums["at"])] = np.asarray(sums["n"])
-    count = count.reshape(-1, 2)
-    (n0, n1), (c, t) = count[-1], count[:-1].T
+    count = count.reshape(-1, 3)
+    n_docs, df = count[-1].sum(), count[:-1].sum(1)
+    (_, n0, n1), (_, c, t) = count[-1], count[:-1].T
     p = (t + c) / max(1, n0 + n1)
-    z = (t / max(1, n1) - c / max(1, n0)) / np.sqrt(p * (1 - p + 1e-9) * (1 / max(1, n1) + 1 / max(1, n0)))
-    idf = np.log((n0 + n1 + 1) / (t + c + 0.5)) * (1 + z * z)
+    z = (t / max(1, n1) - c / max(1, n0)) / np.sqrt(p * (1 - p + 1e-9) * (1 / max(1, n1) + 1 / max(1, n0)) + 1e-18)
+    idf = np.log((n_docs + 1) / (df + 0.5)) * (1 + z * z)
     blank = Index.build(terms, idf, [], k)
     made = []
     for (i, y, *_), (h, times) in zip(got, rows, strict=True):
         _, t, w = blank.vectors(np.zeros(len(h), int), h, times)
         made.append((i, y, t, w))
-    index = Index.build(terms, idf, [v for v in made if len(v[2])], k)
+    index = Index.build(terms, idf, alike([v for v in made if len(v[2])], len(terms)), k)
     # The sample has as many of either label as can be; votes and shares are weighed back to the true proportions.
     votes = [index.vote(*index.nearest(t, w, without=i)) if len(t) else -1.0 for i, _, t, w in made]
     index.calibrate(votes, [y for _, y, *_ in made], [1 / max(share[y], 1e-9) for _, y, *_ in made])

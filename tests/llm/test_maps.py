@@ -1,7 +1,11 @@
 """Operators that look at one document at a time, against brute force and on odd inputs."""
 
+import random
+import re
 import time
+import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,7 +58,6 @@ def test_quality(spark, odd):
 def test_viterbi_is_exact():
     import itertools
 
-    import numpy as np
 
     rng = np.random.default_rng(5)
     field = quality.Field(rng.normal(size=(quality.FEATURES, 2)), rng.normal(size=(2, 2)))
@@ -98,6 +101,7 @@ def test_pii(spark, odd):
     text = "Mrs Anna Smith (anna.smith@mail.example.com, +1 (743) 555-3824, 743-555-3824) 10.2.3.44 4111111111111111 Anna Smith αβγ@δε.com"
     docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
     a, b = pii.replace_pii(docs).orderBy("doc_id").collect()
+    assert "value_sha256" not in a["entities"][0] and {e["value_hmac"] for e in a["entities"]} != {e["value_hmac"] for e in pii.replace_pii(docs, b"other").first()["entities"]}
     assert a["text"] == b["text"] and not any(x in a["text"] for x in ("Anna", "anna.smith", "555-3824", "10.2.3.44", "4111111111111111", "αβγ"))
     assert len(a["text"]) >= len(text) - 30
     by = {}
@@ -112,6 +116,61 @@ def test_pii(spark, odd):
         assert sorted(moved) == list(range(n)) and all(x != y for x, y in enumerate(moved))
 
 
+def test_no_value_survives():
+    """Over scripts: what is detected is found whole, changes, and keeps the case and kind of each character."""
+    values = {
+        "email": ("张伟@例子.中国", "李娜@公司.cn", "محمد@شركة.com", "éàü@öä.de", "ÑANDÚ@ŁÓDŹ.PL", "अमित@भारत.in", "ᵃ@ʰ.com"),
+        "phone": ("+33123456789", "+33 6 12 34 56 78", "06 12 34 56 78", "+34612345678", "(030) 123-4567", "٠٣٠-١٢٣-٤٥٦٧"),
+        "person": ("Mr Łukasz Żak", "Dr Wei Zhang", "Anna Brandt", "John Kowalski", "Madame 王芳", "Frau von der Leyen", "Prof. Priya Sharma", "Señora Núñez", "Monsieur O’Brien-Łoś"),
+        "ssn": ("123-45-6789",),
+        "ip": ("10.2.3.44",),
+        "iban": ("DE89 3704 0044 0532 0130 00",),
+    }
+    maps = pii.Surrogates(b"k")
+    for kind, each in values.items():
+        for value in each:
+            text = f"x {value} y"
+            assert pii.detect(text) == [(kind, 2, 2 + len(value))], value
+            new, found = maps.rewrite(text)
+            assert value not in new and found[0][2] != value
+            if kind not in ("person", "ip"):
+                assert len(found[0][2]) == len(value) and all(x == y or unicodedata.category(x) == unicodedata.category(y) for x, y in zip(value, found[0][2], strict=True))
+    assert maps.of("email", "--@--.de") not in ("--@--.de", maps.of("email", "-@--.de"))
+
+
+def test_persons_by_what_stands_around():
+    def names(text):
+        return [text[a:b] for kind, a, b in pii.detect(text) if kind == "person"]
+
+    assert names("My name is Priya Sharma and I work here.") == ["Priya Sharma"]
+    assert names("ich heiße Jürgen Groß; je m'appelle Zoé.") == ["Jürgen Groß", "Zoé"]
+    assert names("Dear Wei Zhang, contact Us. Regards, Olu Adeyemi") == ["Wei Zhang", "Olu Adeyemi"]
+    assert names("Olena Shevchenko <olena@post.example>") == ["Olena Shevchenko"]
+    assert names("The Marie Celeste and Annabel Lee, drive and Drone, Mr and mrs") == ["Marie Celeste"]
+    maps = pii.Surrogates(b"k")
+    plain, titled = maps.of("person", "Anna Brandt"), maps.of("person", "Frau Brandt")
+    assert plain.split()[1] == titled.split()[1] and plain.split()[0] in pii.FEMALE and titled.startswith("Frau ")
+    every = [f"{a} {b}" for a in pii.FEMALE + pii.MALE for b in (*pii.SURNAMES, "Brandt", "Kowalski", "Brown-Smith", "Żak")]
+    assert len({maps.of("person", x) for x in every}) == len(every)
+
+
+def test_detection_is_that_of_one_scan():
+    """At each place in turn the first pattern that matches there, whatever signs the text has."""
+    rng = random.Random(5)
+    bits = ["4111 1111 1111 1111", "a.b@c.de", "1.2.3.4", "+1 (743) 555-3824", "123-45-6789", "DE89370400440532013000", "Mr Bean", "x", "12", ".", "-", " ", "@", "Anna Lee "]
+    every = [re.compile(pattern) for *_, pattern in pii.PATTERNS]
+    for _ in range(600):
+        text = "".join(rng.choice(bits) + rng.choice(("", " ")) for _ in range(rng.randrange(9)))
+        names = dict(pii.persons(text, [m.span() for m in every[0].finditer(text)]))
+        want, at = [], 0
+        while at < len(text):
+            ends = [(kind, m.end()) for (kind, *_), p in zip(pii.PATTERNS, every, strict=True) if (m := p.match(text, at))]
+            kind, end = (ends + [("person", names.get(at))] * (at in names) + [("", at + 1)])[0]
+            want += [(kind, at, end)] * bool(kind)
+            at = end
+        assert pii.detect(text) == want
+
+
 def test_surrogates_are_one_to_one():
     maps = pii.Surrogates(queries.KEY)
     for values in ([f"{body}{d}" for body in range(123456789012, 123456789042) for d in range(10)], [f"{body:012d}{d}" for body in range(20) for d in range(10)]):
@@ -167,9 +226,46 @@ def test_decontamination(spark, odd):
     assert decontaminate.decontaminate(odd, items).collect() == odd.collect()
 
 
-def test_toxicity(spark, odd):
-    import numpy as np
+def least_distance(item, text):
+    """(least edit distance of the item to any substring of text, the first end where it is reached), a row of the table at a time."""
+    codes, j = np.array([ord(c) for c in text], np.int64), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for x in item:
+        new = np.append(row[0] + 1, np.minimum(row[:-1] + (codes != ord(x)), row[1:] + 1))
+        row = np.minimum.accumulate(new - j) + j
+    return int(row.min()), int(row.argmin())
+
+
+def test_decontamination_is_that_of_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    items = {r["item_id"]: decontaminate.normal(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    texts = {r["doc_id"]: decontaminate.normal(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    some = dict(sorted(items.items())[:25])
+    got = {(r["doc_id"], r["item_id"]): r for r in queries.op9_decontamination(spark, sf).collect()}
+    near = {}
+    for i, item in some.items():
+        for d, text in texts.items():
+            if text and item and len(text) < 6000:
+                distance, end = least_distance(item, text)
+                if distance <= int(0.05 * len(item)):
+                    near[d, i] = distance, end
+    assert {x: (r["distance"], r["match_end"]) for x, r in got.items() if x[1] in some and len(texts[x[0]]) < 6000} == near
+    for (d, i), r in got.items():
+        assert texts[d][r["match_start"] : r["match_end"]] == r["matched"] and least_distance(items[i], r["matched"])[0] == r["distance"]
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
+    texts = [f"{a} {b} and then the story number {i} goes on for a while" for i, (a, b) in enumerate((("alpha", "beta"), ("gamma", "delta"), ("epsilon", "zeta")))]
+    items = spark.createDataFrame([(i + 5, t) for i, t in enumerate(texts)], "item_id smallint, text string")
+    docs = spark.createDataFrame([(f"d{i}", f"before {t.upper()}, after") for i, t in enumerate([*texts, "nothing of the kind"])], "doc_id string, text string")
+    assert len(list(decontaminate.blocks(items, "item_id", "text"))) > 1
+    got = sorted((r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(f"d{i}", i + 5, t) for i, t in enumerate(texts)]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == ["d3"]
+
 
+def test_toxicity(spark, odd):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = queries.op10_toxicity(spark, sf).join(labels, "doc_id").filter("held_out").collect()
@@ -210,7 +306,8 @@ def test_toxicity_takes_all_words(spark):
     def weight(w):
         t, c = (sum(w in x for x, y in zip(counts, toxic, strict=True) if y == label) for label in (1, 0))
         z = (t / n1 - c / (n - n1)) / math.sqrt((t + c) / n * (1 - (t + c) / n + 1e-9) * (1 / n1 + 1 / (n - n1)))
-        return math.log((n + 1) / (t + c + 0.5)) * (1 + z * z)
+        df = sum(w in x for x in counts) + (w in ("quarkle", "the", "moon", "idiot"))
+        return math.log((n + 3) / (df + 0.5)) * (1 + z * z)  # in how many of all documents, labelled or not
 
     def unit(x):
         v = {w: (1 + math.log(m)) * weight(w) for w, m in x.items()}

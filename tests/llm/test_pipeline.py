@@ -38,10 +38,21 @@ def test_stages(spark):
     assert len(toxic - set(after)) > 0.7 * len(toxic) and len(clean & set(after)) > 0.95 * len(clean)
 
 
+CLASHING = ("copies", "taken", "source_target", "_copies", "_id", "_near_id", "_near_key", "_near_gone", "_near_rows", "point", "text_key", "size", "target", "score", "neighbours", "entities", "edge_of", "of")
+
+
 def test_odd(spark):
-    rows = [(i, t, "en", "s", 1, "x", "y") for i, t in enumerate(brute.ODD)] + [(None, "a b c", None, None, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copies string, _id string")
+    more = ("x",) * len(CLASHING)
+    rows = [(i, t, "en", "s", 1, *more) for i, t in enumerate(brute.ODD)] + [(None, "a b c", None, None, None, *more)]
+    rows += [(3, "a second text of an id that is there", "en", "s", 1, *more), (3, "a second text of an id that is there", "en", "s", 1, *more)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
     for table in (docs, docs.limit(0)):
-        for _, stage in pipeline.STAGES:
+        for name, stage in pipeline.STAGES:
             out = stage(spark, table, SF)
-            assert out.count() <= table.count()
+            assert out.columns[: len(docs.columns)] == docs.columns
+            got = out.collect()
+            assert len(got) <= table.count() and all(r[c] == "x" for r in got for c in CLASHING)
+            if name == "near_duplicates" and got:
+                assert sorted(r["text"] for r in got if r["doc_id"] == 3) == ["a", "a second text of an id that is there"]
+            if name == "mix" and got:
+                assert out.columns[len(docs.columns) :] == ["__copies", "_taken", "_source_target"]
