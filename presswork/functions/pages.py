@@ -80,3 +80,60 @@ def readable_page(html):
         return pages.map(readable, na_action="ignore")
 
     return run(html)
+
+
+class _Paragraphs(HTMLParser):
+    """The text of each <p>, in the order in which they begin; text in a nested <p> counts for the outer one, too.
+
+    A <p> ends at its tag, at the next <p> or block, or with what holds it; scripts and styles hold no paragraphs.
+    """
+
+    BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.open: list[str] = []
+        self.texts: list[list[str]] = []
+        self.held: list[int] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS and "p" in self.open:
+            self._close("p")
+        if tag not in VOID:
+            self.open.append(tag)
+            if tag == "p":
+                self.held.append(len(self.texts))
+                self.texts.append([])
+
+    def _close(self, tag):
+        while self.open:
+            last = self.open.pop()
+            if last == "p":
+                self.held.pop()
+            if last == tag:
+                return
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            self._close(tag)
+
+    def handle_data(self, data):
+        for i in self.held:
+            self.texts[i].append(data)
+
+
+def paragraph_text(html: str | None) -> str | None:
+    """All paragraphs that aren't blank, stripped, with a blank line between; None if there is none."""
+    page = _Paragraphs()
+    page.feed(html or "")
+    page.close()
+    texts = [t for t in ("".join(x).strip() for x in page.texts) if t]
+    return "\n\n".join(texts) if texts else None
+
+
+def paragraphs(c):
+    @F.pandas_udf("string")
+    def read(html: pd.Series) -> pd.Series:
+        return html.map(paragraph_text)
+
+    return read(c)

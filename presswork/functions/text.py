@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Keywords of the offline bias heuristic.
-LEFT = ("progressive", "liberal", "left", "socialist", "democrat", "welfare", "union")
-RIGHT = ("conservative", "right", "republican", "tradition", "free market", "border", "patriot")
-POSITIVE = ("good", "great", "the", "success")
-NEGATIVE = ("bad", "worthless", "stupid", "trash")
-
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def is_single_word(line: Column) -> Column:
@@ -28,7 +22,8 @@ def clean_article(text: Column) -> Column:
 
 
 def normalise_line(line: Column) -> Column:
-    return F.regexp_replace(F.lower(strip(line)), "[^a-zA-Z0-9]", "")
+    """Lower-cased ASCII letters and digits; blanks at the ends go with all other signs."""
+    return F.regexp_replace(F.lower(line), "[^a-z0-9]+", "")
 
 
 def file_name(name: Column) -> Column:
@@ -53,14 +48,6 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda x: x != "")
 
 
-def occurrences(c: Column, words: tuple[str, ...]) -> Column:
-    return sum((F.regexp_count(F.lower(c), F.lit(w)) for w in words), F.lit(0))
-
-
-def present(c: Column, words: tuple[str, ...]) -> Column:
-    return sum((F.contains(F.lower(c), F.lit(w)).cast("int") for w in words), F.lit(0))
-
-
 def title_case(c: Column) -> Column:
     """Every letter after a non-letter upper, all others lower (initcap only looks at blanks)."""
     parts = F.regexp_extract_all(c, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))

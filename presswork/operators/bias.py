@@ -47,3 +47,22 @@ def balanced_sample(rows: DataFrame, bins: DataFrame, key: str, id_col: str, see
     """quota rows of each bin, chosen by a hash of the id."""
     order = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
     return rows.join(bins.select(key, "quota"), key).withColumn("rn", F.row_number().over(order)).filter("rn <= quota").drop("rn", "quota")
+
+
+def synthetic(spark, per_pair: int, seed: int = 42) -> DataFrame:
+    """number, dir, deg, dl, dc, dr, gl, gm, gh: per_pair made-up records for each of nine pairs of leading keys.
+
+    A leading key is 0.50 to 0.85 and the others 0.05 to 0.25, by a hash of the number, then all are shares of their sum.
+    """
+    get = lambda keys, i: F.get(F.array(*map(F.lit, keys)), i.cast("int"))
+    rows = spark.range(9 * per_pair).select(F.col("id").alias("number"))
+    rows = rows.select("number", get("LCR", F.col("number") % 3).alias("dir"), get("LMH", F.floor(F.col("number") % 9 / 3)).alias("deg"))
+    out = []
+    for axis, short, keys in (("dir", "d", "LCR"), ("deg", "g", "LMH")):
+        raw = []
+        for k in keys:
+            digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("number").cast("string"), F.lit(f":{short}{k}")))
+            u = F.conv(F.substring(digest, 1, 6), 16, 10).cast("double") / (1 << 24)
+            raw.append(F.when(F.col(axis) == k, F.round(0.5 + 0.35 * u, 2)).otherwise(F.round(0.05 + 0.2 * u, 2)))
+        out += [F.round(x / (raw[0] + raw[1] + raw[2]) + 1e-9, 2).alias(f"{short}{k.lower()}") for x, k in zip(raw, keys, strict=True)]
+    return rows.select("number", "dir", "deg", *out)

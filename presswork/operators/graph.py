@@ -20,7 +20,8 @@ def written(df: DataFrame) -> DataFrame:
 
 def unit(v: Column) -> Column:
     norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    # Within a lambda the norm would be computed for each coordinate.
+    return F.when(norm > 0, F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x.cast("double") / n))
 
 
 def close_pairs(vectors: DataFrame, id_col: str, vec_col: str, least: float, pivots: int = 32, salts: int = 8) -> DataFrame:

@@ -20,12 +20,26 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
-def embed_hashed(c: Column, dims: int = 64) -> Column:
-    """Counts of terms by hash, of length 1 (M1). A text without terms gives zeros; null gives null."""
-    at = F.transform(terms(c), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(c.isNotNull(), F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
+def bucket(term: Column, dims: int = 64) -> Column:
+    """Which of the coordinates a term counts for: its MD5 digest's first four digits, modulo their number."""
+    return F.conv(F.substring(F.md5(term), 1, 4), 16, 10).cast("int") % dims
+
+
+def hashed_weights(docs: DataFrame, id_col: str, text_col: str, dims: int = 64) -> DataFrame:
+    """id, bucket, weight: counts of terms by hash, of length 1 for each text (M1). Texts without terms have no row.
+
+    Terms are counted before anything is looked up by coordinate, so the work is linear in terms.
+    """
+    n = docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col))).alias("term")).groupBy("id", bucket(F.col("term"), dims).alias("bucket")).agg(F.count("*").alias("n"))
+    norm = n.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return n.join(norm, "id").select("id", "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+
+
+def embed_hashed(docs: DataFrame, id_col: str, text_col: str, dims: int = 64) -> DataFrame:
+    """id, vector of each text that isn't null; zeros without terms."""
+    held = hashed_weights(docs, id_col, text_col, dims).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("w"))  # dims entries at most
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id")).join(held, "id", "left")
+    return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("w", i), F.lit(0.0))).alias("vector"))
 
 
 def failover(providers: list[Provider]) -> Provider:
@@ -111,3 +125,10 @@ def similar(weights: DataFrame, of: object, n: int) -> DataFrame:
     own = weights.filter(F.col("id") == F.lit(of)).select("term", F.col("weight").alias("p"))
     scored = weights.filter(F.col("id") != F.lit(of)).join(own, "term").groupBy("id").agg(F.round(F.sum(F.col("weight") * F.col("p")), 9).alias("cosine"))
     return scored.orderBy(F.desc("cosine"), "id").limit(n)
+
+
+def categorise(titles: DataFrame, title_col: str, place_col: str, provider: Callable[[Column], Column], batch: int = 100) -> DataFrame:
+    """titles with level1, level2, level3 and the number of the batch (place from 1) in which a provider is asked (M7)."""
+    levels = provider(F.col(title_col))
+    named = titles.withColumn("_levels", levels).withColumn("batch", F.floor((F.col(place_col) - 1) / batch))
+    return named.select("*", *(F.get("_levels", F.lit(i)).alias(f"level{i + 1}") for i in range(3))).drop("_levels")

@@ -237,11 +237,6 @@ def U4_except(t):
     return t.documents.select("doc_id").exceptAll(t.labels.select("doc_id").distinct()).distinct()
 
 
-@query("SELECT DISTINCT role, substr(text, 1, 10) AS head FROM conversations")
-def U5_unique_lines(t):
-    return t.conversations.select("role", F.substring("text", 1, 10).alias("head")).distinct()
-
-
 @query("SELECT DISTINCT role, text FROM conversations")
 def U5_unique_texts(t):
     return t.conversations.select("role", "text").distinct()
@@ -253,7 +248,3 @@ def U6_text_tags(t):
     return t.documents.select("doc_id", F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != ""))).alias("tags"))
 
 
-@query("SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(substr(text, 1, 200), ','), lambda x: trim(x)), lambda x: x <> ''))) AS tags FROM documents")
-def U6_tags(t):
-    parts = F.transform(F.split(F.substring("text", 1, 200), ","), lambda x: F.trim(x))
-    return t.documents.select("doc_id", F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != ""))).alias("tags"))

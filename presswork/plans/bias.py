@@ -84,23 +84,11 @@ def F55_defaults(t):
     return t.events.select("event_id", F.coalesce(F.try_variant_get(v, "$.dir", "double"), F.lit(0.33)).alias("l"), F.coalesce(F.try_variant_get(v, "$.k", "double"), F.lit(0.34)).alias("c"))
 
 
-@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
-def K21_upserted_ratings(t):
-    last = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id"))
-    return t.events.groupBy("user_id", "event_type").agg(last.alias("x")).select("user_id", "event_type", "x.event_id", "x.value")
-
-
 @query("SELECT doc_id, CASE WHEN length(text) < 128 THEN true END AS too_short FROM documents")
 def K25_too_short(t):
     return t.documents.select("doc_id", F.when(F.length("text") < 128, True).alias("too_short"))
 
 
-@query("SELECT count(*) FILTER (WHERE json_extract(props, '$.k') IS NOT NULL) AS migrated, count(*) FILTER (WHERE json_extract(props, '$.k') IS NULL) AS failed FROM events")
-def K22_migration_counts(t):
-    ok = F.try_variant_get(F.try_parse_json("props"), "$.k", "double").isNotNull()
-    return t.events.agg(F.count_if(ok).alias("migrated"), F.count_if(~ok).alias("failed"))
-
-
 @query("SELECT doc_id, list_filter(['a', lang, 'a', source], lambda x: x <> 'a') AS tags FROM documents")
 def K17_remove_tag(t):
     return t.documents.select("doc_id", F.array_remove(F.array(F.lit("a"), "lang", F.lit("a"), "source"), "a").alias("tags"))
@@ -116,8 +104,3 @@ def K7_title_export(t):
     from .articles import articles
 
     return articles(t).select(F.date_format("published", "yyyy-MM-dd").alias("published"), "source", F.col("id").cast("string").alias("id"), F.translate("title", "\t\n\r", "   ").alias("title"))
-
-
-@query("SELECT d.doc_id FROM documents d WHERE strlen(d.text) >= 128 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def K1_insert_if_absent(t):
-    return t.documents.filter(F.octet_length("text") >= 128).join(t.labels.select("doc_id"), "doc_id", "left_anti").select("doc_id")

@@ -89,6 +89,7 @@ def M6_provider_failover(t):
     return t.part.select("p_partkey", models.failover(providers)(F.col("p_name")).alias("answer"))
 
 
-@query()
+@query(f"""WITH tok AS (SELECT doc_id AS id, unnest({TERMS.format('text')}) AS term FROM documents), n AS (SELECT id, CAST('0x' || substr(md5(term), 1, 4) AS INT) % 64 AS bucket, count(*) AS n FROM tok GROUP BY 1, 2)
+SELECT id, CAST(bucket AS BIGINT) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS weight FROM n""")
 def M1_hashed_vectors(t):
-    return t.documents.select("doc_id", models.embed_hashed(F.col("text")).alias("vector"))
+    return models.hashed_weights(t.documents, "doc_id", "text").select("id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))

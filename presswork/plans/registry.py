@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("heuristics", "ranking", "filters", "aggregates", "joins", "bias", "texts", "search", "shapes", "stores", "models", "records", "scans", "streams")
+MODULES = ("heuristics", "ranking", "formats", "files", "reports", "filters", "aggregates", "joins", "bias", "texts", "search", "shapes", "stores", "models", "records", "scans", "streams")
 
 
 @dataclass
@@ -30,6 +30,8 @@ def query(sql: str | None = None) -> Callable:
     """Registers a function of Tables under its name, with the equivalent SQL if there is any."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable:
+        if f.__name__ in _queries:
+            raise ValueError(f"a query of the name {f.__name__} is there already")
         _queries[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
             _sql[f.__name__] = sql

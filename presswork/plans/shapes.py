@@ -75,9 +75,3 @@ def T20_head_sample(t):
     from ..functions.text import truncate
 
     return t.documents.orderBy("doc_id").limit(10).select(F.substring(F.col("doc_id").cast("string"), 1, 12).alias("id"), truncate(F.col("text"), 60).alias("title"))
-
-
-@query("SELECT CAST(least(100, count(*)) AS BIGINT) AS n FROM documents")
-def T10_sample_size(t):
-    s = t.documents.select("doc_id").orderBy(F.xxhash64(F.lit(42), "doc_id"), "doc_id").limit(100)
-    return s.agg(F.count("*").alias("n"))

@@ -35,12 +35,6 @@ def K7_title_lines(t):
     return t.documents.select("doc_id", F.concat(F.col("source"), F.lit("\t"), F.col("doc_id").cast("string"), F.lit("\t"), F.translate("text", "\t\n\r", "   ")).alias("line"))
 
 
-@query("SELECT doc_id, concat_ws(chr(10), '---', 'ID: ' || doc_id, 'Source: ' || source, 'Language: ' || lang, 'Text:', text) AS block FROM documents")
-def K9_article_blocks(t):
-    named = [F.concat(F.lit(f"{title}: "), F.col(c).cast("string")) for title, c in (("ID", "doc_id"), ("Source", "source"), ("Language", "lang"))]
-    return t.documents.select("doc_id", F.concat_ws("\n", F.lit("---"), *named, F.lit("Text:"), F.col("text")).alias("block"))
-
-
 @query("SELECT row_number() OVER (ORDER BY source) AS category_id, source AS category_name, count(*) AS article_count, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS articles FROM documents GROUP BY source")
 def K12_categories(t):
     each = t.documents.groupBy("source").agg(F.count("*").alias("article_count"), F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("articles"))

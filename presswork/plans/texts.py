@@ -57,21 +57,11 @@ def F12_normalised_lines(t):
     return bp.article_lines(t.documents).select("id", F.col("pos").cast("long").alias("pos"), "norm")
 
 
-@query("SELECT doc_id, translate(substr(text, 1, 300), chr(9) || chr(10) || chr(13), '   ') AS flat FROM documents")
-def F14_flat_export(t):
-    return t.documents.select("doc_id", F.translate(F.substring("text", 1, 300), "\t\n\r", "   ").alias("flat"))
-
-
 @query("SELECT doc_id, translate(text, chr(9) || chr(10) || chr(13), '   ') AS flat FROM documents")
 def F14_flat_texts(t):
     return t.documents.select("doc_id", F.translate("text", "\t\n\r", "   ").alias("flat"))
 
 
-@query("SELECT DISTINCT regexp_replace(substr(text, 1, 20), '[^a-zA-Z0-9_]', '_', 'g') AS gid FROM documents")
-def F15_graph_id(t):
-    return t.documents.select(F.regexp_replace(F.substring("text", 1, 20), "[^a-zA-Z0-9_]", "_").alias("gid")).distinct()
-
-
 @query("SELECT DISTINCT regexp_replace(text, '[^a-zA-Z0-9_]', '_', 'g') AS gid FROM documents")
 def F15_graph_ids(t):
     return t.documents.select(F.regexp_replace("text", "[^a-zA-Z0-9_]", "_").alias("gid")).distinct()
@@ -82,14 +72,6 @@ def F16_file_name(t):
     return t.pages.select("page_id", x.file_name(F.col("url")).alias("name"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(substr(html, 1, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
-def F17_escaped_html(t):
-    c = F.substring("html", 1, 500)
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return t.pages.select("page_id", c.alias("escaped"))
-
-
 @query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
 def F17_escaped_pages(t):
     c = F.col("html")
@@ -109,37 +91,6 @@ def F19_sentence_count(t):
     return t.documents.select("doc_id", F.size(x.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+') AS people FROM documents")
-def F20_people(t):
-    return t.documents.select("doc_id", F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [A-Z][a-z]+"), F.lit(0)).alias("people"))
-
-
-def _count(words):
-    return " + ".join(f"len(regexp_extract_all(lower(text), '{w}'))" for w in words)
-
-
-@query(f"SELECT doc_id, CASE WHEN p > q THEN 'positive' WHEN q > p THEN 'negative' ELSE 'neutral' END AS tone FROM (SELECT doc_id, {_count(x.POSITIVE)} AS p, 20 * ({_count(x.NEGATIVE)}) AS q FROM documents)")
-def F21_lexicon_sentiment(t):
-    p, q = x.occurrences(F.col("text"), x.POSITIVE), 20 * x.occurrences(F.col("text"), x.NEGATIVE)
-    return t.documents.select("doc_id", F.when(p > q, "positive").when(q > p, "negative").otherwise("neutral").alias("tone"))
-
-
-def _present(words):
-    return " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words)
-
-
-@query(f"SELECT doc_id, CAST({_present(x.LEFT)} AS BIGINT) AS l, CAST({_present(x.RIGHT)} AS BIGINT) AS r FROM documents")
-def F22_keyword_bias(t):
-    return t.documents.select("doc_id", x.present(F.col("text"), x.LEFT).cast("long").alias("l"), x.present(F.col("text"), x.RIGHT).cast("long").alias("r"))
-
-
-@query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'brass') THEN 'gold' WHEN contains(lower(p_type), 'steel') THEN 'gray' WHEN contains(lower(p_type), 'promo') THEN 'red' ELSE 'blue' END AS colour FROM part")
-def F23_colour_rules(t):
-    low = F.lower("p_type")
-    out = F.when(F.contains(low, F.lit("brass")), "gold").when(F.contains(low, F.lit("steel")), "gray").when(F.contains(low, F.lit("promo")), "red")
-    return t.part.select("p_partkey", out.otherwise("blue").alias("colour"))
-
-
 @query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS head FROM documents")
 def F24_truncated(t):
     return t.documents.select("doc_id", x.truncate(F.col("text"), 60).alias("head"))

@@ -142,3 +142,23 @@ def batch_queries(spark: SparkSession, path: str, row: int | None = None) -> Dat
 def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
     """text of each line that isn't blank."""
     return spark.read.text(path).select(F.trim("value").alias("text")).filter("text <> ''")
+
+
+def title_lines(spark: SparkSession, path: str, number: bool = False, strip_quotes: bool = False) -> DataFrame:
+    """article_id, title of a TSV without a header (S9). Lines without a tab go, or with number get one in the order of
+    the file (numbers have gaps between tasks); quotes around a title go if asked for; lines without a title go."""
+    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+    parts = F.split("value", "\t", 2)
+    whole = F.size(parts) == 2
+    rows = lines if number else lines.filter(whole)
+    title = F.trim(F.when(whole, F.get(parts, F.lit(1))).otherwise(F.col("value")))
+    if strip_quotes:
+        title = F.regexp_replace(title, r"""^["']+|["']+$""", "")
+    return rows.select(F.when(whole, F.trim(parts[0])).otherwise(F.col("n").cast("string")).alias("article_id"), title.alias("title")).filter("title <> ''")
+
+
+def jsonl_files(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """id, text of JSON lines; where a line names a `file` of the folder, its text is what the file holds."""
+    rows = spark.read.schema("id string, text string, file string").json(path).filter("id is not null")
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("file"), F.col("value").alias("body"))
+    return rows.join(files, "file", "left").select("id", F.coalesce("text", "body").alias("text")).filter("text is not null")

@@ -39,8 +39,14 @@ def json_lines(rows: DataFrame, path: str, drop: tuple[str, ...] = ("entities_ra
 
 
 def tsv(rows: DataFrame, path: str) -> None:
-    """With a header."""
-    rows.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", escape="")
+    """With a header."""
+    rows.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", escape="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def agent_lines(rows: DataFrame, path: str) -> None:
+    """agent, success, failure by tabs under a line of names that readers skip."""
+    told = rows.sparkSession.range(1).select(F.lit("# agent\tsuccess\tfailure").alias("value"))
+    told.union(rows.select(F.concat_ws("\t", "agent", F.col("success").cast("string"), F.col("failure").cast("string")))).write.mode("overwrite").text(path)
 
 
 def append_lines(rows: DataFrame, path: str, comment: str) -> None:

@@ -20,4 +20,4 @@ def test_query(spark, con, name):
     if sql:
         oracle.compare(spark, con, FOLDER, registry.queries()[name], sql)
     else:
-        assert registry.queries()[name](spark, FOLDER).columns
+        assert registry.queries()[name](spark, FOLDER).collect()

@@ -96,8 +96,9 @@ def test_graph_and_models(spark):
     assert [(r["a"], r["b"]) for r in graph.close_pairs(vectors, "id", "v", 0.9).collect()] == [(1, 2)]
     assert got(graph.dbscan(vectors, "id", "v", 0.9, 2)) == [(1, 1), (2, 1), (3, -1), (4, -1), (5, -1)]
     assert got(graph.close_pairs(vectors.limit(0), "id", "v", 0.9)) == []
-    vector = one(spark, "aa bb", models.embed_hashed)
-    assert abs(sum(x * x for x in vector) - 1) < 1e-9
-    assert set(one(spark, "", models.embed_hashed)) == {0.0} and one(spark, None, models.embed_hashed) is None
+    texts = spark.createDataFrame([(1, "aa bb"), (2, ""), (3, None), (4, "bb aa aa")], "i int, x string")
+    made = {r["id"]: r["vector"] for r in models.embed_hashed(texts, "i", "x").collect()}
+    assert sorted(made) == [1, 2, 4] and set(made[2]) == {0.0}
+    assert all(abs(sum(x * x for x in made[i]) - 1) < 1e-9 for i in (1, 4)) and sum(a * b for a, b in zip(made[1], made[4], strict=True)) > 0.9
     with pytest.raises(ValueError, match="entities"):
         models.tag_entities(F.col("x"), {"A": tuple(map(str, range(11)))}, limit=10)
