@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .articles import ART, ENT, SCO, articles, entities, scores
+from ..operators.ranking import global_rank
 from .registry import query
 
 
@@ -177,7 +178,8 @@ def W4_last_sixty(t):
 
 @query("SELECT source, row_number() OVER (ORDER BY source) - 1 AS number FROM (SELECT DISTINCT source FROM documents)")
 def W5_index_in_order(t):
-    return t.documents.select("source").distinct().select("source", (F.row_number().over(W.orderBy("source")) - 1).cast("long").alias("number"))
+    ranked = global_rank(t.documents.select("source").distinct(), [F.col("source")], "number")
+    return ranked.select("source", (F.col("number") - 1).cast("long").alias("number"))
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS question FROM conversations")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import cosine
+from ..operators.ranking import global_rank
 from .registry import query
 
 
@@ -55,7 +56,8 @@ EDGES = "edges AS (SELECT DISTINCT source AS a, lang AS b FROM documents), nodes
 @query(f"WITH {EDGES} SELECT n.i AS source, m.i AS target FROM edges JOIN nodes n ON a = n.name JOIN nodes m ON b = m.name")
 def J12_edge_indexes(t):
     e = t.documents.select(F.col("source").alias("a"), F.col("lang").alias("b")).distinct()
-    nodes = e.select(F.col("a").alias("name")).union(e.select("b")).distinct().withColumn("i", (F.row_number().over(W.orderBy("name")) - 1).cast("long"))
+    nodes = e.select(F.col("a").alias("name")).union(e.select("b")).distinct()
+    nodes = global_rank(nodes, [F.col("name")], "i").withColumn("i", (F.col("i") - 1).cast("long"))
     n, m = nodes.select(F.col("name").alias("a"), F.col("i").alias("source")), nodes.select(F.col("name").alias("b"), F.col("i").alias("target"))
     return e.join(n, "a").join(m, "b").select("source", "target")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .articles import ENT, entities
+from ..operators.ranking import global_rank
 from .registry import query
 
 
@@ -30,7 +31,8 @@ def T6_most_frequent_entities(t):
 @query("SELECT p_partkey, row_number() OVER (ORDER BY lower(coalesce(nullif(p_brand, ''), 'Uncategorized')), lower(p_type), lower(p_name), p_partkey) AS rank FROM part")
 def T7_case_insensitive_sort(t):
     brand = F.coalesce(F.nullif("p_brand", F.lit("")), F.lit("Uncategorized"))
-    return t.part.select("p_partkey", F.row_number().over(W.orderBy(F.lower(brand), F.lower("p_type"), F.lower("p_name"), "p_partkey")).cast("long").alias("rank"))
+    keyed = t.part.select("p_partkey", F.lower(brand).alias("a"), F.lower("p_type").alias("b"), F.lower("p_name").alias("c"))
+    return global_rank(keyed, [F.col(c) for c in ("a", "b", "c", "p_partkey")]).select("p_partkey", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT label, n, row_number() OVER (ORDER BY n DESC, label) AS rank FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")

@@ -10,8 +10,11 @@ from pyspark.sql.types import StructType
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's spark.checkpoint.dir; only where none is set, a temporary one."""
+    """A new folder in the cluster's spark.checkpoint.dir; where none is set a local session gets a temporary one, a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='presswork-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
