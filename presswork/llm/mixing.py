@@ -32,6 +32,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def uniform(seed: int) -> Column:
+    """A number between 0 and 1 out of seed, doc_id and text_key."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
 def source_targets(sizes: DataFrame, weights: Column, max_copies: float) -> DataFrame:
     """source, source_size, n_docs, target for a table of (source, size).
 
@@ -88,7 +93,6 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = written(targets.join(factors, targets["source"].eqNullSafe(factors["of"]), "left").select(targets["source"].alias("of"), "source_size", "n_docs", "target", "factor"))
 
     expected = F.when(F.col("target") <= 0, 0.0).otherwise(F.least(F.lit(float(max_copies)), F.coalesce(F.col("factor") * F.col("like"), F.lit(float(max_copies)))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     odds = lambda p: p / (1 - p)
     p = F.col("expected") - F.col("base")
     # The tables of sources are joined as their size asks for, without a hint.
@@ -96,7 +100,7 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sizes.join(of, sizes["source"].eqNullSafe(of["of"]))
         .withColumn("expected", expected)
         .withColumn("base", F.floor("expected"))
-        .withColumn("u", u)
+        .withColumn("u", uniform(seed))
         .withColumn("odds", F.when(p > 0, odds(F.col("u")) / odds(p)))
         .withColumn("bin", F.when(F.col("odds").isNotNull(), F.floor(F.col("odds") / (1 + F.col("odds")) * F.ceil(F.sqrt("n_docs")))))
     )
