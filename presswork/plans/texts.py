@@ -21,13 +21,13 @@ def boilerplate_lines(t):
 @query(f"WITH {REP}, {HIT} SELECT id, source, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS text FROM marked GROUP BY 1, 2")
 def J5_boilerplate_removed(t):
     lines = bp.article_lines(t.documents)
-    return bp.remove_lines(lines, bp.repeated_lines(lines))
+    return bp.remove_lines(t.documents, bp.repeated_lines(lines))
 
 
 @query(f"WITH {REP}, {HIT} SELECT source, count(DISTINCT id) AS docs, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_removed FROM marked GROUP BY ROLLUP (source)")
 def A16_boilerplate_report(t):
     lines = bp.article_lines(t.documents)
-    done = bp.remove_lines(lines, bp.repeated_lines(lines))
+    done = bp.remove_lines(t.documents, bp.repeated_lines(lines))
     return done.rollup("source").agg(F.count("*").alias("docs"), F.sum("n_lines").alias("n_lines"), F.sum("n_removed").alias("n_removed"))
 
 
