@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..streaming.run import cache_hits, changes_only, drain, open_stream
+from ..streaming.run import cache_hits, changes_only, drain, open_stream, work_folder
 from .registry import query
 
 
@@ -59,3 +59,21 @@ def X5_last_points(t):
 @query()
 def X6_cache_hits(t):
     return drain(cache_hits(events(t), "user_id", "ts", 86_400), "append").select("user_id", F.col("ts").cast("long").alias("second"), "hit")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'first' ELSE 'second' END AS run FROM events")
+def X1_resumed_ingest(t):
+    """Two runs of one ingest over a folder that grows between them: the second takes up where the first ended."""
+    path, state, out = f"{work_folder(t.spark)}/in", f"{work_folder(t.spark)}/state", []
+    for name, part in (("first", "event_id % 3 = 0"), ("second", "event_id % 3 <> 0")):
+        t.events.filter(part).select("event_id", "value").write.mode("append").parquet(path)
+        stream = open_stream(t.spark, path, t.events.select("event_id", "value").schema)
+        out.append(drain(stream, "append", state).select("event_id", F.lit(name).alias("run")))
+    return out[0].union(out[1])
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM events) WHERE next IS NULL OR next - ts >= INTERVAL 30 MINUTE")
+def X10_debounced(t):
+    """Of each burst of a user's events, less than 30 minutes apart, the last."""
+    bursts = events(t).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.max_by("event_id", "ts").alias("event_id")).select("user_id", "event_id")
+    return drain(bursts, "complete")

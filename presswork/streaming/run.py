@@ -23,8 +23,11 @@ def open_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return spark.readStream.schema(schema).parquet(path)
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream on all that is there. append: every row put out; complete: the last state of the result."""
+def drain(stream: DataFrame, mode: str, state: str | None = None) -> DataFrame:
+    """Runs the stream on all that is there. append: every row put out; complete: the last state of the result.
+
+    state: the folder in which a stream remembers what it has read; with that of an earlier run only what is new is put out.
+    """
     spark, out = stream.sparkSession, work_folder(stream.sparkSession)
     last = []
 
@@ -32,7 +35,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
         last.append(epoch)
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").foreachBatch(put).trigger(availableNow=True).start()
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", state or f"{out}/state").foreachBatch(put).trigger(availableNow=True).start()
     run.awaitTermination()
     if not last:
         return spark.createDataFrame([], stream.schema)
