@@ -6,7 +6,9 @@ it is kept, after the plain rules. The field's weights are trained here, by grad
 (forward-backward), on a bounded sample of labelled documents: lines of documents of good quality are content but for
 those repeated in the text, lines of the others are boilerplate.
 
-Null texts have no words; they and texts without a word fail the plain rules; ties in decoding go to content.
+Null texts have no words; they and texts without a word fail the plain rules; ties in decoding go to content; contradicting
+labels of an id count as bad. Repeated rows are judged alike; very long texts are a chunk of their own; other columns are not
+read; empty tables give no rows, and without labels every line counts as the untrained field says.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ blob for each task, share of the texts and bucket of anchors. Before that, a tas
 earlier (it knows already that they are repeats), so a passage in a third of all documents sends a few records for each
 task. A bucket is worked off at a time, in sorted arrays.
 
-Ids must be integers. Null texts have no words. Rows of one id count as one document at the same places. A null id is
-never compared and loses nothing. Windows are equal if the 64-bit hash of the anchor and 48 bits of the windows' are.
+Ids must be integers. Null and empty texts have no words. Rows of one id count as one document at the same places. A null
+id is never compared and loses nothing. Of equal windows the one with the smaller id, then place, stays; a place that ties
+with itself (rows equal in id and text) is no repeat. Very long texts are a chunk of their own; other columns are not read;
+empty tables give no rows. Windows are equal if 64 bits are: 48 of the window's hash, folded with the anchor's 64.
 """
 
 from __future__ import annotations
