@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import written
+from .shared import bounded_batches, dropped, written
 from .textvec import U64, Words, chunks, grams, mix
 
 GROUPS = 64
@@ -49,6 +49,8 @@ PAGE_TOKENS = 4_000_000
 #: Cells of the table of points by tokens that are multiplied at once.
 CELLS = 4_000_000
 FLUSH = 12_000_000
+#: Buckets of nodes, if there are fewer partitions.
+BUCKETS = 512
 _BAND = 1.5
 
 
@@ -152,6 +154,7 @@ SENT = pa.schema([("bucket", pa.int32()), ("points", pa.binary()), ("owners", pa
 def nodes(docs: DataFrame, link: Link) -> DataFrame:
     """node, point: the points of every node that has two or more."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts * max(1, BUCKETS // parts)  # a task works off a bucket at a time
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -161,7 +164,7 @@ def nodes(docs: DataFrame, link: Link) -> DataFrame:
         def send() -> Iterator[pa.RecordBatch]:
             point, node = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            bucket = (node % U64(parts)).astype(np.int32)
+            bucket = (node % U64(buckets)).astype(np.int32)
             order = np.lexsort((point, bucket))
             cut = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
             out = []
@@ -214,7 +217,7 @@ def nodes(docs: DataFrame, link: Link) -> DataFrame:
             same = node[1:] == node[:-1]
             some = np.append(same, False) | np.append(False, same) if len(node) else np.zeros(0, bool)
             if some.any():
-                whole = node[some] * U64(parts) + U64(at)
+                whole = node[some] * U64(buckets) + U64(at)
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(point[some])], ["node", "point"])
 
         for batch in batches:
@@ -604,6 +607,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
     link = Link(n, num, den)
     found = _found(docs, link, id_col, text_col)
     links = written(all_links(found.clusters, found.texts, link, DEGREES))
+    dropped(found.texts)
     degree = links.filter("b is null").groupBy(F.col("a").alias("point")).agg(F.sum("n_links").alias("n_links"))
     groups = found.groups(links.filter("b is not null").select("a", "b"))
     out = found.every.select("doc_id", "size", "point").join(groups.join(degree, "point", "left"), "point", "left")
@@ -618,7 +622,9 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col
     """
     link = Link(n, num, den)
     found = _found(docs, link, id_col, text_col)
-    groups = found.groups(written(all_links(found.clusters, found.texts, link, SPANNING)).select("a", "b"))
+    links = written(all_links(found.clusters, found.texts, link, SPANNING))
+    dropped(found.texts)
+    groups = found.groups(links.select("a", "b"))
     return found.every.filter(found.ok).join(groups, "point").select("doc_id", "text_key", F.col("one.doc_id").alias("component_id"), F.col("one.text_key").alias("component_key"))
 
 
@@ -650,6 +656,7 @@ def near_pairs(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col:
 
 
 def _found(docs: DataFrame, link: Link, id_col: str, text_col: str) -> Found:
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     every = written(points(rows, link))
     ok = F.col("doc_id").isNotNull() & (F.col("size") > 0)
@@ -659,7 +666,8 @@ def _found(docs: DataFrame, link: Link, id_col: str, text_col: str) -> Found:
     # Of nodes with the same points (told by 128 bits) one is kept. Its hubs are its least and its largest point.
     mark = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("point")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "point")).alias("y"))
     kept = tree.groupBy("node").agg(F.min("point").alias("lo"), F.max("point").alias("hi"), *mark).groupBy("n", "x", "y", "lo", "hi").agg(F.min("node").alias("node"))
-    tree = written(tree.join(kept.select("node", "lo", "hi"), "node"))
+    every_node, tree = tree, written(tree.join(kept.select("node", "lo", "hi"), "node"))
+    dropped(every_node)
 
     # The texts of one document for each point in a node of several. They are merged by shuffling at every size: a
     # broadcast of ids would only do for small tables, and a plan that changes with the size can't be judged on them.
@@ -668,9 +676,13 @@ def _found(docs: DataFrame, link: Link, id_col: str, text_col: str) -> Found:
 
     stars = tree.select("point", F.explode(F.array("lo", "hi")).alias("hub")).filter("point <> hub")
     stars = stars.select(F.least("point", "hub").alias("a"), F.greatest("point", "hub").alias("b")).distinct()
-    labels = components(written(screened(stars, texts, link)))
-    joins = components(written(node_edges(tree.select("node", "point"), labels, texts, link)))
+    edges = written(screened(stars, texts, link))
+    labels = components(edges)
+    more = written(node_edges(tree.select("node", "point"), labels, texts, link))
+    joins = components(more)
     joins = joins.select(F.col("v").alias("_label"), F.col("label").alias("_to"))
     own = texts.select(F.col("point").alias("v")).distinct().join(labels, "v", "left").withColumn("_own", F.coalesce("label", "v"))
     clusters = own.join(joins, own["_own"] == joins["_label"], "left").filter("label is not null or _to is not null")
-    return Found(every, known, texts, written(clusters.select("v", F.coalesce("_to", "_own").alias("label"))), ok)
+    clusters = written(clusters.select("v", F.coalesce("_to", "_own").alias("label")))
+    dropped(edges, more, tree)
+    return Found(every, known, texts, clusters, ok)

@@ -14,6 +14,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text handled at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 2_000_000
+#: Bytes of text of which words are hashed at once; a longer word is a piece of its own.
+PIECE_BYTES = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -137,10 +139,24 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of data[start[i]:end[i]]; the same bytes give the same hash anywhere."""
+    """A 64-bit hash of data[start[i]:end[i]]; the same bytes give the same hash anywhere. Spans are in order, without overlap.
+
+    Worked off in pieces of about PIECE_BYTES, so that a long text needs little more memory than its own bytes.
+    """
+    out, i, n = np.empty(len(start), U64), 0, len(start)
+    while i < n:
+        first = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, first + PIECE_BYTES, "right")))
+        out[i:j] = _span_hashes(data[first : int(end[j - 1])], start[i:j] - first, end[i:j] - first, lower)
+        i = j
+    return out
+
+
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     n = len(data)
     total = np.zeros(n + 1, U64)
-    np.cumsum((_LOWER if lower else _BYTES)[data] * _power(_BASE, n), out=total[1:])
+    np.multiply((_LOWER if lower else _BYTES)[data], _power(_BASE, n), out=total[1:])
+    np.cumsum(total, out=total)
     return mix((total[end] - total[start]) * _power(_UNBASE, n + 1)[start] + (end - start).astype(U64))
 
 
