@@ -429,3 +429,114 @@ def test_patterns_are_linear_on_unbroken_texts(text):
     start = time.process_time()
     pii.detect(text), secrets.find_secrets(text)
     assert time.process_time() - start < 20
+
+
+def license_spans(text):
+    """(labels, largest share) by the definition: votes of three-word grams on diagonals, diagonals up to SLACK apart together."""
+    from collections import defaultdict
+
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(brute.AZ))
+    at = defaultdict(list)
+    for i in range(len(w) - 2):
+        at[tuple(w[i : i + 3])].append(i)
+    labels, most = set(), 0.0
+    for template, label, phrase in [(t, x, True) for t, x in licenses.PHRASES] + [(t, x, False) for x, t in licenses.TEMPLATES]:
+        p = template.split()
+        lines = defaultdict(set)
+        for j in range(len(p) - 2):
+            for i in at.get(tuple(p[j : j + 3]), ()):
+                lines[i - j].add(j)
+        spans, last = [], None
+        for d in sorted(lines):
+            if last is None or d - last > (0 if phrase else licenses.SLACK):
+                spans.append(set())
+            spans[-1] |= lines[d]
+            last = d
+        shares = [len(s) / (len(p) - 2) for s in spans if len(s) / (len(p) - 2) >= (1.0 if phrase else licenses.COVER)]
+        if shares:
+            labels.add(label)
+            most = max(most, *shares)
+    return sorted(labels), round(most, 9)
+
+
+def test_license_labels_are_those_of_all_diagonals(spark):
+    notice = licenses.TEMPLATES[4][1].split()
+    texts = [" ".join(notice), " ".join(notice[:9] + ["some", "more"] + notice[9:]), " ".join(notice[: len(notice) // 2]), "x " * 40 + " ".join(notice[3:]) + " Licensed under CC BY-NC 4.0", "apache license version 2 0 " * 3]
+    docs = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    want = {r["doc_id"]: license_spans(r["text"]) for r in docs.collect()}
+    assert {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in licenses.scan_licenses(docs).collect()} == want
+    assert len({tuple(x) for x, _ in want.values()}) > 3
+
+
+def test_quality_verdict_is_that_of_all_labellings(spark):
+    """Of every labelling of a short text's lines the likeliest one decides."""
+    import itertools
+
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = quality.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    got = {r["doc_id"]: r for r in quality.judge(docs, field).collect()}
+    seen = set()
+    for r in docs.filter("doc_id % 3 = 0").collect():
+        chunk = next(textvec.chunks(iter([pa.RecordBatch.from_arrays([pa.array([r["text"]])], ["text"])])))
+        lines = quality.Lines(chunk)
+        n = len(lines.line_words)
+        if not 0 < n <= 10:
+            continue
+        s = lines.x @ field.emit
+        score = {y: sum(s[i, y[i]] for i in range(n)) + sum(field.move[a, b] for a, b in itertools.pairwise(y)) for y in itertools.product((0, 1), repeat=n)}
+        best = max(score.values())
+        likely = [y for y, x in score.items() if x > best - 1e-9]
+        total = len(brute.words(r["text"]))
+        shares = [sum(w * y for w, y in zip(lines.line_words.tolist(), ys, strict=True)) / max(1, total) for ys in likely]
+        assert any(abs(got[r["doc_id"]]["content_share"] - x) < 1e-9 for x in shares)
+        assert got[r["doc_id"]]["kept"] == (not got[r["doc_id"]]["base_failed"] and got[r["doc_id"]]["content_share"] >= 0.5)
+        seen.add(got[r["doc_id"]]["kept"])
+    assert len(seen) == 2
+
+
+def test_language_is_that_of_a_plain_model(spark):
+    """Counts of words and n-grams in dictionaries, and the backoff word by word."""
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    learn = [(t, x) for i, t, x in rows if i % 3 and t is not None and x is not None]
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    grams = lambda w, n: [(f" {w} " if n > 1 else w)[i : i + n] for i in range(len(f" {w} " if n > 1 else w) - n + 1)]
+    counts = [Counter() for _ in range(5)]
+    for t, x in learn:
+        for w in words(t):
+            counts[0][w, x] += 1
+            for n in range(1, 5):
+                counts[n].update((g, x) for g in grams(w, n))
+    langs = sorted({x for _, x in learn})
+    logs = []
+    for c in counts:
+        total = Counter()
+        for (g, _), n in c.items():
+            total[g] += n
+        known = [g for g, n in total.items() if n >= 2]
+        sums = {x: sum(c[g, x] for g in known) for x in langs}
+        logs.append({g: [math.log((c[g, x] + 0.5) / (sums[x] + 0.5 * max(1, len(known)))) for x in langs] for g in known})
+    model = language.train(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(learn)], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    for i, t, _ in rows:
+        own = words(t or "")
+        if not own:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        sums = np.zeros(len(langs))
+        for w in own:
+            if w in logs[0]:
+                sums += logs[0][w]
+                continue
+            for n in range(4, 0, -1):
+                found = [logs[n][g] for g in grams(w, n) if g in logs[n]]
+                if found:
+                    sums += np.mean(found, 0)
+                    break
+        sums /= math.sqrt(len(own))
+        odds = np.exp(sums - sums.max())
+        assert got[i]["lang_pred"] == langs[int(sums.argmax())] and abs(got[i]["score"] - odds.max() / odds.sum()) < 1e-3
