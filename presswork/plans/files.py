@@ -280,6 +280,37 @@ def K14_drawing(t):
     return writers.dot_lines(edges)
 
 
+EDGE_SQL = "SELECT r_name AS source, n_name AS target, 'has' AS relationship FROM region JOIN nation ON n_regionkey = r_regionkey"
+
+
+def region_edges(t):
+    return t.nation.join(t.region, C("n_regionkey") == C("r_regionkey")).select(C("r_name").alias("source"), C("n_name").alias("target"), F.lit("has").alias("relationship"))
+
+
+@query(f"WITH e AS ({EDGE_SQL}) SELECT 'edge' AS kind, source AS a, target AS b FROM e UNION ALL SELECT 'node', name, NULL FROM (SELECT source AS name FROM e UNION SELECT target FROM e)")
+def K14_page_of_graph(t):
+    """The page's data, read back: its nodes and edges."""
+    lines = writers.html_lines(region_edges(t)).filter("place in (1, 2)")
+    body = F.regexp_extract("value", ">(.*)</script>$", 1)
+    x = lines.select(F.when(C("place") == 1, "node").otherwise("edge").alias("kind"), F.from_json(body, "id string, source string, target string").alias("x"))
+    return x.select("kind", F.coalesce("x.id", "x.source").alias("a"), C("x.target").alias("b"))
+
+
+@query(f"WITH e AS ({EDGE_SQL}) SELECT *, 'one' AS file FROM e UNION ALL SELECT *, 'two' FROM e WHERE source < 'B'")
+def K14_combined_graph(t):
+    e = region_edges(t)
+    return writers.combined_edges({"two": e.filter("source < 'B'"), "one": e})
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS text, 'v1' AS version FROM documents ORDER BY doc_id LIMIT 3")
+def K13_preview(t):
+    """A pretty export with metadata is read back and its first rows are shown."""
+    path = f"{work_folder(t.spark)}/file"
+    writers.training_file(t.documents.select("doc_id", "text"), path, metadata={"version": "v1"})
+    got = t.spark.read.schema("doc_id long, text string, metadata struct<version: string>").json(path)
+    return writers.preview(got.select("doc_id", "text", C("metadata.version").alias("version")), "doc_id")
+
+
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey < 5 THEN 2 ELSE 1 END AS times FROM nation")
 def K15_appended_ids(t):
     path = f"{work_folder(t.spark)}/file"

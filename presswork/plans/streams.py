@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..streaming.run import cache_hits, changes_only, drain, open_stream, work_folder
+from ..streaming.run import cache_hits, changes_only, drain, gated_flush, open_stream, work_folder
 from .registry import query
 
 
@@ -77,3 +77,10 @@ def X10_debounced(t):
     """Of each burst of a user's events, less than 30 minutes apart, the last."""
     bursts = events(t).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.max_by("event_id", "ts").alias("event_id")).select("user_id", "event_id")
     return drain(bursts, "complete")
+
+
+@query()
+def X4_gated_flush(t):
+    """Captions gather for an hour and are put out if they come to 100 characters; tests hold it to a plain loop."""
+    captions = events(t).withColumn("caption", F.concat("event_type", F.lit(" "), F.col("event_id").cast("string"), F.lit(". ")))
+    return drain(gated_flush(captions, "user_id", "ts", "caption", 21_600, 100), "append")

@@ -83,3 +83,31 @@ def cache_hits(stream: DataFrame, key: str, order: str, seconds: int) -> DataFra
         yield rows.assign(hit=hits)[[key, order, "hit"]]
 
     return stream.select(key, order).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, hit boolean", "stored double", "append", "NoTimeout")
+
+
+def gated_flush(stream: DataFrame, key: str, order: str, text: str, seconds: int, least: int) -> DataFrame:
+    """key, at, flushed: every `seconds` a key's buffer of texts is put out and cleared if it has `least` characters or more.
+
+    A tick is told by the first row at or after it; the state of a key is its buffer and the tick that comes next. What
+    is left in a buffer when the stream ends stays in the state.
+    """
+    import pandas as pd
+
+    kinds = dict(stream.dtypes)
+
+    def run(_, frames, state):
+        buffer, tick = state.get if state.exists else ("", None)
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        out = []
+        for _, row in rows.iterrows():
+            now = int(row[order].timestamp())
+            if tick is not None and now >= tick and len(buffer) >= least:
+                out.append((row[key], tick, buffer))
+                buffer = ""
+            if tick is None or now >= tick:
+                tick = now // seconds * seconds + seconds
+            buffer += row[text] or ""
+        state.update((buffer, tick))
+        yield pd.DataFrame(out, columns=[key, "at", "flushed"])
+
+    return stream.select(key, order, text).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, at long, flushed string", "buffer string, tick long", "append", "NoTimeout")

@@ -1,6 +1,8 @@
 """Operators without a SQL twin: clusterings, paragraphs, caches, model tools, ranks; and odd inputs of those that have one."""
 
+import datetime
 import itertools
+import json
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions import formats, heuristics, pages
 from presswork.operators import clusters, inference, ranking, work
-from presswork.sources import feeds
+from presswork.sources import feeds, writers
 
 
 def blobs(seed=3):
@@ -127,3 +129,28 @@ def test_agents(spark):
     tries = spark.createDataFrame([("u", "a", 403, None), ("u", "b", 200, "body"), ("v", "a", 429, None), ("v", "b", 403, None), ("w", "a", 404, None), ("w", "b", 200, "late")], "url string, agent string, status int, body string")
     got = sorted((r["url"], r["agent"], r["body"], r["how"]) for r in feeds.by_agents(tries, agents).collect())
     assert got == [("u", "b", "body", "fetched"), ("v", None, None, "external"), ("w", "a", None, "HTTP 404")]
+
+
+def test_gated_flush(spark):
+    from presswork.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    buffers, ticks, want = {}, {}, []
+    for r in sorted(spark.read.parquet(f"{folder}/events.parquet").collect(), key=lambda r: r["ts"]):
+        user, now = r["user_id"], int(r["ts"].replace(tzinfo=datetime.timezone.utc).timestamp())
+        if user in ticks and now >= ticks[user] and len(buffers[user]) >= 100:
+            want.append((user, ticks[user], buffers[user]))
+            buffers[user] = ""
+        if now >= ticks.get(user, 0):
+            ticks[user] = now // 21_600 * 21_600 + 21_600
+        buffers[user] = buffers.get(user, "") + f"{r['event_type']} {r['event_id']}. "
+    got = [tuple(r) for r in registry.queries()["X4_gated_flush"](spark, folder).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 3
+
+
+def test_page_of_graph(spark):
+    edges = spark.createDataFrame([("a</script>", 'b"', None), ("a</script>", "King", "x")], "source string, target string, relationship string")
+    lines = [r["value"] for r in writers.html_lines(edges, "A & B").orderBy("place").collect()]
+    assert lines[0].startswith("<!doctype html><title>A &amp; B</title>") and lines[-1].startswith("<script>const read") and len(lines) == 7
+    data = [json.loads(x.split(">", 1)[1].rsplit("</script>", 1)[0]) for x in lines[1:-1]]
+    assert all(x.count("</script>") == 1 for x in lines[1:-1]) and {"id": "King", "color": "#3498db"} in data and {"source": "a</script>", "target": 'b"', "label": ""} in data
