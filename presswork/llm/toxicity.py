@@ -280,7 +280,7 @@ def scored(index: Index, chunk, seen: dict) -> tuple[list[float], list[list[dict
         key = hashlib.blake2b(t[a:b].tobytes() + w[a:b].tobytes(), digest_size=16).digest()
         if (out := seen.get(key)) is None:
             e, s = index.nearest(t[a:b], w[a:b]) if b > a else (np.zeros(0, int), np.zeros(0))
-            out = index.score(index.vote(e, s)), [{"id": str(index.ids[x]), "toxic": int(index.toxic[x]), "cosine": float(y)} for x, y in zip(e[:5], s[:5], strict=True)]
+            out = index.score(index.vote(e, s)), [{"id": str(index.ids[x]), "toxic": int(index.toxic[x]), "cosine": float(y)} for x, y in zip(e, s, strict=True)]
             if len(seen) < 20_000:
                 seen[key] = out
         scores.append(out[0])
