@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import cosine
+from ..functions.text import cosine, tokens
 from ..operators.ranking import global_rank
 from .registry import query
 
@@ -72,10 +72,10 @@ def U2_graph_nodes(t):
     return t.documents.select(F.col("lang").alias("name")).union(t.documents.select("source")).distinct()
 
 
-@query("SELECT vec_id, label, rn FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings)")
-def R5_members_of_groups(t):
-    g = t.embeddings.groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    return g.select("label", F.posexplode("ids").alias("p", "vec_id")).select("vec_id", "label", (F.col("p") + 1).cast("long").alias("rn"))
+@query("SELECT item_id, generate_subscripts(w, 1) AS place, unnest(w) AS word FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark)")
+def R5_unnested_words(t):
+    each = t.benchmark.select("item_id", F.posexplode(tokens(F.col("text"))).alias("p", "word"))
+    return each.select("item_id", (F.col("p") + 1).cast("long").alias("place"), "word")
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(q[i] AS DOUBLE))) / (sqrt(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE) * CAST(e AS DOUBLE)))) * sqrt(list_sum(list_transform(q, lambda e: CAST(e AS DOUBLE) * CAST(e AS DOUBLE))))), 5) AS cos FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7)")

@@ -35,11 +35,14 @@ def K7_title_lines(t):
     return t.documents.select("doc_id", F.concat(F.col("source"), F.lit("\t"), F.col("doc_id").cast("string"), F.lit("\t"), F.translate("text", "\t\n\r", "   ")).alias("line"))
 
 
-@query("SELECT row_number() OVER (ORDER BY source) AS category_id, source AS category_name, count(*) AS article_count, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS articles FROM documents GROUP BY source")
+@query("SELECT category_id, category_name, article_count, doc_id // 1000 AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS articles FROM documents JOIN (SELECT row_number() OVER (ORDER BY source) AS category_id, source AS category_name, count(*) AS article_count FROM documents GROUP BY source) ON category_name = source GROUP BY 1, 2, 3, 4")
 def K12_categories(t):
-    each = t.documents.groupBy("source").agg(F.count("*").alias("article_count"), F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("articles"))
-    number = F.row_number().over(Window.orderBy("source")).cast("long")  # one row for each category
-    return each.select(number.alias("category_id"), F.col("source").alias("category_name"), "article_count", "articles")
+    """Categories numbered from 1; the ids of a large one are lists of 1,000 numbers' ids each, so none is gathered whole."""
+    each = t.documents.groupBy(F.col("source").alias("category_name")).agg(F.count("*").alias("article_count"))
+    number = F.row_number().over(Window.orderBy("category_name")).cast("long")  # one row for each category
+    parts = t.documents.groupBy("source", F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("articles"))
+    named = each.withColumn("category_id", number)
+    return parts.join(named, F.col("source") == F.col("category_name")).select("category_id", "category_name", "article_count", "part", "articles")
 
 
 @query("SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'front,new' ELSE concat_ws(',', CASE WHEN lang <> 'en' THEN lang END, 'new') END AS tags_set, CASE WHEN source IN ('src1', 'src2') THEN 'front' ELSE concat_ws(',', CASE WHEN lang <> 'en' THEN lang END) END AS tags_pulled FROM documents")
