@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.llm import decontaminate, mixing, overlap, pii, queries, toxicity
-from presswork.llm.shared import table, written
+from presswork.llm.shared import dropped, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = docs if i == len(STAGES) - 1 else written(docs)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+            if before is not None:
+                dropped(before)  # what the stage has read
+            before = docs
     return docs
