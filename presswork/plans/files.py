@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import heuristics as h
+from ..operators import models
 from ..operators.filters import compile_filter, parse_entities
 from ..sources import feeds, readers, writers
 from ..streaming.run import work_folder
@@ -245,11 +246,22 @@ def K4_vectors_inserted(t):
     return t.spark.read.parquet(path).select("vec_id", "run")
 
 
+@query("SELECT doc_id AS id, doc_id % 2 = 0 AS old, true AS unit FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[\\p{L}\\p{N}_]{2,}')")
+def K4_embedded_and_added(t):
+    """Texts are embedded and added to a collection that holds half of them; vectors have length 1."""
+    path = f"{work_folder(t.spark)}/store"
+    made = models.embed_hashed(t.documents, "doc_id", "text").filter(F.exists("vector", lambda x: x > 0))
+    writers.replace_collection(made.filter("id % 2 = 0").withColumn("old", F.lit(True)), path)
+    writers.insert_absent(made.withColumn("old", F.lit(False)), path, "id")
+    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    return t.spark.read.parquet(path).select("id", "old", (F.abs(length - 1) < 1e-9).alias("unit"))
+
+
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE len(embedding) = 64) AS whole FROM embeddings")
 def K5_collection_replaced(t):
     path = f"{work_folder(t.spark)}/store"
-    for rows in (vectors(t).limit(5), vectors(t)):
-        writers.replace_collection(rows, path)
+    writers.replace_collection(vectors(t).limit(5), path, expected=5)
+    writers.replace_collection(vectors(t), path)
     return t.spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_if(F.size("v") == 64).alias("whole"))
 
 

@@ -17,9 +17,11 @@ def insert_absent(new: DataFrame, path: str, key: str) -> None:
     new.dropDuplicates([key]).join(there, key, "left_anti").select(*new.columns).write.mode("append").parquet(path)
 
 
-def replace_collection(rows: DataFrame, path: str) -> None:
-    """Drops what is there and stores the rows (K4 with force, K5, K20)."""
+def replace_collection(rows: DataFrame, path: str, expected: int | None = None) -> None:
+    """Drops what is there and stores the rows (K4 with force, K5, K20); another number of rows than expected is an error."""
     rows.write.mode("overwrite").parquet(path)
+    if expected is not None and (n := rows.sparkSession.read.schema(rows.schema).parquet(path).count()) != expected:
+        raise ValueError(f"{n} rows stored, {expected} expected")
 
 
 def vec_files(rows: DataFrame, path: str) -> None:
