@@ -214,7 +214,11 @@ def repeated_runs(docs: DataFrame, n: int = 20, buckets: int | None = None) -> D
 
 
 def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the kept words joined by one blank), kept_sha256: one row for each row of docs."""
+    """doc_id, n_words, n_removed, kept (the kept words joined by one blank), kept_sha256, passages: one row for each row of docs.
+
+    passages: start (a word's number, from 0) and words of each maximal run of words that repeats.
+    """
+    span = pa.struct([("start", pa.int32()), ("words", pa.int32())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     runs = repeated_runs(rows, n).groupBy("doc_id").agg(F.collect_list("runs").alias("runs")).withColumnRenamed("doc_id", "of")
 
@@ -222,10 +226,11 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                total, gone, kept, sha = [], [], [], []
+                total, gone, kept, sha, passages = [], [], [], [], []
                 for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     words = (text or "").encode().split()
                     total.append(len(words))
+                    passages.append([])
                     if runs:
                         edge = np.zeros(len(words) + 1, np.int64)
                         for place, length in np.frombuffer(b"".join(runs), np.int32).reshape(-1, 2).tolist():
@@ -234,11 +239,13 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
                                 edge[place + length + n - 1] -= 1
                         stay = np.cumsum(edge[:-1]) == 0
                         words = [w for w, ok in zip(words, stay.tolist(), strict=True) if ok]
+                        turns = np.flatnonzero(np.diff(np.concatenate(([True], stay, [True]))))
+                        passages[-1] = [{"start": a, "words": b - a} for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
                     gone.append(total[-1] - len(words))
                     joined = b" ".join(words)
                     kept.append(joined.decode())
                     sha.append(hashlib.sha256(joined).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string()), pa.array(passages, pa.list_(span))], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "passages"])
 
     joined = rows.join(runs, rows["doc_id"] == runs["of"], "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, passages array<struct<start: int, words: int>>")

@@ -10,8 +10,13 @@ from . import brute
 def check(docs, n=20):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = brute.repeats(rows, n)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.remove_repeats(docs, n).collect()}
-    assert got == want
+    out = {r["doc_id"]: r for r in repeats.remove_repeats(docs, n).collect()}
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in out.items()} == want
+    for i, text in rows:
+        words, passages = brute.words(text), out[i]["passages"]
+        gone = {j for p in passages for j in range(p["start"], p["start"] + p["words"])}
+        assert " ".join(w for j, w in enumerate(words) if j not in gone) == out[i]["kept"] and all(p["words"] >= n for p in passages)
+        assert all(a["start"] + a["words"] < b["start"] for a, b in zip(passages, passages[1:], strict=False))  # maximal
     return sum(x[1] for x in want.values())
 
 
