@@ -18,9 +18,10 @@ def work_folder(spark: SparkSession) -> str:
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='presswork-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def open_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A stream of Parquet files; path may be a pattern."""
-    return spark.readStream.schema(schema).parquet(path)
+def open_stream(spark: SparkSession, path: str, schema: StructType, batch: int = 256 << 20) -> DataFrame:
+    """A stream of Parquet files; path may be a pattern. A micro-batch takes files of about `batch` bytes, which bounds what
+    a stateful operator holds of one key at a time; files come in the order of their times."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch)).parquet(path)
 
 
 def drain(stream: DataFrame, mode: str, state: str | None = None) -> DataFrame:
