@@ -4,10 +4,13 @@ A document is the set of its word n-grams. Its tokens are hashed into groups, an
 point; the overlap of two sets is at most the sum of coordinate minima of their points. Two sets that link differ in
 at most t tokens, t growing with the size.
 
-Upper level: sizes are cut into bands, and in each band the tokens into t + 1 slabs of coordinates. Points that
-link agree in all coordinates of a slab at least (else they would differ in more than t tokens), so the tree's inner
-nodes are the values of a slab, a box without extent in its coordinates; a point is in t + 1 nodes. Nodes with one
+Upper level: sizes are cut into bands, and in each band the tokens into t + 1 + m slabs of coordinates. Points that
+link agree in all coordinates of m + 1 slabs at least (else they would differ in more than t tokens), so the tree's inner
+nodes are the values of a slab, a box without extent in its coordinates; a point is in t + 1 + m nodes. Nodes with one
 point are dropped at once, which is where nearly all points go, and of nodes with the same points one is kept.
+A passage that very many texts share makes nodes of very many points. A point that is in m such nodes at most leaves them:
+it shares another node with each point that it links with. Only points with more of them stay, such as large groups of
+near copies. m grows with t, to MOST_LEFT; sets of a few tokens have none to spare.
 Lower level: the points of a node, with as many groups as their size asks for, are packed into pages by size; a page has
 a box. A point meets a page, then its points, if the sum of coordinate minima of box corner, then of counts, allows a link.
 
@@ -49,6 +52,9 @@ PAGE_TOKENS = 4_000_000
 #: Cells of the table of points by tokens that are multiplied at once.
 CELLS = 4_000_000
 FLUSH = 12_000_000
+#: Points of a node that points may leave, and from how many such nodes at most.
+CROWD = 2_048
+MOST_LEFT = 4
 #: Buckets of nodes, if there are fewer partitions.
 BUCKETS = 512
 _BAND = 1.5
@@ -71,10 +77,20 @@ class Link:
             out.append(max(out[-1] + 1, int(out[-1] * _BAND)))
         return np.array(out)
 
-    def slabs(self, band: np.ndarray) -> np.ndarray:
-        """One more than the most tokens in which a set of the band and a set that isn't smaller can differ and link."""
+    def spare(self, differ):
+        """How many more nodes than one two points share that differ in so many tokens at most: m."""
+        return np.minimum(MOST_LEFT, (differ + 1) // 8)
+
+    def slabs(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(t + 1 + m, m), t: the most tokens in which a set of the band and a set that isn't smaller can differ and link."""
         top = self.edges()[np.asarray(band) + 1] - 1
-        return top * (self.den - self.num) // self.num + 1
+        differ = top * (self.den - self.num) // self.num
+        return differ + 1 + self.spare(differ), self.spare(differ)
+
+    def may_leave(self, size: Column) -> Column:
+        """How many nodes a point may leave: m of the smallest set that it can link with, which no band's m is below."""
+        least = F.ceil(size * self.num / self.den)
+        return F.least(F.lit(MOST_LEFT), F.floor((F.floor(least * (self.den - self.num) / self.num) + 1) / 8))
 
     def least_partner(self, size: np.ndarray) -> np.ndarray:
         return -(-size * self.num // self.den)
@@ -129,7 +145,7 @@ def slab_values(sets: list[np.ndarray], link: Link) -> tuple[np.ndarray, np.ndar
     two = own != other
     row = np.concatenate((rows, rows[two]))
     band = np.concatenate((own, other[two]))
-    k = link.slabs(band)
+    k, spare = link.slabs(band)
     first = np.concatenate(([0], np.cumsum(k)))
     total = np.zeros(int(first[-1]), U64)
     if len(row):
@@ -139,12 +155,12 @@ def slab_values(sets: list[np.ndarray], link: Link) -> tuple[np.ndarray, np.ndar
         np.add.at(total, slab, mix(token + U64(0x51)))
     owner = np.repeat(row, k)
     number = np.arange(int(first[-1])) - np.repeat(first[:-1], k)
-    # A pair meets in empty slabs alone only if each slab with a token has a difference. A set with more such slabs than
-    # differences it can have with any partner needn't be in empty slabs' nodes, which else would hold most sets.
+    # Each slab with a token in which a pair doesn't agree has a difference. A set whose slabs with a token are by more than
+    # m more than the differences it can have with any partner needn't be in empty slabs' nodes, which else would hold most sets.
     full = total != 0
     held = np.add.reduceat(full, first[:-1]) if len(k) else np.zeros(0, int)
     own = size[row] * (link.den - link.num) // link.num
-    send = full | np.repeat(held <= own, k)
+    send = full | np.repeat(held <= own + spare, k)
     return owner[send], mix(total ^ mix(np.repeat(band, k).astype(U64) * U64(1 << 32) + number.astype(U64)))[send]
 
 
@@ -594,7 +610,7 @@ class Found:
 
     def groups(self, edges: DataFrame) -> DataFrame:
         """point, one: doc_id and text_key of the least document that each point reaches by edges."""
-        by_point = self.known.join(components(edges).withColumnRenamed("v", "point"), "point", "left")
+        by_point = self.known.select("point", "one").join(components(edges).withColumnRenamed("v", "point"), "point", "left")
         reach = by_point.filter("label is not null").groupBy("label").agg(F.min("one").alias("least"))
         return by_point.join(reach, "label", "left").select("point", F.coalesce("least", "one").alias("one"))
 
@@ -660,14 +676,18 @@ def _found(docs: DataFrame, link: Link, id_col: str, text_col: str) -> Found:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     every = written(points(rows, link))
     ok = F.col("doc_id").isNotNull() & (F.col("size") > 0)
-    known = written(every.filter(ok).groupBy("point").agg(F.min(F.struct("doc_id", "text_key")).alias("one")))
+    known = written(every.filter(ok).groupBy("point").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.max("size").alias("size")))
 
-    tree = written(nodes(rows, link))
+    every_node = written(nodes(rows, link))
+    crowds = every_node.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("node")
+    crowded = written(every_node.join(crowds, "node"))
+    few = crowded.groupBy("point").agg(F.count("*").alias("n")).join(known.select("point", "size"), "point").filter(F.col("n") <= link.may_leave(F.col("size"))).select("point")
+    tree = written(every_node.join(crowded.join(few, "point"), ["node", "point"], "left_anti"))
     # Of nodes with the same points (told by 128 bits) one is kept. Its hubs are its least and its largest point.
     mark = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("point")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "point")).alias("y"))
     kept = tree.groupBy("node").agg(F.min("point").alias("lo"), F.max("point").alias("hi"), *mark).groupBy("n", "x", "y", "lo", "hi").agg(F.min("node").alias("node"))
-    every_node, tree = tree, written(tree.join(kept.select("node", "lo", "hi"), "node"))
-    dropped(every_node)
+    thinned, tree = tree, written(tree.join(kept.filter("n > 1").select("node", "lo", "hi"), "node"))
+    dropped(every_node, crowded, thinned)
 
     # The texts of one document for each point in a node of several. They are merged by shuffling at every size: a
     # broadcast of ids would only do for small tables, and a plan that changes with the size can't be judged on them.

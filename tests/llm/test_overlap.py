@@ -23,7 +23,7 @@ def test_fixture(spark):
     assert check(docs, 3, 90, 100) > 20
 
 
-def test_near_copies(spark):
+def test_near_copies(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: f"w{rng.randint(0, 60)}"
     rows = []
@@ -38,6 +38,29 @@ def test_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert check(docs, 3, 90, 100) > 50
     assert check(docs, 2, 8, 10) > 50
+    left = overlap._found(docs, overlap.Link(2, 8, 10), "doc_id", "text").clusters.count()
+    monkeypatch.setattr(overlap, "CROWD", 2)  # points leave nodes of more than two, if they can
+    assert check(docs, 2, 8, 10) > 50
+    assert left > 0
+
+
+def test_left_nodes_lose_no_link():
+    """Whichever m nodes each point leaves, two points that link still share one."""
+    rng = np.random.default_rng(6)
+    link = overlap.Link(2, 8, 10)
+    for size in (6, 30, 90, 200, 700):
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 62, size)).astype(np.uint64)
+            differ = int(len(a) * 2 // 8)
+            gone = rng.integers(0, differ + 1)
+            b = np.concatenate((a[gone // 2 :], rng.integers(0, 1 << 62, (gone + 1) // 2).astype(np.uint64)))
+            shared = len(np.intersect1d(a, b))
+            if 10 * shared < 8 * (len(a) + len(b) - shared):
+                continue
+            owner, node = overlap.slab_values([np.sort(a), np.sort(b)], link)
+            both = np.intersect1d(node[owner == 0], node[owner == 1])
+            least = min(-(-len(x) * 8 // 10) for x in (a, b))
+            assert len(both) > link.spare(least * 2 // 8)
 
 
 def test_odd(spark):
