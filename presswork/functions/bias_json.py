@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 SHAPE = "dir struct<L: double, C: double, R: double>, deg struct<L: double, M: double, H: double>, reason string"
 
 
@@ -15,21 +17,23 @@ def repair_json(raw: Column) -> Column:
     s = F.regexp_replace(s, r'(^|[{,])\s*([A-Za-z_]+)"\s*:', '$1"$2":')
     s = F.regexp_replace(s, r'"(dir|deg)"\s*:\s*"([A-Z])"\s*:', '"$1":{"$2":')
     s = F.regexp_replace(s, r'([0-9.]+)\s*,\s*"(deg|reason)"\s*:', '$1},"$2":')
-    s = F.when(F.startswith(s, F.lit("{")), s).otherwise(F.concat(F.lit("{"), s))
-    s = F.when(F.regexp_count(s, F.lit('"')) % 2 == 1, F.concat(s, F.lit('"'))).otherwise(s)
-    s = F.concat(s, F.repeat(F.lit("}"), F.regexp_count(s, F.lit(r"\{")) - F.regexp_count(s, F.lit(r"\}"))))
+    s = let(s, lambda x: F.when(F.startswith(x, F.lit("{")), x).otherwise(F.concat(F.lit("{"), x)))
+    s = let(s, lambda x: F.when(F.regexp_count(x, F.lit('"')) % 2 == 1, F.concat(x, F.lit('"'))).otherwise(x))
+    s = let(s, lambda x: F.concat(x, F.repeat(F.lit("}"), F.regexp_count(x, F.lit(r"\{")) - F.regexp_count(x, F.lit(r"\}")))))
     # the parser stops after a first value, so what doesn't begin with a brace isn't valid yet
     return F.when(F.trim(raw) == "", F.lit(None)).when(F.startswith(F.ltrim(raw), F.lit("{")) & F.try_parse_json(raw).isNotNull(), raw).otherwise(s)
 
 
 def canonical(raw: Column) -> Column:
     """dir (L, C, R), deg (L, M, H) and reason in this order, or null if any is missing."""
-    x = F.from_json(raw, SHAPE)
-    needed = [x["dir"][k] for k in "LCR"] + [x["deg"][k] for k in "LMH"] + [x["reason"]]
-    ok = F.lit(True)
-    for field in needed:
-        ok = ok & field.isNotNull()
-    return F.when(ok, F.to_json(x))
+
+    def whole(x: Column) -> Column:
+        ok = F.lit(True)
+        for field in [x["dir"][k] for k in "LCR"] + [x["deg"][k] for k in "LMH"] + [x["reason"]]:
+            ok = ok & field.isNotNull()
+        return F.when(ok, F.to_json(x))
+
+    return let(F.from_json(raw, SHAPE), whole)
 
 
 def lenient(raw: Column) -> Column:

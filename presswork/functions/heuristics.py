@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: The patterns of names, and the lists of places, topics, tone, bias and colours.
 TITLED = r"\b(?:President|Governor|Mayor|Mr\.|Ms\.|Dr\.)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
 LINKED = r"\b(?:by|from|with)\s+([A-Z][a-z]+\s+[A-Z][a-z]+)"
@@ -73,24 +75,26 @@ def _present(low: Column, words: tuple[str, ...]) -> Column:
 
 def bias(text: Column) -> Column:
     """struct dl, dc, dr, gl, gm, gh, reason from how many words of each side the text holds."""
-    low = F.coalesce(F.lower(text), F.lit(""))
-    left, right, center = (_present(low, words) for words in (LEFT, RIGHT, CENTER))
-    total = left + right + center
-    l, r, c = (F.try_divide(x, total) for x in (left, right, center))
+    counts = let(F.coalesce(F.lower(text), F.lit("")), lambda low: F.struct(*(_present(low, words).alias(n) for n, words in (("l", LEFT), ("r", RIGHT), ("c", CENTER)))))
+    return let(counts, lambda x: let(F.struct(x.alias("n"), (x["l"] + x["r"] + x["c"]).alias("total")), _judged))
+
+
+def _judged(x: Column) -> Column:
+    total = x["total"]
+    l, r, c = (F.try_divide(x["n"][k], total) for k in "lrc")
     big, small = lambda x: F.round(x * 0.8 + 0.1, 2), lambda x: F.round(F.greatest(F.lit(0.0), 1 - x * 0.8 - c * 0.5 - 0.1), 2)
     to_left, to_right = (l > r) & (l > c), (r > l) & (r > c)
-    raw = [
-        F.when(to_left, big(l)).when(to_right, small(r)).otherwise(F.round(l, 2)),
-        F.when(to_left | to_right, F.round(c * 0.5, 2)).otherwise(F.round(c + 0.1, 2)),
-        F.when(to_left, small(l)).when(to_right, big(r)).otherwise(F.round(r, 2)),
-    ]
-    all_ = raw[0] + raw[1] + raw[2]
-    dirs = [F.when(total == 0, d).otherwise(F.round(x / all_, 2)) for x, d in zip(raw, (0.33, 0.34, 0.33), strict=True)]
+    raw = F.struct(
+        F.when(to_left, big(l)).when(to_right, small(r)).otherwise(F.round(l, 2)).alias("dl"),
+        F.when(to_left | to_right, F.round(c * 0.5, 2)).otherwise(F.round(c + 0.1, 2)).alias("dc"),
+        F.when(to_left, small(l)).when(to_right, big(r)).otherwise(F.round(r, 2)).alias("dr"),
+    )
     steps = (((0.33, 0.2, 0.2, 0.15), "gl"), ((0.34, 0.6, 0.5, 0.4), "gm"), ((0.33, 0.2, 0.3, 0.45), "gh"))
     degs = [F.when(total == 0, a).when(total < 3, b).when(total < 5, d).otherwise(e).alias(name) for (a, b, d, e), name in steps]
-    told = F.format_string("Keyword analysis: %d left, %d right, %d neutral signals", left, right, center)
+    told = F.format_string("Keyword analysis: %d left, %d right, %d neutral signals", x["n"]["l"], x["n"]["r"], x["n"]["c"])
     reason = F.when(total == 0, "Insufficient signals for bias detection - defaulted to center").otherwise(told)
-    return F.struct(*(x.alias(name) for x, name in zip(dirs, ("dl", "dc", "dr"), strict=True)), *degs, reason.alias("reason"))
+    share = lambda y, name, none: F.when(total == 0, none).otherwise(F.round(y[name] / (y["dl"] + y["dc"] + y["dr"]), 2)).alias(name)
+    return let(raw, lambda y: F.struct(share(y, "dl", 0.33), share(y, "dc", 0.34), share(y, "dr", 0.33), *degs, reason.alias("reason")))
 
 
 def colour(name: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bias_json
 from ..functions import heuristics as h
-from ..functions.text import sentences
+from ..functions.text import let, sentences
 
 Provider = Callable[[Column], Column]
 FIELDS = (("dl", "dir", "L"), ("dc", "dir", "C"), ("dr", "dir", "R"), ("gl", "deg", "L"), ("gm", "deg", "M"), ("gh", "deg", "H"))
@@ -23,12 +23,18 @@ def infer_bias(text: Column, model: Provider, default: Provider = h.bias) -> Col
 
     The model's answer if it is a whole record; else what repair makes of it, if that is one; else the default's.
     """
-    raw = model(text)
-    strict, repaired = bias_json.canonical(raw), bias_json.canonical(bias_json.repair_json(raw))
-    record, own = F.from_json(F.coalesce(strict, repaired), bias_json.SHAPE), default(text)
-    how = F.when(strict.isNotNull(), "strict").when(repaired.isNotNull(), "repaired").otherwise("heuristic")
-    either = lambda answer, other: F.when(F.coalesce(strict, repaired).isNotNull(), answer).otherwise(other)
-    return F.struct(*(either(record[axis][key], own[name]).alias(name) for name, axis, key in FIELDS), either(record["reason"], own["reason"]).alias("reason"), how.alias("how"))
+
+    def merged(y: Column) -> Column:
+        how = F.when(y["strict"].isNotNull(), "strict").when(y["repaired"].isNotNull(), "repaired").otherwise("heuristic")
+        either = lambda answer, other: F.when(y["record"].isNotNull(), answer).otherwise(other)
+        fields = [either(y["record"][axis][key], y["own"][name]).alias(name) for name, axis, key in FIELDS]
+        return F.struct(*fields, either(y["record"]["reason"], y["own"]["reason"]).alias("reason"), how.alias("how"))
+
+    def judged(x: Column) -> Column:
+        record = F.from_json(F.coalesce(x["strict"], x["repaired"]), bias_json.SHAPE)
+        return let(F.struct(x["strict"].alias("strict"), x["repaired"].alias("repaired"), record.alias("record"), default(text).alias("own")), merged)
+
+    return let(model(text), lambda raw: let(F.struct(bias_json.canonical(raw).alias("strict"), bias_json.canonical(bias_json.repair_json(raw)).alias("repaired")), judged))
 
 
 def ask(text: Column, prompt: str, provider: Provider, limit: int = 2_000) -> Column:

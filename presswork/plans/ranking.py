@@ -41,12 +41,12 @@ RATED = "rated AS (SELECT event_id % 200 AS id, sum(value) AS rating FROM events
 
 
 @query(f"""WITH {WEIGHTS}, {RATED}, prof AS (SELECT term, sum(rating * weight) / (SELECT sum(rating) FROM known) AS p FROM known JOIN weights USING (id) GROUP BY 1),
-scored AS (SELECT id, round(sum(weight * p) / (SELECT sqrt(sum(p * p)) FROM prof), 6) AS cosine FROM weights JOIN prof USING (term) WHERE id NOT IN (SELECT id FROM rated) GROUP BY 1) SELECT id, cosine FROM scored ORDER BY cosine DESC, id LIMIT 10""")
+scored AS (SELECT id, round(sum(weight * p) / (SELECT sqrt(sum(p * p)) FROM prof), 9) AS cosine FROM weights JOIN prof USING (term) WHERE id NOT IN (SELECT id FROM rated) GROUP BY 1) SELECT id, round(cosine, 4) AS cosine FROM scored ORDER BY scored.cosine DESC, id LIMIT 10""")
 def T9_recommended(t):
     """For one user: the unrated documents nearest to the user's profile."""
     user = t.events.agg(F.min("user_id").alias("user_id"))
     own = t.events.join(F.broadcast(user), "user_id").select("user_id", (F.col("event_id") % 200).alias("id"), F.col("value").alias("rating"))
-    return models.recommend(own, weights(t), 10).select("id", F.round("cosine", 6).alias("cosine"))
+    return models.recommend(own, weights(t), 10).select("id", F.round("cosine", 4).alias("cosine"))
 
 
 @query(f"WITH {WEIGHTS}, me AS (SELECT term, weight AS p FROM weights WHERE id = 3) SELECT id, round(sum(weight * p), 6) AS cosine FROM weights JOIN me USING (term) WHERE id <> 3 GROUP BY 1 ORDER BY cosine DESC, id LIMIT 10")
