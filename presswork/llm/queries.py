@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, overlap, pii, quality, repeats, secrets, toxicity
-from .shared import table
+from . import align, decontaminate, language, licenses, mixing, overlap, pieces, pii, quality, repeats, secrets, toxicity
+from .shared import table, written
 
 #: Stands in where the session names no key, as in tests. Set spark.presswork.surrogateKey to a secret of your own.
 KEY = b"presswork surrogate key"
@@ -94,6 +94,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), F.to_json("neighbours").alias("evidence"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_secret_scan, op3_jaccard_join, op3_jaccard_pairs, op4_repeats, op5_language, op6_quality, op7_licenses, op8_surrogates, op9_decontamination, op10_toxicity)}
+def vocabulary(name: str) -> bytes:
+    """A public tokenizer's file."""
+    import public_tokenizers
+
+    return pieces.model_bytes(public_tokenizers.path(name))
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = align.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256))
+    found = written(found.withColumn("groups_sha256", digest).drop("groups"))
+    return align.rate(found, written(align.pair_counts(found)), keep=("groups_sha256",))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    ids = table(spark, sf_dir, "documents").select("doc_id", pieces.piece_ids(F.col("text"), model).alias("ids"))
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(pieces.piece_text(F.col("ids"), model), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_secret_scan, op3_jaccard_join, op3_jaccard_pairs, op4_repeats, op5_language, op6_quality, op7_licenses, op8_surrogates, op9_decontamination, op10_toxicity, op11_alignment, op12_pieces)}
 
 ORACLES: dict[str, str] = {}
