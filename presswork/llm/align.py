@@ -239,7 +239,7 @@ _RATED = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_su
 
 def rate(aligned: DataFrame, counts: DataFrame, keep: tuple[str, ...] = ("groups",)) -> DataFrame:
     """One row per text: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, and the named string columns of aligned."""
-    of_block = _block_pairs(aligned).join(counts.select("pair", "n", "best"), "pair").groupBy("block").agg(F.collect_list(F.struct("i", "n", "best")).alias("rated"))
+    of_block = _block_pairs(aligned).join(counts.select("pair", "n", "best"), "pair").groupBy(F.col("block").alias("of_block")).agg(F.collect_list(F.struct("i", "n", "best")).alias("rated"))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", *keep]
     own = aligned.select("block", *names, "parts", "link_at", "links")
     schema = pa.schema([("doc_id", pa.int64()), *((x.split(" ")[0], pa.int64()) for x in _RATED.split(", ")), *((k, pa.string()) for k in keep)])
@@ -264,4 +264,4 @@ def rate(aligned: DataFrame, counts: DataFrame, keep: tuple[str, ...] = ("groups
         out = {**{k: rows[k] for k in names}, "n_best": pa.array(of_text[0], pa.int64()), "count_sum": pa.array(of_text[1], pa.int64())}
         return pa.table([out[f.name] for f in schema], schema=schema)
 
-    return own.groupBy("block").cogroup(of_block.groupBy("block")).applyInArrow(one, "doc_id long, " + _RATED + "".join(f", {k} string" for k in keep))
+    return own.groupBy("block").cogroup(of_block.groupBy("of_block")).applyInArrow(one, "doc_id long, " + _RATED + "".join(f", {k} string" for k in keep))

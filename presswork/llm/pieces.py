@@ -135,6 +135,7 @@ class PieceModel:
                 for s in sides:
                     if s < self.size and len(self.pieces[s]) > 1 and ranks[model.pieces[s].score] >= rank:
                         self.restless[s] = True
+        self.pairs = pairs
         self.pair_keys = np.array([*sorted(pairs), np.iinfo(np.int64).max])
         self.pair_ranks = np.array([*(pairs[k][0] for k in sorted(pairs)), _NONE], np.int32)
         self.pair_pieces = np.array([*(pairs[k][1] for k in sorted(pairs)), 0], np.int32)
@@ -217,7 +218,6 @@ class PieceModel:
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), np.ones(n, bool)
         value = symbols.tolist()
         rank, made = (x.tolist() for x in self._pairs(symbols[:-1], symbols[1:]))
-        table = dict(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_pieces.tolist(), strict=True), strict=True))
         queue = [(rank[i], i, value[i], value[i + 1], made[i]) for i in range(n - 1) if rank[i] != _NONE]
         heapq.heapify(queue)
         while queue:
@@ -230,7 +230,7 @@ class PieceModel:
             if after[i] < n:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (pair := table.get(value[a] * self.width + value[b])):
+                if a >= 0 and b < n and (pair := self.pairs.get(value[a] * self.width + value[b])):
                     heapq.heappush(queue, (pair[0], a, value[a], value[b], pair[1]))
         symbols[:] = value
         return alive
