@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, decontaminate, language, licenses, mixing, overlap, pieces, pii, quality, repeats, secrets, toxicity
+from . import align, decontaminate, language, licenses, manifest, mixing, overlap, pieces, pii, quality, repeats, secrets, toxicity
 from .shared import table, written
 
 #: Stands in where the session names no key, as in tests. Set spark.presswork.surrogateKey to a secret of your own.
@@ -120,6 +120,16 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_secret_scan, op3_jaccard_join, op3_jaccard_pairs, op4_repeats, op5_language, op6_quality, op7_licenses, op8_surrogates, op9_decontamination, op10_toxicity, op11_alignment, op12_pieces)}
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda chars: manifest.digest(*(F.col(c) for c in ("doc_id", "source", "lang")), chars, F.col("text"))
+    changed = F.when(fold("doc_id", 7) == 0, fields(F.col("n_chars").cast("decimal(20,0)") + 1))
+    leaves = docs.select("doc_id", "lang", fields(F.col("n_chars")).alias("leaf"), changed.alias("changed"))
+    out = manifest.prove(leaves, "lang", "doc_id")
+    out = out.withColumn("folded_root", manifest.folded(F.coalesce("changed", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_secret_scan, op3_jaccard_join, op3_jaccard_pairs, op4_repeats, op5_language, op6_quality, op7_licenses, op8_surrogates, op9_decontamination, op10_toxicity, op11_alignment, op12_pieces, op13_manifest)}
 
 ORACLES: dict[str, str] = {}
