@@ -14,19 +14,20 @@ texts are chunks of their own; other columns are not read; empty tables give no
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textvec import _BASE, _UNBASE, U64, _power, chunks, mix
 
 LONGEST = 4
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters by category; number signs such as ² and Ⅳ are none.
+_LETTER = regex.compile(r"\p{L}")
 _EDGE = 0x20
 _GRAM = U64(0x100000001B3)
 
@@ -156,15 +157,17 @@ class Model:
         return out, np.bincount(p.doc, minlength=docs)
 
 
-def train(labelled: DataFrame, max_train_docs: int = 10_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5) -> Model | None:
-    """A model of the languages of about max_train_docs rows (by hash of the id), or None if there are none with a letter."""
+def train(labelled: DataFrame, max_train_docs: int = 10_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5, least: int = 1) -> Model | None:
+    """A model of the languages of about max_train_docs rows (by hash of the id), or None if there are none with a letter.
+
+    Words and n-grams that occur less than `least` times in these are not known ones; 1, the default, keeps all."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.select(id_col).count()
     share = min(1.0, max_train_docs / max(1, n))
     some = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < share * 1_000_000)
     some = some.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = some.mapInArrow(_count, "n int, h long, lang string, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c"))
-    by = counts.groupBy("n", "h").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by")).filter("total >= 2")
+    by = counts.groupBy("n", "h").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by")).filter(F.col("total") >= least)
     got = by.select("n", "h", F.explode("by").alias("x")).select("n", "h", "x.lang", "x.c").toArrow()
     langs = sorted(set(got["lang"].unique().to_pylist()))
     if not langs:

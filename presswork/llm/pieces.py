@@ -16,6 +16,7 @@ from __future__ import annotations
 import codecs
 import functools
 import heapq
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,14 +29,17 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: A blank at which a text may be cut: neither neighbour is white space or the piece model's own blank.
-_CUT = re.compile("(?<=[^\\s᠎▁]) (?=[^\\s᠎▁])")
-_BESIDE = re.compile("^ | [\\s᠎▁]|[^\\S ] |[᠎▁] | $")
+_CUT = re.compile("(?<=[^\\s\u180e\u2581]) (?=[^\\s\u180e\u2581])")
+#: White space but blanks and line ends, and what else no cut stands beside.
+_RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u2581\u3000]")
 #: Characters of a text that are cut into parts at a time.
 _SLICE = 1 << 20
 #: Rounds after which what isn't finished is merged by a queue instead: long words take as many rounds as they have ranks.
 ROUNDS = 200
-#: Bytes of texts whose parts are encoded at a time.
-_CHUNK = 4 << 20
+#: Characters of texts whose parts are encoded at a time.
+_CHUNK = 2 << 20
+#: Different parts, and characters of them, that a worker remembers before it begins anew.
+_KNOWN, _KNOWN_CHARS = 250_000, 8 << 20
 _NONE = np.iinfo(np.int32).max
 
 
@@ -45,8 +49,9 @@ def cut_text(text: str) -> Iterator[list[str]]:
     while at < len(text):
         cut = _CUT.search(text, at + _SLICE)
         end = cut.start() if cut else len(text)
-        piece = text[at:end]
-        yield _CUT.split(piece) if _BESIDE.search(piece) else piece.split(" ")
+        piece = text if end - at == len(text) else text[at:end]
+        plain = not ("  " in piece or "\n " in piece or " \n" in piece or piece[0] == " " or piece[-1] == " " or _RARE.search(piece))
+        yield piece.split(" ") if plain else _CUT.split(piece)
         at = cut.end() if cut else len(text)
 
 
@@ -143,7 +148,9 @@ class PieceModel:
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and product of pairs of symbols; _NONE where there is no such piece."""
-        keys = left.astype(np.int64) * self.width + right
+        keys = left.astype(np.int64)
+        keys *= self.width
+        keys += right
         at = np.searchsorted(self.pair_keys, keys)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NONE), self.pair_pieces[at]
 
@@ -161,8 +168,8 @@ class PieceModel:
 
     def _merged(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All merges of flat words. Returns the symbols that remain, in order, and the place where each began."""
-        place = np.arange(len(symbols))
-        word = np.cumsum(first) - 1
+        place = np.arange(len(symbols), dtype=np.int32)
+        word = np.cumsum(first, dtype=np.int32)
         rank = np.full(len(symbols), _NONE, np.int32)
         made = np.zeros(len(symbols), np.int32)
         inner = np.flatnonzero(~first[1:])
@@ -248,15 +255,6 @@ class PieceModel:
             symbols, part = ids, np.repeat(part, size)
         return symbols.astype(np.int32), np.r_[0, np.cumsum(np.bincount(part, minlength=n))]
 
-    def encode_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of whole texts."""
-        index = Parts()
-        rows = [index.number(t) for t in texts]
-        ids, offsets = self.encode(list(index)) if len(index) else (np.empty(0, np.int32), np.zeros(1, np.int64))
-        places, size = gathered(offsets, np.concatenate(rows) if rows else np.empty(0, np.int32))
-        ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64)]
-        return ids[places], ends
-
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Strings of lists of ids, null ids passed over; ids outside the vocabulary raise."""
         flat = ids.values.slice(ids.offsets[0].as_py(), ids.offsets[-1].as_py() - ids.offsets[0].as_py())
@@ -289,6 +287,38 @@ class PieceModel:
 codecs.register_error("presswork_each_byte", lambda e: ("\ufffd", e.start + 1))
 
 
+class Encoder:
+    """Encodes whole texts and remembers the parts it has met, up to a bound that results don't depend on."""
+
+    def __init__(self, model: PieceModel) -> None:
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.parts, self.chars = Parts(), 0
+        self.ids, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of each text, flat, and where each text's begin."""
+        if len(self.parts) > _KNOWN or self.chars > _KNOWN_CHARS:
+            self._forget()
+        rows = [self.parts.number(t) for t in texts]
+        known = len(self.offsets) - 1
+        if new := list(itertools.islice(self.parts, known, None)):
+            self.chars += sum(map(len, new))
+            ids, offsets = self.model.encode(new)
+            self.offsets = np.r_[self.offsets, offsets[1:] + len(self.ids)]
+            self.ids = np.r_[self.ids, ids]
+        places, size = gathered(self.offsets, np.concatenate(rows) if rows else np.empty(0, np.int32))
+        ends = np.r_[0, np.cumsum(size)][np.cumsum([0, *map(len, rows)])]
+        return self.ids[places], ends
+
+
+@functools.lru_cache(maxsize=4)
+def encoder(blob: bytes) -> Encoder:
+    return Encoder(loaded(blob))
+
+
 @functools.lru_cache(maxsize=4)
 def loaded(blob: bytes) -> PieceModel:
     return PieceModel(blob)
@@ -313,25 +343,29 @@ def chunks(texts: list[str | None], most: int = _CHUNK) -> Iterator[list[str | N
         yield run
 
 
-def piece_ids(text: Column, model: bytes) -> Column:
-    """Ids of each text; an empty list for null and empty ones. No begin or end ids, no sampling."""
+def _id_lists(texts: pa.Array, model: bytes) -> pa.Array:
+    out = []
+    for run in chunks(texts.to_pylist()):
+        ids, offsets = encoder(model).encode(run)
+        out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        tables, out = loaded(model), []
-        for run in chunks(texts.to_pylist()):
-            ids, offsets = tables.encode_texts(run)
-            out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
-    return encode(text)
+def piece_ids(text: Column, model: bytes) -> Column:
+    """Ids of each text; an empty list for null and empty ones. No begin or end ids, no sampling."""
+    return F.arrow_udf(lambda texts: _id_lists(texts, model), "array<int>")(text)
 
 
 def piece_text(ids: Column, model: bytes) -> Column:
     """The text of each list of ids; an empty one for null and empty lists."""
+    return F.arrow_udf(lambda lists: loaded(model).decode(lists), "string")(ids)
+
+
+def round_trip(text: Column, model: bytes) -> Column:
+    """`ids` of each text and the `text` that they decode to, in one pass."""
 
-    @F.arrow_udf("string")
-    def decode(lists: pa.Array) -> pa.Array:
-        return loaded(model).decode(lists)
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _id_lists(texts, model)
+        return pa.StructArray.from_arrays([ids, loaded(model).decode(ids)], ["ids", "text"])
 
-    return decode(ids)
+    return F.arrow_udf(both, "ids array<int>, text string")(text)

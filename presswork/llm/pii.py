@@ -8,7 +8,8 @@ without a shared table. A value without any letter or digit that could move gets
 they are moved within the list of their gender by a keyed one-to-one map; names that aren't listed never become listed ones.
 
 Persons are found by what stands around a name, not by a list of names: titles, phrases that introduce or address
-somebody, a name before an address in brackets; a listed given name before any capitalised word is one more sign.
+somebody, a name before an address in brackets; a listed given name before any capitalised word is one more sign. A name
+found in this way, and its last word alone, is then replaced wherever it stands in the same text.
 
 surrogate_collisions() checks distinctness over a whole corpus, and distinct() replaces all with the next of a row of keys
 as long as two values share a surrogate. Values of one phone number in different spellings share their surrogate digits.
@@ -62,7 +63,7 @@ PATTERNS = (
 )
 _FIND = tuple((kind, sign, re.compile(pattern)) for kind, sign, pattern in PATTERNS)
 _DIGITS = re.compile(r"\d(?:\D{0,2}\d){3}")
-_KINDS = (*(kind for kind, *_ in PATTERNS), "person")
+_KINDS = (*(kind for kind, *_ in PATTERNS), "person", "again")
 _ORDER = {kind: i for i, kind in enumerate(_KINDS)}
 _WORD = r"(?:\p{Lu}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*|\p{Lo}[\p{Lo}\p{M}]*)"
 PARTICLES = ("von", "van", "de", "del", "der", "den", "di", "da", "la", "le")
@@ -97,6 +98,20 @@ def persons(text: str, emails: list[tuple[int, int]]) -> Iterator[tuple[int, int
             yield m.span(1)
 
 
+def again(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of other places of the names at the given ones: whole, and their last word alone."""
+    names = set()
+    for start, end in spans:
+        words = text[start:end].split(" ")
+        words = words[words[0].rstrip(".") in TITLES :]
+        if words:
+            names |= {" ".join(words), words[-1]}
+    names = {n for n in names if len(n) > 1 and n not in PARTICLES}
+    if names:
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))})(?!\w)", text):
+            yield m.span()
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(type, start, end) in code points, without overlap: the leftmost first, of those the first of PATTERNS.
 
@@ -107,12 +122,14 @@ def detect(text: str) -> list[tuple[str, int, int]]:
         if sign in text and (digits or kind == "email") and (m := pattern.search(text)):
             next_.append((m.start(), _ORDER[kind], m.end(), pattern))
     emails = [m.span() for m in _FIND[0][2].finditer(text)] if "@" in text else []
-    next_ += [(a, _ORDER["person"], b, None) for a, b in persons(text, emails)]
+    named = list(persons(text, emails))
+    next_ += [(a, _ORDER["person"], b, None) for a, b in named]
+    next_ += [(a, _ORDER["again"], b, None) for a, b in again(text, named)]
     heapq.heapify(next_)
     while next_:
         start, order, end, pattern = heapq.heappop(next_)
         if start >= at:
-            out.append((_KINDS[order], start, end))
+            out.append(("person" if _KINDS[order] == "again" else _KINDS[order], start, end))
             at = end
         if pattern and (m := pattern.search(text, at)):
             heapq.heappush(next_, (m.start(), order, m.end(), pattern))
@@ -264,9 +281,17 @@ def replace_pii(docs: DataFrame, key: bytes = b"presswork", id_col: str = "doc_i
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, n_entities long, entities {ENTITIES}")
 
 
+def free_name(docs: DataFrame, name: str = "_entities") -> str:
+    """The name, with underscores before it until no column of docs has it."""
+    used = {c.lower() for c in docs.columns}
+    while name in used:
+        name = "_" + name
+    return name
+
+
 def rewrite_texts(docs: DataFrame, key: bytes = b"presswork", text_col: str = "text") -> DataFrame:
-    """docs with all columns, the text with surrogates, and the column _entities as in replace_pii. Maps rows; nothing is shuffled."""
-    at = docs.columns.index(text_col)
+    """docs with all columns, the text with surrogates, and the column free_name(docs) as entities in replace_pii. Maps rows; nothing is shuffled."""
+    at, told_in = docs.columns.index(text_col), free_name(docs)
     one = pa.struct([("type", pa.string()), ("value_hmac", pa.string()), ("surrogate", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +300,9 @@ def rewrite_texts(docs: DataFrame, key: bytes = b"presswork", text_col: str = "t
             done = [(None, []) if t is None else keyed.rewrite(t) for t in batch.column(at).to_pylist()]
             told = [[{"type": k, "value_hmac": keyed.digest(k, v), "surrogate": s} for k, v, s in found] for _, found in done]
             out = batch.set_column(at, batch.schema.field(at).name, pa.array([t for t, _ in done], batch.column(at).type))
-            yield out.append_column("_entities", pa.array(told, pa.list_(one)))
+            yield out.append_column(told_in, pa.array(told, pa.list_(one)))
 
-    return docs.mapInArrow(run, docs.withColumn("_entities", F.lit(None).cast(ENTITIES)).schema)
+    return docs.mapInArrow(run, docs.withColumn(told_in, F.lit(None).cast(ENTITIES)).schema)
 
 
 def distinct(replaced: Callable[[bytes], DataFrame], key: bytes, entities: str = "entities") -> DataFrame:

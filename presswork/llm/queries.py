@@ -110,13 +110,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = vocabulary("piece_bpe_32k.model")
-    ids = table(spark, sf_dir, "documents").select("doc_id", pieces.piece_ids(F.col("text"), model).alias("ids"))
-    return ids.select(
+    docs = table(spark, sf_dir, "documents")
+    back = docs.select("doc_id", pieces.round_trip(F.col("text"), vocabulary("piece_bpe_32k.model")).alias("back"))
+    return back.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(pieces.piece_text(F.col("ids"), model), 256).alias("decoded_sha256"),
+        F.size("back.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("back.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("back.text", 256).alias("decoded_sha256"),
     )
 
 

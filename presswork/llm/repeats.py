@@ -11,9 +11,9 @@ blob for each task, share of the texts and bucket of anchors. Before that, a tas
 earlier (it knows already that they are repeats), so a passage in a third of all documents sends a few records for each
 task. A bucket is worked off at a time, in sorted arrays.
 
-Ids must be integers. Null and empty texts have no words. Rows of one id count as one document at the same places. A null
-id is never compared and loses nothing. Of equal windows the one with the smaller id, then place, stays; a place that ties
-with itself (rows equal in id and text) is no repeat. Very long texts are a chunk of their own; other columns are not read;
+Ids must be integers. Null and empty texts have no words. Rows of one id and different texts are documents of their own, in
+the order of a hash of the text. A null id is never compared and loses nothing. Of equal windows the one with the smaller id,
+then hash, then place, stays; a place that ties with itself (rows equal in id and text) is no repeat. Very long texts are a chunk of their own; other columns are not read;
 empty tables give no rows. Windows are equal if 64 bits are: 48 of the window's hash, folded with the anchor's 64.
 """
 
@@ -55,7 +55,7 @@ def anchors_of(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 class Records:
-    """Windows of many documents: key of the anchor, window hash, document, place."""
+    """Windows of many documents: key of the anchor, window hash, document (id, then the text's hash), place."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -71,8 +71,8 @@ class Records:
         return out
 
 
-def later(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which items have an equal key with an earlier (doc, place)."""
+def later(key: np.ndarray, doc: np.ndarray, tie: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which items have an equal key with an earlier (doc, tie, place)."""
     order = np.argsort(key, kind="stable")
     k = key[order]
     same = np.zeros(len(k) + 1, bool)
@@ -80,53 +80,56 @@ def later(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     some = order[same[:-1] | same[1:]]
     out = np.zeros(len(key), bool)
     if len(some):
-        some = some[np.lexsort((place[some], doc[some], key[some]))]
-        k, d, p = key[some], doc[some], place[some]
+        some = some[np.lexsort((place[some], tie[some], doc[some], key[some]))]
+        k, d, t, p = key[some], doc[some], tie[some], place[some]
         head = np.ones(len(some), bool)
         head[1:] = k[1:] != k[:-1]
         first = np.maximum.accumulate(np.where(head, np.arange(len(some)), 0))
-        out[some] = (d != d[first]) | (p != p[first])
+        out[some] = (d != d[first]) | (t != t[first]) | (p != p[first])
     return out
 
 
-def ranges(doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def ranges(doc: np.ndarray, tie: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """For each document the first places and lengths of its runs of places, as bytes."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)
+    order = np.lexsort((place, tie, doc))
+    doc, tie, place = doc[order], tie[order], place[order]
+    other = np.ones(len(doc), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])
+    new = other.copy()
+    new[1:] |= place[1:] > place[:-1] + 1
     at = np.flatnonzero(new)
     length = place[np.append(at[1:], len(place)) - 1] - place[at] + 1
     runs = np.stack([place[at], length], 1).astype(np.int32)
-    docs = doc[at]
-    cut = np.append(np.flatnonzero(np.append(True, docs[1:] != docs[:-1])), len(docs))
+    cut = np.append(np.flatnonzero(other[at]), len(at))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        yield int(docs[a]), runs[a:b].tobytes()
+        yield int(doc[at[a]]), int(tie[at[a]]), runs[a:b].tobytes()
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("runs", pa.binary()), ("anchors", pa.binary()), ("windows", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("runs", pa.binary()), ("anchors", pa.binary()), ("windows", pa.binary())])
 RECORD = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("place", "<u4"), ("mask", "<u2")])
 
 
 def pack(records: Records, buckets: int) -> Iterator[pa.RecordBatch]:
     """One row for each bucket, and one for each document of which windows are repeats within these records."""
-    anchor, window, doc, place = records.take()
-    gone = later(window ^ mix(anchor), doc, place)
+    anchor, window, doc, tie, place = records.take()
+    gone = later(window ^ mix(anchor), doc, tie, place)
     if gone.any():
-        docs, runs = zip(*ranges(doc[gone], place[gone]), strict=True)
+        docs, ties, runs = zip(*ranges(doc[gone], tie[gone], place[gone]), strict=True)
         docs = np.array(docs, np.int64)
         bucket = (mix(docs.view(U64)) % U64(buckets)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(docs), pa.array(runs, pa.binary()), pa.nulls(len(docs), pa.binary()), pa.nulls(len(docs), pa.binary())], schema=SENT)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(docs), pa.array(ties, pa.int64()), pa.array(runs, pa.binary()), pa.nulls(len(docs), pa.binary()), pa.nulls(len(docs), pa.binary())], schema=SENT)
     # windows with one anchor stand together; a record has 16 of them at most
     run = np.ones(len(anchor), bool)
-    run[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
+    run[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (place[1:] != place[:-1] + 1)
     at = np.flatnonzero(run)
     step = np.arange(len(anchor)) - np.repeat(at, np.diff(np.append(at, len(anchor))))
     run |= step % 16 == 0
     at = np.flatnonzero(run)
     owner = np.cumsum(run) - 1
     step = np.arange(len(anchor)) - at[owner]
-    docs, number = np.unique(doc, return_inverse=True)
+    other = np.append(True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]))
+    docs, number = np.unique(np.stack([doc[other], tie[other]], 1), axis=0, return_inverse=True)
+    number = number.ravel()[np.cumsum(other) - 1]
     head = np.zeros(len(at), RECORD)
     head["anchor"], head["doc"], head["place"] = anchor[at], number[at], place[at]
     mask = np.zeros(len(at), np.uint16)
@@ -149,7 +152,7 @@ def pack(records: Records, buckets: int) -> Iterator[pa.RecordBatch]:
         out.append((int(bucket[own[0]]), docs[used].tobytes(), own_head.tobytes(), low[take].tobytes()))
     if out:
         n, ids, heads, lows = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.nulls(len(n), pa.int64()), pa.array(ids, pa.binary()), pa.array(heads, pa.binary()), pa.array(lows, pa.binary())], schema=SENT)
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.array(ids, pa.binary()), pa.array(heads, pa.binary()), pa.array(lows, pa.binary())], schema=SENT)
 
 
 def _groups(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -157,28 +160,28 @@ def _groups(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cut, np.append(cut[1:], len(sorted_values)), strict=True)
 
 
-def unpack(ids: bytes, heads: bytes, lows: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, doc, place) of the windows of a blob."""
-    docs, head = np.frombuffer(ids, np.int64), np.frombuffer(heads, RECORD)
+def unpack(ids: bytes, heads: bytes, lows: bytes) -> tuple[np.ndarray, ...]:
+    """(key, doc, tie, place) of the windows of a blob."""
+    docs, head = np.frombuffer(ids, np.int64).reshape(-1, 2), np.frombuffer(heads, RECORD)
     low = np.frombuffer(lows, np.uint8).reshape(-1, 6)
     wide = np.zeros((len(low), 8), np.uint8)
     wide[:, :6] = low
     record, bit = np.nonzero((head["mask"][:, None] >> np.arange(16, dtype=np.uint16)) & 1)
-    return wide.view("<u8").ravel().astype(U64) ^ mix(head["anchor"])[record], docs[head["doc"][record]], head["place"][record].astype(np.int64) + bit
+    return wide.view("<u8").ravel().astype(U64) ^ mix(head["anchor"])[record], *docs[head["doc"][record]].T, head["place"][record].astype(np.int64) + bit
 
 
 def repeated_runs(docs: DataFrame, n: int = 20, buckets: int | None = None) -> DataFrame:
-    """doc_id, runs: places and lengths (pairs of int32) of runs of n-word windows that also start earlier; several rows for a document."""
+    """doc_id, tie (a hash of the text), runs: places and lengths (pairs of int32) of runs of n-word windows that also start earlier; several rows for a document."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 4 * parts
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = Records()
         for chunk in chunks(batches):
-            ids = np.asarray(chunk.column("doc_id"))
+            ids, ties = np.asarray(chunk.column("doc_id")), np.asarray(chunk.column("tie"))
             words = Words(chunk)
             start, window, anchor = anchors_of(words, n)
-            records.add(anchor, window & _LOW48, ids[words.doc[start]], words.place[start])
+            records.add(anchor, window & _LOW48, ids[words.doc[start]], ties[words.doc[start]], words.place[start])
             records.bytes += len(chunk.data)
             if records.bytes > FLUSH and records.parts:
                 yield from pack(records, buckets)
@@ -190,27 +193,27 @@ def repeated_runs(docs: DataFrame, n: int = 20, buckets: int | None = None) -> D
 
         def done() -> Iterator[pa.RecordBatch]:
             if parts:
-                key, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+                key, doc, tie, place = (np.concatenate(x) for x in zip(*parts, strict=True))
                 parts.clear()
-                gone = later(key, doc, place)
+                gone = later(key, doc, tie, place)
                 if gone.any():
-                    ids, runs = zip(*ranges(doc[gone], place[gone]), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs, pa.binary())], ["doc_id", "runs"])
+                    ids, ties, runs = zip(*ranges(doc[gone], tie[gone], place[gone]), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(runs, pa.binary())], ["doc_id", "tie", "runs"])
 
         for batch in batches:
             known = batch.filter(batch.column(1).is_valid())
             if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(1), known.column(2)], ["doc_id", "runs"])
+                yield pa.RecordBatch.from_arrays([known.column(1), known.column(2), known.column(3)], ["doc_id", "tie", "runs"])
             rest = batch.filter(batch.column(1).is_null())
-            for bucket, ids, heads, lows in zip(rest.column(0).to_pylist(), rest.column(2), rest.column(3), rest.column(4), strict=True):
+            for bucket, ids, heads, lows in zip(rest.column(0).to_pylist(), rest.column(3), rest.column(4), rest.column(5), strict=True):
                 if bucket != at:
                     yield from done()
                     at = bucket
                 parts.append(unpack(ids.as_py(), heads.as_py(), lows.as_py()))
         yield from done()
 
-    sent = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(seeds, "bucket int, doc_id long, runs binary, anchors binary, windows binary")
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(extend, "doc_id long, runs binary")
+    sent = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(seeds, "bucket int, doc_id long, tie long, runs binary, anchors binary, windows binary")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(extend, "doc_id long, tie long, runs binary")
 
 
 def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +223,7 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
     """
     span = pa.struct([("start", pa.int32()), ("words", pa.int32())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = repeated_runs(rows, n).groupBy("doc_id").agg(F.collect_list("runs").alias("runs")).withColumnRenamed("doc_id", "of")
+    runs = repeated_runs(rows, n).groupBy(F.col("doc_id").alias("of"), "tie").agg(F.collect_list("runs").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +237,8 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
                     if runs:
                         edge = np.zeros(len(words) + 1, np.int64)
                         for place, length in np.frombuffer(b"".join(runs), np.int32).reshape(-1, 2).tolist():
-                            if place + length + n - 1 <= len(words):  # else of another row with this id
-                                edge[place] += 1
-                                edge[place + length + n - 1] -= 1
+                            edge[place] += 1
+                            edge[place + length + n - 1] -= 1
                         stay = np.cumsum(edge[:-1]) == 0
                         words = [w for w, ok in zip(words, stay.tolist(), strict=True) if ok]
                         turns = np.flatnonzero(np.diff(np.concatenate(([True], stay, [True]))))
@@ -247,5 +249,5 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
                     sha.append(hashlib.sha256(joined).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string()), pa.array(passages, pa.list_(span))], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "passages"])
 
-    joined = rows.join(runs, rows["doc_id"] == runs["of"], "left").select("doc_id", "text", "runs")
+    joined = rows.join(runs, (rows["doc_id"] == runs["of"]) & (F.xxhash64(rows["text"]) == runs["tie"]), "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, passages array<struct<start: int, words: int>>")

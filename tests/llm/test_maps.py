@@ -1,5 +1,6 @@
 """Operators that look at one document at a time, against brute force and on odd inputs."""
 
+import itertools
 import math
 import random
 import re
@@ -496,14 +497,15 @@ def test_quality_verdict_is_that_of_all_labellings(spark):
     assert len(seen) == 2
 
 
-def test_language_is_that_of_a_plain_model(spark):
+@pytest.mark.parametrize("least", [1, 2])
+def test_language_is_that_of_a_plain_model(spark, least):
     """Counts of words and n-grams in dictionaries, and the backoff word by word."""
     from collections import Counter
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
     learn = [(t, x) for i, t, x in rows if i % 3 and t is not None and x is not None]
-    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    words = lambda t: ["".join(g) for ok, g in itertools.groupby(t.lower(), lambda c: unicodedata.category(c)[0] == "L") if ok]
     grams = lambda w, n: [(f" {w} " if n > 1 else w)[i : i + n] for i in range(len(f" {w} " if n > 1 else w) - n + 1)]
     counts = [Counter() for _ in range(5)]
     for t, x in learn:
@@ -517,10 +519,10 @@ def test_language_is_that_of_a_plain_model(spark):
         total = Counter()
         for (g, _), n in c.items():
             total[g] += n
-        known = [g for g, n in total.items() if n >= 2]
+        known = [g for g, n in total.items() if n >= least]
         sums = {x: sum(c[g, x] for g in known) for x in langs}
         logs.append({g: [math.log((c[g, x] + 0.5) / (sums[x] + 0.5 * max(1, len(known)))) for x in langs] for g in known})
-    model = language.train(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(learn)], "doc_id long, text string, lang string"))
+    model = language.train(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(learn)], "doc_id long, text string, lang string"), least=least)
     got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
     for i, t, _ in rows:
         own = words(t or "")
@@ -540,3 +542,26 @@ def test_language_is_that_of_a_plain_model(spark):
         sums /= math.sqrt(len(own))
         odds = np.exp(sums - sums.max())
         assert got[i]["lang_pred"] == langs[int(sums.argmax())] and abs(got[i]["score"] - odds.max() / odds.sum()) < 1e-3
+
+
+def test_language_without_letters(spark):
+    model = language.train(spark.createDataFrame([(1, "ein Haus", "de"), (2, "a house", "en")], "doc_id long, text string, lang string"))
+    rows = [(1, "² ½ ①"), (2, "Ⅳ ⅷ"), (3, "12 _ !"), (4, "ª"), (5, "x²")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in (1, 2, 3)] == ["und"] * 3 and "und" not in (got[4], got[5])
+
+
+def test_names_are_replaced_wherever_they_stand():
+    text = "Frau Brandt, Mr Wei Zhang, Alice Kowalski, Wei Zhang. Zhang said no; Brandt's answer. Kowalski left. wei zhang@x"
+    new, found = pii.Surrogates(b"k").rewrite(text)
+    assert not any(name in new for name in ("Brandt", "Wei Zhang", "Zhang", "Kowalski"))
+    by = {v: s for k, v, s in found if k == "person"}
+    assert by["Mr Wei Zhang"].split(" ", 1)[1] == by["Wei Zhang"] and by["Zhang"] == by["Wei Zhang"].split(" ")[1]
+    assert new.count(by["Zhang"]) == 3 and by["Brandt"] in by["Frau Brandt"]
+
+
+def test_rewritten_texts_keep_every_column(spark):
+    df = spark.createDataFrame([(1, "Mr Wei Zhang", "mine", 5)], "doc_id long, text string, _Entities string, __entities int")
+    name = pii.free_name(df)
+    out = pii.rewrite_texts(df, b"k").collect()[0]
+    assert out["_Entities"] == "mine" and out["__entities"] == 5 and out[name][0]["type"] == "person" and len(out) == 5

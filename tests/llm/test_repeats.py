@@ -3,6 +3,7 @@
 import random
 
 from presswork.llm import repeats
+from pyspark.sql import functions as F
 
 from . import brute
 
@@ -47,3 +48,20 @@ def test_odd(spark):
     null = spark.createDataFrame([(None, "a " * 50), (None, "a " * 50), (1, None), (1, None)], "doc_id long, text string")
     assert sorted(r["n_removed"] for r in repeats.remove_repeats(null).collect()) == [0, 0, 0, 0]
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    """Rows of one id are documents of their own, by a hash of the text; rows equal in both are one."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["kept"][:2], r["n_removed"]) for r in repeats.remove_repeats(docs).collect())
+    assert got == [(1, "a0", 0), (2, "", 30), (2, "b0", 0), (2, "b0", 0)]
+    rng = random.Random(7)
+    rows = [(i // 3, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    rows += rows[:20]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted({(r["doc_id"], r["tie"], r["text"]) for r in docs.withColumn("tie", F.xxhash64("text")).collect()})
+    want = brute.repeats([((i, tie), t) for i, tie, t in order], 6)
+    by_text = {(i, t): want[i, tie] for i, tie, t in order}
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.remove_repeats(docs, 6).collect())
+    assert got == sorted((i, *by_text[i, t]) for i, t in rows)

@@ -46,14 +46,14 @@ def test_encode_random(lib, model):
     texts += ["".join(rng.choice("abcdehinorst e") for _ in range(rng.randint(0, 60))) for _ in range(6000)]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x370, 0xD7FF), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(30)) for _ in range(500)]
     texts += [t or "" for t in ODD]
-    assert lists(model.encode_texts(texts)) == lib.encode(texts)
+    assert lists(pieces.Encoder(model).encode(texts)) == lib.encode(texts)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=60), max_size=8))
 def test_round_trip(texts):
     tables = pieces.loaded(pieces.model_bytes(MODEL))
-    ids, offsets = tables.encode_texts(texts)
+    ids, offsets = pieces.encoder(pieces.model_bytes(MODEL)).encode(texts)
     back = tables.decode(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))).to_pylist()
     assert back == [t.replace("▁", " ") for t in texts]
 
@@ -62,10 +62,10 @@ def test_long_words(lib, model, monkeypatch):
     rng = random.Random(13)
     texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC0123+/") for _ in range(60_000)), " " * 20_000, "a" * 30_000 + " b", "x\n" * 5000]
     want = lib.encode(texts)
-    assert lists(model.encode_texts(texts)) == want
+    assert lists(pieces.Encoder(model).encode(texts)) == want
     for rounds in (0, 1, 3):  # the queue gives what rounds give, wherever it takes over
         monkeypatch.setattr(pieces, "ROUNDS", rounds)
-        assert lists(model.encode_texts(texts[:1] + ["the thing in the string  inside"])) == [want[0], lib.encode("the thing in the string  inside")]
+        assert lists(pieces.Encoder(model).encode(texts[:1] + ["the thing in the string  inside"])) == [want[0], lib.encode("the thing in the string  inside")]
 
 
 def test_texts_in_slices(lib, model, monkeypatch):
@@ -73,7 +73,23 @@ def test_texts_in_slices(lib, model, monkeypatch):
     texts = [t or "" for t in ODD if len(t or "") < 4000]
     for t in texts:
         assert " ".join(p for run in pieces.cut_text(t) for p in run) == t
-    assert lists(model.encode_texts(texts)) == lib.encode(texts)
+    assert lists(pieces.Encoder(model).encode(texts)) == lib.encode(texts)
+
+
+def test_forgetting(lib, model, monkeypatch):
+    monkeypatch.setattr(pieces, "_KNOWN", 5)
+    own, rng = pieces.Encoder(model), random.Random(15)
+    for _ in range(30):
+        texts = [rng.choice(ODD[:30]) for _ in range(rng.randint(0, 4))]
+        assert lists(own.encode(texts)) == [lib.encode(t or "") for t in texts]
+
+
+def test_columns(spark, lib):
+    data = queries.vocabulary("piece_bpe_32k.model")
+    df = spark.createDataFrame([(t,) for t in ODD], "text string")
+    out = df.select("text", pieces.piece_ids(F.col("text"), data).alias("ids")).select("text", "ids", pieces.piece_text(F.col("ids"), data).alias("back"))
+    for r in out.collect():
+        assert r["ids"] == lib.encode(r["text"] or "") and r["back"] == lib.decode(r["ids"])
 
 
 def test_decode_any_ids(lib, model):
