@@ -34,7 +34,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.distinct(lambda key: pii.rewrite_texts(docs, key), queries.surrogate_key(spark), "_entities").drop("_entities")
+    told_in = pii.free_name(docs)
+    out = pii.distinct(lambda key: pii.rewrite_texts(docs, key), queries.surrogate_key(spark), told_in).drop(told_in)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
