@@ -19,6 +19,7 @@ blank in B). Rows are never joined by id: repeated and null ids give a row each.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from .pieces import Parts, gathered, loaded
 
 #: Bytes (characters) of texts of a block.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
+#: Different parts of a block that are aligned at a time.
+_PARTS = 16_000
 #: Rows of a block that are handed on at a time.
 _ROWS = 2_000
 
@@ -59,10 +62,10 @@ class ByteTokens:
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of each part with a blank before it."""
         ids, sizes = [], np.zeros(len(parts) + 1, np.int64)
-        for at in range(0, len(parts), 20_000):
-            for j, e in enumerate(self.tokenizer.encode_batch_fast([" " + p for p in parts[at : at + 20_000]], add_special_tokens=False)):
+        for at in range(0, len(parts), 2_000):
+            for j, e in enumerate(self.tokenizer.encode_batch_fast([" " + p for p in parts[at : at + 2_000]], add_special_tokens=False)):
                 own = e.ids
-                ids += own
+                ids.extend(own)
                 sizes[at + j + 1] = len(own)
         return np.array(ids, np.int32), np.cumsum(sizes)
 
@@ -168,17 +171,24 @@ def _arrow_schema() -> pa.Schema:
 def _block(name: str, ids: list[int | None], index: Parts, rows: list[np.ndarray], a: ByteTokens, b) -> Iterator[pa.RecordBatch]:
     """A block's own row, then a row for each of its texts."""
     schema = _arrow_schema()
-    found = Aligned(list(index), a, b)
-    spoilt = np.array([len(r) > 0 and not found.whole[r].all() for r in rows], bool)
+    whole, sizes, texts, pair = [], [np.zeros((0, 4), np.int64)], [], [np.empty(0, np.int64)]
+    left = iter(index)
+    while some := list(itertools.islice(left, _PARTS)):
+        found = Aligned(some, a, b)
+        whole.append(found.whole)
+        sizes.append(found.sizes())
+        texts += found.group_texts()
+        pair.append((found.a_ids[found.query].astype(np.int64) << 32) | found.b_ids[found.hit])
+    whole, sizes, pair = np.concatenate([*whole, np.empty(0, bool)]), np.vstack(sizes), np.concatenate(pair)
+    link_at = np.r_[0, np.cumsum(sizes[:, 3])]
+    spoilt = np.array([len(r) > 0 and not whole[r].all() for r in rows], bool)
     rows = [np.empty(0, np.int32) if bad else r for r, bad in zip(rows, spoilt.tolist(), strict=True)]
     held = np.bincount(np.concatenate(rows), minlength=len(index)) if rows else np.zeros(len(index), np.int64)
-    pair = (found.a_ids[found.query].astype(np.int64) << 32) | found.b_ids[found.hit]
     pairs, links = np.unique(pair, return_inverse=True)
-    per_link = np.repeat(held, np.diff(found.link_at))
-    times = np.bincount(links, weights=per_link, minlength=len(pairs)).astype(np.int64)
-    head = {"block": [name], "pairs": [pairs], "times": [times], "link_at": [found.link_at.astype(np.int32)], "links": [links.astype(np.int32)]}
+    links = links.astype(np.int32)
+    times = np.bincount(links, weights=np.repeat(held, sizes[:, 3]), minlength=len(pairs)).astype(np.int64)
+    head = {"block": [name], "pairs": [pairs], "times": [times], "link_at": [link_at.astype(np.int32)], "links": [links]}
     yield pa.RecordBatch.from_arrays([pa.array(head.get(f.name, [None]), f.type) for f in schema], schema=schema)
-    sizes, texts = np.vstack([found.sizes(), np.zeros((1, 4), np.int64)]), found.group_texts()
     for at in range(0, len(rows), _ROWS):
         some = rows[at : at + _ROWS]
         offsets = np.r_[0, np.cumsum([len(r) for r in some])]
