@@ -343,29 +343,39 @@ def chunks(texts: list[str | None], most: int = _CHUNK) -> Iterator[list[str | N
         yield run
 
 
-def _id_lists(texts: pa.Array, model: bytes) -> pa.Array:
-    out = []
+def _id_lists(texts: pa.Array, model: bytes) -> Iterator[pa.Array]:
+    """The ids of texts, a bounded run of rows at a time."""
     for run in chunks(texts.to_pylist()):
         ids, offsets = encoder(model).encode(run)
-        out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
-    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _joined(runs: Iterator[pa.Array], kind: pa.DataType) -> pa.Array:
+    out = list(runs)
+    return pa.concat_arrays(out) if out else pa.array([], kind)
 
 
 def piece_ids(text: Column, model: bytes) -> Column:
     """Ids of each text; an empty list for null and empty ones. No begin or end ids, no sampling."""
-    return F.arrow_udf(lambda texts: _id_lists(texts, model), "array<int>")(text)
+    return F.arrow_udf(lambda texts: _joined(_id_lists(texts, model), pa.list_(pa.int32())), "array<int>")(text)
 
 
 def piece_text(ids: Column, model: bytes) -> Column:
     """The text of each list of ids; an empty one for null and empty lists."""
-    return F.arrow_udf(lambda lists: loaded(model).decode(lists), "string")(ids)
+
+    def decode(lists: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // (_CHUNK // 4))) + 1).tolist(), len(lists)]
+        return _joined((loaded(model).decode(lists.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a), pa.string())
+
+    return F.arrow_udf(decode, "string")(ids)
 
 
 def round_trip(text: Column, model: bytes) -> Column:
     """`ids` of each text and the `text` that they decode to, in one pass."""
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("text", pa.string())])
 
     def both(texts: pa.Array) -> pa.Array:
-        ids = _id_lists(texts, model)
-        return pa.StructArray.from_arrays([ids, loaded(model).decode(ids)], ["ids", "text"])
+        return _joined((pa.StructArray.from_arrays([ids, loaded(model).decode(ids)], fields=list(kind)) for ids in _id_lists(texts, model)), kind)
 
     return F.arrow_udf(both, "ids array<int>, text string")(text)
