@@ -1,14 +1,13 @@
-"""Vector self-joins, connected components and density clusters."""
+"""Connected components and density clusters over vector pairs (M8, M9)."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dot
 from ..streaming.run import work_folder
+from .vector_index import pairs_within
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -24,24 +23,6 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x.cast("double") / n))
 
 
-def close_pairs(vectors: DataFrame, id_col: str, vec_col: str, least: float, pivots: int = 32, salts: int = 8) -> DataFrame:
-    """a, b (a < b), cos of all pairs with a cosine of at least `least`; exact. Null and zero vectors are in no pair.
-
-    Vectors live in the cell of their nearest pivot (a bounded number, by hash of the id). By the triangle inequality of
-    angles, whoever is within angle r of a vector of a cell is at most 2 r farther from its pivot than from the nearest
-    one, so it is sent to such cells only. Cells are dealt over salts, so that a full cell is not one task's work.
-    """
-    own = vectors.select(F.col(id_col).alias("id"), unit(F.col(vec_col)).alias("v")).filter("v is not null and id is not null")
-    chosen = own.orderBy(F.xxhash64("id"), "id").limit(pivots).agg(F.collect_list("v").alias("pivots"))
-    r = math.acos(max(-1.0, min(1.0, least)))
-    angles = F.transform("pivots", lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), p)))))
-    placed = written(own.crossJoin(F.broadcast(chosen)).withColumn("angles", angles).drop("pivots"))  # one row is broadcast
-    home = placed.select((F.array_position("angles", F.array_min("angles")) - 1).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("id").alias("a"), F.col("v").alias("va"))
-    near = F.filter(F.transform("angles", lambda x, i: F.when(x <= F.array_min("angles") + 2 * r + 1e-9, i)), lambda i: i.isNotNull())
-    sent = placed.select(F.explode(near).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), F.col("id").alias("b"), F.col("v").alias("vb"))
-    return home.join(sent, ["cell", "salt"]).filter("a < b").select("a", "b", dot(F.col("va"), F.col("vb")).alias("cos")).filter(F.col("cos") >= least)
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, label (the least id that edges reach). nodes: id; edges: a, b, in one direction or both.
 
@@ -63,7 +44,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dbscan(vectors: DataFrame, id_col: str, vec_col: str, least: float, min_samples: int) -> DataFrame:
     """id, cluster: the least id of the core points that hang together, for border points the least of their core
     neighbours' clusters, -1 for noise. A point counts itself."""
-    pairs = written(close_pairs(vectors, id_col, vec_col, least))
+    pairs = written(pairs_within(vectors, id_col, vec_col, least))
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
     ids = vectors.select(F.col(id_col).alias("id"))
     degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))

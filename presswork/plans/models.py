@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, models
+from ..operators.vector_index import neighbours, pairs_within
 from .registry import query
 
 VECTORS = "v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS cos FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.4)"
@@ -12,12 +13,19 @@ VECTORS = "v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FR
 
 @query(f"WITH {VECTORS} SELECT a, b, round(cos, 5) AS cos FROM p WHERE a < b")
 def J6_close_pairs(t):
-    return graph.close_pairs(t.embeddings, "vec_id", "embedding", 0.4).select("a", "b", F.round("cos", 5).alias("cos"))
+    return pairs_within(t.embeddings, "vec_id", "embedding", 0.4).select("a", "b", F.round("cos", 5).alias("cos"))
+
+
+@query(f"WITH {VECTORS} SELECT a AS vec_id, b AS neighbour, CAST(r AS INTEGER) AS rank, round(cos, 5) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cos, 12) DESC, b) AS r FROM p) WHERE r <= 5 AND cos >= 0.4")
+def J6_neighbours(t):
+    """A graph of bounded degree: of each vector the five nearest others, if they are near enough."""
+    found = neighbours(t.embeddings, "vec_id", "embedding", 5, 0.4)
+    return found.select(F.col("query").alias("vec_id"), F.col("id").alias("neighbour"), "rank", F.round("cos", 5).alias("cos"))
 
 
 @query(f"WITH RECURSIVE {VECTORS}, reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, p.b FROM reach r JOIN p ON r.y = p.a) SELECT x AS vec_id, min(y) AS cluster FROM reach GROUP BY 1")
 def M9_components(t):
-    pairs = graph.close_pairs(t.embeddings, "vec_id", "embedding", 0.4)
+    pairs = pairs_within(t.embeddings, "vec_id", "embedding", 0.4)
     return graph.components(t.embeddings.select(F.col("vec_id").alias("id")), pairs).select(F.col("id").alias("vec_id"), F.col("label").alias("cluster"))
 
 

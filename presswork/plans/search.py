@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cosine, tokens
 from ..operators.search import bm25
+from ..operators.vector_index import VectorIndex, search_within
 from .registry import query
 
 NORM = "sqrt(list_sum(list_transform({0}, lambda e: CAST(e AS DOUBLE) * CAST(e AS DOUBLE))))"
@@ -27,3 +28,25 @@ FROM c CROSS JOIN n CROSS JOIN floor_ LEFT JOIN tf ON tf.doc_id = c.doc_id AND t
 def T5_bm25(t):
     docs = t.documents.filter("source = 'src5'").select("doc_id", tokens(F.col("text")).alias("words"))
     return bm25(docs, ["the", "license", "stupid"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+ALL_PAIRS = f"p AS (SELECT a.vec_id AS query, b.vec_id AS vec_id, list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))) / ({NORM.format('a.embedding')} * {NORM.format('b.embedding')}) AS cos FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(cos, 12) DESC, vec_id) AS rank FROM p)"
+
+
+@query(f"WITH {ALL_PAIRS} SELECT query, CAST(rank AS INTEGER) AS rank, vec_id, round(cos, 5) AS cos FROM r WHERE rank <= 10")
+def T4_index_search(t):
+    """The ten nearest of every hundredth vector, by the stored index in its exact mode."""
+    index = VectorIndex.build(t.embeddings, "vec_id", "embedding")
+    hits = index.search(t.embeddings.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10, exact=True)
+    return hits.select("query", "rank", F.col("id").alias("vec_id"), F.round("cos", 5).alias("cos"))
+
+
+@query(f"WITH {ALL_PAIRS}, d AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM r WHERE rank <= 100 AND vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 2000 < 400)) SELECT query, CAST(place AS INTEGER) AS rank, vec_id, round(cos, 5) AS cos FROM d WHERE place <= 5")
+def T4_dated_search(t):
+    """The five best published up to a date, out of 20 times as many hits."""
+    from .articles import articles
+
+    index = VectorIndex.build(t.embeddings, "vec_id", "embedding")
+    dated = articles(t).filter(F.col("published") < F.expr("timestamp_ntz'2024-01-17 16:00:00'")).select("id")
+    hits = search_within(index, t.embeddings.filter("vec_id % 100 = 0"), "vec_id", "embedding", 5, dated, over=20, exact=True)
+    return hits.select("query", "rank", F.col("id").alias("vec_id"), F.round("cos", 5).alias("cos"))

@@ -10,6 +10,7 @@ from presswork.functions import bias_json as bj
 from presswork.functions.pages import readable
 from presswork.operators import graph, models
 from presswork.operators.sections import filter_sections
+from presswork.operators.vector_index import pairs_within
 from presswork.plans import registry
 from presswork.sources import readers, writers
 
@@ -93,9 +94,9 @@ def test_cache(spark):
 
 def test_graph_and_models(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None)], "id int, v array<double>")
-    assert [(r["a"], r["b"]) for r in graph.close_pairs(vectors, "id", "v", 0.9).collect()] == [(1, 2)]
+    assert [(r["a"], r["b"]) for r in pairs_within(vectors, "id", "v", 0.9).collect()] == [(1, 2)]
     assert got(graph.dbscan(vectors, "id", "v", 0.9, 2)) == [(1, 1), (2, 1), (3, -1), (4, -1), (5, -1)]
-    assert got(graph.close_pairs(vectors.limit(0), "id", "v", 0.9)) == []
+    assert got(pairs_within(vectors.limit(0), "id", "v", 0.9)) == []
     texts = spark.createDataFrame([(1, "aa bb"), (2, ""), (3, None), (4, "bb aa aa")], "i int, x string")
     made = {r["id"]: r["vector"] for r in models.embed_hashed(texts, "i", "x").collect()}
     assert sorted(made) == [1, 2, 4] and set(made[2]) == {0.0}
