@@ -10,6 +10,7 @@ from ..operators import models
 from ..operators.bias import allocate
 from ..operators.ranking import first_by, global_rank, split
 from ..operators.search import bm25
+from ..operators.text_index import TextIndex
 from .articles import ART, SCO, articles, scores
 from .models import WEIGHTS, weights
 from .registry import query
@@ -37,6 +38,31 @@ def T3_by_relevance(t):
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long"))  # of 50 rows
 
 
+def index(t):
+    return TextIndex.build(t.documents, "doc_id", "text")
+
+
+@query(f"WITH {RELEVANCE} SELECT doc_id, score FROM relevance")
+def F31_index_relevance(t):
+    """The same from the stored index: only the rows of the three terms are read; documents without them score 0."""
+    own = index(t)
+    held = own.docs.select("no", "id").join(own.scores(["license", "token", "password"]), "no", "left")
+    return held.select(F.col("id").alias("doc_id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+
+
+@query(f"WITH {RELEVANCE} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM relevance WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50")
+def T3_index_top(t):
+    return index(t).top(["license", "token", "password"], 50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT doc_id, contains(lower(text), 'licensed under') AS licensed, contains(lower(text), 'mit license') AS mit FROM documents WHERE contains(lower(text), 'licensed under') OR contains(lower(text), 'mit license')")
+def P9_index_phrases(t):
+    """Documents with either string, by positions of terms; each candidate is then looked at."""
+    own = index(t)
+    found = own.containing("licensed under").withColumn("licensed", F.lit(True)).join(own.containing("MIT license").withColumn("mit", F.lit(True)), ["no", "id"], "full")
+    return found.select(F.col("id").alias("doc_id"), F.coalesce("licensed", F.lit(False)).alias("licensed"), F.coalesce("mit", F.lit(False)).alias("mit"))
+
+
 RATED = "rated AS (SELECT event_id % 200 AS id, sum(value) AS rating FROM events WHERE user_id = (SELECT min(user_id) FROM events) GROUP BY 1), known AS (SELECT r.* FROM rated r WHERE r.id IN (SELECT id FROM weights))"
 
 
