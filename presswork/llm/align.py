@@ -58,6 +58,7 @@ class ByteTokens:
         self.id_bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.id_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        self.id_sizes = np.array([len(b) for b in self.id_bytes], np.int64)
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of each part with a blank before it."""
@@ -119,8 +120,7 @@ class Aligned:
     def __init__(self, parts: list[str], a: ByteTokens, b) -> None:
         a_ids, self.a_at = a.encode(parts)
         b_ids, self.b_at = b.encode(parts)
-        a_size = np.fromiter((len(a.id_bytes[i]) for i in a_ids.tolist()), np.int64, len(a_ids))
-        b_size = np.fromiter((len(b.id_bytes[i]) for i in b_ids.tolist()), np.int64, len(b_ids))
+        a_size, b_size = a.id_sizes[a_ids], b.id_sizes[b_ids]
         a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
         want = [b" " + p.encode("utf-8", "surrogatepass") for p in parts]
         joined = [b"".join(map(table.__getitem__, ids.tolist())) for table, ids in ((a.id_bytes, a_ids), (b.id_bytes, b_ids))]

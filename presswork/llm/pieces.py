@@ -116,6 +116,7 @@ class PieceModel:
             else:
                 self.id_bytes.append(b"" if p.type == kind.CONTROL else p.piece.replace(BLANK, " ").encode())
         self.leads = np.array([p.type == kind.NORMAL and p.piece.startswith(BLANK) for p in model.pieces])
+        self.id_sizes = np.array([len(b) for b in self.id_bytes], np.int64)
         # each piece's bytes, then the same as the first of a text: without the blank that encoding adds
         self._binary = pa.array([*self.id_bytes, *(b[1:] if lead else b for b, lead in zip(self.id_bytes, self.leads, strict=True))], pa.large_binary())
         # a symbol is a piece, or size + code point for a character without one
