@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import bias_json as bj
+from ..operators.keyed import KeyedTable
 from .registry import query
 
 
@@ -119,3 +120,43 @@ def F49_valid_bias(t):
 @query(f"SELECT p_partkey, CAST(v AS DOUBLE) AS dir_l, CAST(0.7 AS DOUBLE) AS dir_c, CAST(0.1 AS DOUBLE) AS dir_r, CAST(0.1 AS DOUBLE) AS deg_l, CAST(v AS DOUBLE) AS deg_m, CAST(0 AS DOUBLE) AS deg_h FROM {VALUES}")
 def F50_lenient_parse(t):
     return _broken(t).select("p_partkey", bj.lenient(F.col("raw")).alias("x")).select("p_partkey", "x.*")
+
+
+@query("SELECT d.doc_id, coalesce(lang, CAST(q AS VARCHAR)) AS lang, CASE WHEN q IS NOT NULL THEN 'labels' END AS model FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id")
+def K6_stored_field(t):
+    """A field set in a stored table where it isn't filled, with its origin; ids without a row are no rows."""
+    docs = KeyedTable.create(t.documents.select("doc_id", "lang", F.lit(None).cast("string").alias("model")), ["doc_id"])
+    found = t.labels.groupBy("doc_id").agg(F.max("quality").cast("string").alias("lang")).filter("lang is not null")
+    docs.merge(found, {"lang": F.coalesce("old.lang", "new.lang"), "model": F.lit("labels")}, insert=False, batch="labels")
+    return docs.read()
+
+
+@query("SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'front' ELSE concat_ws(',', CASE WHEN lang <> 'en' THEN lang END) END AS tags FROM documents")
+def K17_stored_tags(t):
+    """Tags of two sources set, then one tag pulled from all rows that have it."""
+    own = F.array_compact(F.array(F.when(F.col("lang") != "en", F.col("lang")), F.lit("new")))
+    docs = KeyedTable.create(t.documents.select("doc_id", "source", own.alias("tags")), ["doc_id"])
+    docs.update(F.col("source").isin("src1", "src2"), {"tags": F.array(F.lit("front"), F.lit("new"))})
+    docs.update(F.array_contains("tags", "new"), {"tags": F.array_remove("tags", "new")})
+    return docs.read().select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def K21_stored_ratings(t):
+    """Ratings of a user for an article come in two batches, the second one twice; of a pair the latest counts, whenever it comes."""
+    each = t.events.select("user_id", "event_type", "event_id", "value", F.struct("ts", "event_id").alias("at"))
+    first = each.filter("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.max_by(F.struct("event_id", "value", "at"), "at").alias("x")).select("user_id", "event_type", "x.*")
+    ratings = KeyedTable.create(first, ["user_id", "event_type"])
+    newer = F.col("old").isNull() | (F.col("new.at") > F.col("old.at"))
+    for _ in range(2):
+        ratings.merge(each.filter("event_id % 2 = 1"), {c: F.when(newer, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) for c in ("event_id", "value", "at")}, latest="at")
+    return ratings.read().drop("at")
+
+
+@query("SELECT doc_id, translate(text, chr(10), chr(32)) AS body, CASE WHEN length(text) < 128 THEN true END AS too_short FROM documents")
+def K25_stored_bodies(t):
+    """Bodies overwritten where they have line ends; what follows from a body is set with it."""
+    docs = KeyedTable.create(t.documents.select("doc_id", F.col("text").alias("body"), F.when(F.length("text") < 128, True).alias("too_short")), ["doc_id"])
+    flat = F.translate("body", "\n", " ")
+    docs.update(F.contains("body", F.lit("\n")), {"body": flat, "too_short": F.when(F.length(flat) < 128, True)})
+    return docs.read()

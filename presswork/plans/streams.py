@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..streaming.run import cache_hits, changes_only, drain, gated_flush, open_stream, work_folder
+from ..streaming.state import closed_sessions, first_seen, ring_buffer, run_available
 from .registry import query
 
 
@@ -84,3 +85,27 @@ def X4_gated_flush(t):
     """Captions gather for an hour and are put out if they come to 100 characters; tests hold it to a plain loop."""
     captions = events(t).withColumn("caption", F.concat("event_type", F.lit(" "), F.col("event_id").cast("string"), F.lit(". ")))
     return drain(gated_flush(captions, "user_id", "ts", "caption", 21_600, 100), "append")
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 60")
+def X5_ring_buffer(t):
+    """The same points out of the stream's own state, of 60 a user at most; the last of what it put out for each."""
+    points = events(t).withColumn("at", F.unix_micros("ts"))
+    out = run_available(ring_buffer(points, "user_id", "at", ["event_id", "value"]), "update").rows
+    last = out.groupBy("user_id").agg(F.max_by("points", "epoch").alias("points"))
+    return last.select("user_id", F.explode("points").alias("p")).select("user_id", "p.event_id", "p.value")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def X2_first_seen(t):
+    """Duplicates within a day of the watermark; all of the table is one batch here, so no key is forgotten before its end."""
+    return run_available(first_seen(events(t), ["user_id", "event_type"], "ts", "1 day"), "append").rows.select("user_id", "event_type")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
+def X10_closed_sessions(t):
+    """Sessions that the watermark has closed; those that may go on stay in the state."""
+    out = run_available(closed_sessions(events(t), "user_id", "ts", "12 hours", "1 hour"), "append").rows
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
