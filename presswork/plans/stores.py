@@ -98,13 +98,25 @@ def F26_title_case(t):
     return t.part.select("p_partkey", F.array_join(titled, "").alias("titled"))
 
 
+#: The six shares of a part's record, in hundredths; any numbers do.
+SHARES = {"l": "p_size % 100", "c": "p_partkey % 100", "r": "(p_size * 3 + 7) % 100", "low": "(p_partkey * 7 + 1) % 100", "mid": "(p_size + p_partkey) % 100", "high": "(p_partkey * 3) % 100"}
+
+
 def _broken(t):
-    x = F.format_string("0.%02d", "p_size")
-    return t.part.select("p_partkey", F.concat(F.lit('dir":"L":'), x, F.lit(',"C":0.7,"R":0.1,"deg":"L":0.1,"M":'), x, F.lit(',"H":0.0,"reason":"size '), F.col("p_size").cast("string")).alias("raw"))
+    """Records of which every fourth each lacks the braces, has commas before closing braces, lacks the outer braces, or breaks off."""
+    v = {k: F.format_string("0.%02d", F.expr(f"cast({e} as int)")) for k, e in SHARES.items()}
+    line = lambda *parts: F.concat(*(v[p] if p in v else F.lit(p) for p in parts))
+    brand = F.col("p_brand")
+    bare = F.concat(line('dir":"L":', "l", ',"C":', "c", ',"R":', "r", ',"deg":"L":', "low", ',"M":', "mid", ',"H":', "high", ',"reason":"'), brand)
+    commas = F.concat(line('{"dir":{"L":', "l", ',"C":', "c", ',"R":', "r", ',},"deg":{"L":', "low", ',"M":', "mid", ',"H":', "high", ',},"reason":"'), brand, F.lit('",}'))
+    inner = F.concat(line('"dir":{"L":', "l", ',"C":', "c", ',"R":', "r", '},"deg":{"L":', "low", ',"M":', "mid", ',"H":', "high", '},"reason":"'), brand, F.lit('"'))
+    open_ = F.concat(line('{"dir":{"L":', "l", ',"C":', "c", ',"R":', "r", '},"deg":{"L":', "low", ',"M":', "mid", ',"H":', "high", '},"reason":"'), brand)
+    kind = F.col("p_partkey") % 4
+    return t.part.select("p_partkey", F.when(kind == 0, bare).when(kind == 1, commas).when(kind == 2, inner).otherwise(open_).alias("raw"))
 
 
-GOOD = """'{"dir":{"L":' || v || ',"C":0.7,"R":0.1},"deg":{"L":0.1,"M":' || v || ',"H":0.0},"reason":"size ' || p_size || '"}'"""
-VALUES = "(SELECT p_partkey, p_size, '0.' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS v FROM part)"
+GOOD = """'{"dir":{"L":' || l || ',"C":' || c || ',"R":' || r || '},"deg":{"L":' || low || ',"M":' || mid || ',"H":' || high || '},"reason":"' || p_brand || '"}'"""
+VALUES = f"(SELECT p_partkey, p_brand, {', '.join(f"'0.' || lpad(CAST({e} AS VARCHAR), 2, '0') AS {k}" for k, e in SHARES.items())} FROM part)"
 
 
 @query(f"SELECT p_partkey, {GOOD} AS repaired FROM {VALUES}")
@@ -117,7 +129,7 @@ def F49_valid_bias(t):
     return _broken(t).select("p_partkey", bj.canonical(bj.repair_json(F.col("raw"))).isNotNull().alias("valid"), bj.canonical(F.col("raw")).isNotNull().alias("raw_valid"))
 
 
-@query(f"SELECT p_partkey, CAST(v AS DOUBLE) AS dir_l, CAST(0.7 AS DOUBLE) AS dir_c, CAST(0.1 AS DOUBLE) AS dir_r, CAST(0.1 AS DOUBLE) AS deg_l, CAST(v AS DOUBLE) AS deg_m, CAST(0 AS DOUBLE) AS deg_h FROM {VALUES}")
+@query(f"SELECT p_partkey, {', '.join(f'CAST({k} AS DOUBLE) AS {name}' for k, name in zip(SHARES, ('dir_l', 'dir_c', 'dir_r', 'deg_l', 'deg_m', 'deg_h'), strict=True))} FROM {VALUES}")
 def F50_lenient_parse(t):
     return _broken(t).select("p_partkey", bj.lenient(F.col("raw")).alias("x")).select("p_partkey", "x.*")
 
