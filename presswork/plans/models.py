@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, models
+from ..operators.batched import answered
+from ..operators.gazetteer import find_entities
 from ..operators.vector_index import neighbours, pairs_within
 from .registry import query
 
@@ -101,3 +103,28 @@ def M6_provider_failover(t):
 SELECT id, CAST(bucket AS BIGINT) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS weight FROM n""")
 def M1_hashed_vectors(t):
     return models.hashed_weights(t.documents, "doc_id", "text").select("id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))
+
+
+RUNS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
+
+
+@query(f"SELECT doc_id, w AS name, count(*) AS n FROM (SELECT doc_id, unnest({RUNS.format('text')}) AS w FROM documents) WHERE w IN (SELECT unnest({RUNS.format('text')}) FROM benchmark) GROUP BY 1, 2")
+def M2_gazetteer(t):
+    """How often each document has each name of a table: the words of all benchmark items, as many as there are."""
+    names = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))).alias("name")).distinct()
+    found = find_entities(t.documents, "doc_id", "text", names.withColumn("label", F.lit("WORD")), "name", "label")
+    return found.groupBy(F.col("id").alias("doc_id"), F.lower("found").alias("name")).agg(F.count("*").alias("n"))
+
+
+def _length_of_licensed():
+    return lambda texts: [str(len(x)) if "license" in x else None for x in texts]
+
+
+def _first_character():
+    return lambda texts: [x[:1].upper() for x in texts]
+
+
+@query("SELECT doc_id, CASE WHEN contains(substr(text, 1, 2000), 'license') THEN CAST(length(substr(text, 1, 2000)) AS VARCHAR) WHEN trim(substr(text, 1, 1)) <> '' THEN upper(substr(text, 1, 1)) END AS answer, CASE WHEN contains(substr(text, 1, 2000), 'license') THEN 'first' WHEN trim(substr(text, 1, 1)) <> '' THEN 'second' END AS provider FROM documents")
+def M5_batched_calls(t):
+    """Two providers asked 100 texts at a time; the second one what the first has no answer to."""
+    return answered(t.documents.select("doc_id", "text"), "text", [("first", _length_of_licensed), ("second", _first_character)]).drop("text")
