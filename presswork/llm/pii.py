@@ -100,16 +100,18 @@ def persons(text: str, emails: list[tuple[int, int]]) -> Iterator[tuple[int, int
 
 def again(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """(start, end) of other places of the names at the given ones: whole, and their last word alone."""
-    names = set()
+    whole, last = set(), set()
     for start, end in spans:
         words = text[start:end].split(" ")
         words = words[words[0].rstrip(".") in TITLES :]
         if words:
-            names |= {" ".join(words), words[-1]}
-    names = {n for n in names if len(n) > 1 and n not in PARTICLES}
-    if names:
-        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))})(?!\w)", text):
-            yield m.span()
+            whole.add(" ".join(words))
+            last.add(words[-1])
+    for names in (whole, last - whole):  # each by itself: a last word counts where its whole name turns out to be part of something else
+        names = {n for n in names if len(n) > 1 and n not in PARTICLES}
+        if names:
+            for m in re.finditer(rf"(?<!\w)(?:{'|'.join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))})(?!\w)", text):
+                yield m.span()
 
 
 def detect(text: str) -> list[tuple[str, int, int]]:
