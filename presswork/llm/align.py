@@ -122,10 +122,7 @@ class Aligned:
         b_ids, self.b_at = b.encode(parts)
         a_size, b_size = a.id_sizes[a_ids], b.id_sizes[b_ids]
         a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
-        want = [b" " + p.encode("utf-8", "surrogatepass") for p in parts]
-        joined = [b"".join(map(table.__getitem__, ids.tolist())) for table, ids in ((a.id_bytes, a_ids), (b.id_bytes, b_ids))]
-        ends = [np.r_[0, end][at].tolist() for end, at in ((a_end, self.a_at), (b_end, self.b_at))]
-        self.whole = np.fromiter((w == joined[0][i:j] and w == joined[1][k:m] for w, i, j, k, m in zip(want, ends[0], ends[0][1:], ends[1], ends[1][1:], strict=False)), bool, len(parts))
+        self.whole = self._whole(parts, [(t, ids, np.r_[0, end][at]) for t, ids, end, at in ((a.id_bytes, a_ids, a_end, self.a_at), (b.id_bytes, b_ids, b_end, self.b_at))])
         # parts that don't come back whole shift what follows: leave them out of the index
         for at, ids, size, name in ((self.a_at, a_ids, a_size, "a"), (self.b_at, b_ids, b_size, "b")):
             keep = np.repeat(self.whole, np.diff(at))
@@ -140,6 +137,19 @@ class Aligned:
         self.link_at = np.searchsorted(self.query, self.a_at)
         self.group_at = np.r_[0, np.cumsum(self.ends)][self.a_at]
 
+    @staticmethod
+    def _whole(parts: list[str], sides: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Which parts come back byte by byte from both sides' tokens; all are compared at once before they are one by one."""
+        want = [b" " + p.encode("utf-8", "surrogatepass") for p in parts]
+        ends = np.r_[0, np.cumsum(np.fromiter(map(len, want), np.int64, len(want)))]
+        all_of, whole = b"".join(want), np.ones(len(parts), bool)
+        for table, ids, at in sides:
+            joined = b"".join(map(table.__getitem__, ids.tolist()))
+            if joined != all_of or (at != ends).any():
+                at = at.tolist()
+                whole &= np.fromiter((w == joined[i:j] for w, i, j in zip(want, at, at[1:], strict=False)), bool, len(want))
+        return whole
+
     def sizes(self) -> np.ndarray:
         """A tokens, B tokens, groups and links of each part."""
         return np.stack([np.diff(x) for x in (self.a_at, self.b_at, self.group_at, self.link_at)], axis=1)
@@ -151,7 +161,7 @@ class Aligned:
         np.maximum.at(last_hit, self.query, self.hit)
         # the B tokens of a group are those up to the last that overlaps its last A token
         b_close = np.maximum.accumulate(last_hit)[close] + 1 if len(close) else close
-        a_words, b_words = list(map(str, self.a_ids.tolist())), list(map(str, self.b_ids.tolist()))
+        a_words, b_words = (_decimal(int(ids.max(initial=-1)) >> 12)[ids].tolist() for ids in (self.a_ids, self.b_ids))
         groups, a0, b0 = [], 0, 0
         for a1, b1 in zip((close + 1).tolist(), b_close.tolist(), strict=True):
             groups.append((a_words[a0] if a1 == a0 + 1 else ",".join(a_words[a0:a1])) + "|" + (b_words[b0] if b1 == b0 + 1 else ",".join(b_words[b0:b1])))
@@ -160,6 +170,12 @@ class Aligned:
         return [";".join(groups[i:j]) for i, j in zip(at, at[1:], strict=False)]
 
 
+@functools.lru_cache(maxsize=64)
+def _decimal(blocks: int) -> np.ndarray:
+    """Numbers below 4,096 * (blocks + 1) in decimal."""
+    return np.array(list(map(str, range((blocks + 1) << 12))), object)
+
+
 _ALIGNED = "block string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, parts array<int>, pairs array<long>, times array<long>, link_at array<int>, links array<int>"
 
 
