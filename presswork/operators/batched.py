@@ -2,7 +2,8 @@
 
 A provider's factory makes it once for each task; it is then called once for every `batch` rows, across the batches in which
 Spark hands over rows. A call that fails is made again, then row by row; rows without an answer (null or blank) go to the next
-provider, again in batches. A row that nobody answers has a null answer. Null texts are asked nobody.
+provider, again in batches. A row that nobody answers has a null answer. Null texts are asked nobody. What is blank is told by
+`blanks`, the characters a blank answer consists of: by default all whitespace.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from ..session import bounded_batches
 Call = Callable[[list[str]], list["str | None"]]
 
 
-def ask_all(call: Call, texts: list[str], retries: int) -> list[str | None]:
+def ask_all(call: Call, texts: list[str], retries: int, blanks: str | None = None) -> list[str | None]:
     """The answers of one provider; what a call can't answer at once is asked again, then text by text."""
 
     def once(some: list[str]) -> list[str | None]:
         out = list(call(some))
         if len(out) != len(some):
             raise ValueError(f"{len(out)} answers to {len(some)} texts")
-        return [a if a is not None and a.strip() else None for a in out]
+        return [a if a is not None and a.strip(blanks) else None for a in out]
 
     for _ in range(1 + retries):
         try:
@@ -34,10 +35,10 @@ def ask_all(call: Call, texts: list[str], retries: int) -> list[str | None]:
             continue
     if len(texts) == 1:
         return [None]
-    return [ask_all(call, [t], 0)[0] for t in texts]
+    return [ask_all(call, [t], 0, blanks)[0] for t in texts]
 
 
-def answered(rows: DataFrame, text_col: str, providers: list[tuple[str, Callable[[], Call]]], batch: int = 100, retries: int = 1, limit: int | None = 2_000) -> DataFrame:
+def answered(rows: DataFrame, text_col: str, providers: list[tuple[str, Callable[[], Call]]], batch: int = 100, retries: int = 1, limit: int | None = 2_000, blanks: str | None = None) -> DataFrame:
     """rows with answer and provider (the name of who gave it). limit: characters of a text that are shown to a provider.
 
     Providers are tried in order. Maps rows; nothing is shuffled. Columns named answer or provider raise.
@@ -60,7 +61,7 @@ def answered(rows: DataFrame, text_col: str, providers: list[tuple[str, Callable
                     break
                 if number not in made:
                     made[number] = factory()
-                for i, answer in zip(open_, ask_all(made[number], [texts[i][:limit] for i in open_], retries), strict=True):
+                for i, answer in zip(open_, ask_all(made[number], [texts[i][:limit] for i in open_], retries, blanks), strict=True):
                     if answer is not None:
                         answers[i], by[i] = answer, name
                 open_ = [i for i in open_ if answers[i] is None]

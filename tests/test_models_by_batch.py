@@ -3,10 +3,14 @@
 import glob
 import random
 
+import duckdb
 import pytest
 import regex
 from presswork.operators.batched import answered
 from presswork.operators.gazetteer import find_entities
+from presswork.plans import registry
+
+from . import oracle
 
 
 def counting(folder, answer, fail=lambda texts: False):
@@ -55,6 +59,16 @@ def test_failures(spark, tmp_path):
     assert answered(df.limit(0), "text", [("a", first)]).collect() == []
 
 
+def test_first_characters_are_those_of_sql(spark, tmp_path):
+    """ß, ligatures and Greek letters whose upper case is several characters; whitespace that isn't a space is an answer."""
+    firsts = "ßŉǰΐᾳᾨﬁéxß\t\n\x1f\u0085\u2028 \u00a0\u3000\u1680\u200b1"
+    texts = [f"{c}word" for c in firsts] + ["", None, "ß", "a license"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    oracle.compare(spark, con, str(tmp_path), registry.queries()["M5_batched_calls"], registry.oracle_sql()["M5_batched_calls"])
+
+
 def scan(docs, entities):
     token = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
     known = {}
