@@ -6,7 +6,11 @@ like angles to the centroid. The table is partitioned by cell: a search reads th
 
 search() looks into the nearest cells of each query; with exact=True it then goes on to every cell, and in it every block,
 that may by the triangle inequality of angles hold anything better than the n-th hit so far, so its result is that of a scan.
-pairs_within() gives all pairs above a cosine, neighbours() the k nearest of each vector above a cosine, both exact.
+
+pairs_within() gives all pairs above a cosine, neighbours() the k nearest of each vector above a cosine, both exact. They join a
+table with itself, so they need no index: vectors that are alike stand together in tiles of bounded size, written once, and each
+pair of tiles that may hold a hit by their centres and radii is read from there (a Cartesian product of the tiles' partitions,
+without a shuffle). Within it so are blocks of BLOCK vectors. Disk follows the vectors, work at worst the square of their number.
 
 In a block the first coordinates are multiplied first; by Cauchy-Schwarz, the rest can add no more than the product of the
 remaining lengths, and only vectors that could still be hits are multiplied in full. `offered` and `compared` count pairs.
@@ -26,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import dot
 from ..session import bounded_batches
 from ..streaming.run import work_folder
 
@@ -37,8 +42,10 @@ BLOCK, QUERIES = 256, 256
 TASK_ROWS = 100_000
 #: The share of coordinates that is multiplied first.
 FIRST = 4
-#: What rounding may cost a bound.
-SLACK = 1e-9
+#: What rounding may cost a bound, and a cosine.
+SLACK, ROUNDING = 1e-9, 1e-12
+#: Bytes of a tile's vectors as doubles.
+TILE_BYTES = 1 << 20
 
 
 def _matrix(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +74,21 @@ def _centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     return np.unique(at, axis=0)
 
 
+def _own(vectors: DataFrame, id_col: str, vec_col: str, kind: str = "double") -> DataFrame:
+    return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
+
+
+def _sample(own: DataFrame, sample: int) -> tuple[int, int, np.ndarray] | None:
+    """(coordinates, rows that have as many, vectors of length 1 with the least hashes); None without vectors."""
+    head = own.select(F.size("v").alias("dims")).groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).collect()
+    if not head:
+        return None
+    dims, rows = head[0]
+    some = own.filter(F.size("v") == dims).orderBy(F.xxhash64("id"), "id").limit(max(1, min(sample, SAMPLE_BYTES // (8 * dims)))).select("v").toArrow()
+    known = _matrix(some["v"].combine_chunks(), dims)[1]
+    return (dims, rows, known) if len(known) else None
+
+
 class VectorIndex:
     """An index in a folder of the shared file system."""
 
@@ -87,15 +109,11 @@ class VectorIndex:
         """Writes the index of all rows into path (a new folder); None if no row has a vector. cells: by default the square root of the rows."""
         spark = bounded_batches(vectors.sparkSession)
         path = path or f"{work_folder(spark)}/index"
-        own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
-        head = own.select(F.size("v").alias("dims")).groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).collect()
-        if not head:
-            return None
-        dims, rows = head[0]
-        some = own.filter(F.size("v") == dims).orderBy(F.xxhash64("id"), "id").limit(max(1, min(sample, SAMPLE_BYTES // (8 * dims)))).select("v").toArrow()
-        _, known = _matrix(some["v"].combine_chunks(), dims)
-        if not len(known):
+        own = _own(vectors, id_col, vec_col)
+        sampled = _sample(own, sample)
+        if sampled is None:
             return None
+        dims, rows, known = sampled
         axes = np.linalg.eigh(known.T @ known)[1][:, ::-1].T  # rows, the widest first
         centroids = _centroids(known @ axes.T, cells or max(1, min(4096, math.isqrt(rows))))
 
@@ -283,22 +301,141 @@ class VectorIndex:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def _tiles(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int] | None:
+    """(tile, ids, vectors, centre, radius; coordinates): vectors that are alike in tiles of TILE_BYTES, as a table."""
+    spark = bounded_batches(vectors.sparkSession)
+    kind = "float" if dict(vectors.dtypes)[vec_col] == "array<float>" else "double"  # as they are, so that tiles take no more room
+    own = _own(vectors, id_col, vec_col, kind)
+    sampled = _sample(own, 20_000)
+    if sampled is None:
+        return None
+    dims, rows, known = sampled
+    centroids = _centroids(known, max(1, min(1024, math.isqrt(rows))))
+    centroids = centroids[np.argsort(centroids @ np.linalg.eigh(known.T @ known)[1][:, -1], kind="stable")]  # along the widest axis
+    most = max(16, TILE_BYTES // (8 * dims))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, v = _matrix(batch.column(1), dims)
+            if len(row):
+                angle = _angles(v, centroids)
+                cell = angle.argmin(1)
+                kept = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(row)), cell], pa.float32())], ["id", "v", "cell", "angle"])
+
+    id_kind = dict(own.dtypes)["id"]
+    placed = own.mapInArrow(place, f"id {id_kind}, v array<{kind}>, cell int, angle float")
+    order = ["cell", "angle", F.xxhash64("id")]  # by the hash vectors that are equal are dealt out too
+    placed = placed.repartitionByRange(max(1, min(4_000, -(-rows // most))), *order).sortWithinPartitions(*order).select("id", "v")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tile(part: pa.Table) -> pa.RecordBatch:
+            ids, flat = part["id"].combine_chunks(), part["v"].combine_chunks()
+            centre, radius = _rings(_matrix(flat, dims)[1], len(ids))
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, len(ids) * dims], pa.int32()), flat.flatten()), pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(radius)], ["ids", "vectors", "centre", "radius"])
+
+        kept, n = [], 0
+        for batch in batches:
+            kept.append(batch)
+            n += batch.num_rows
+            while n >= most:
+                rows_ = pa.Table.from_batches(kept)
+                yield tile(rows_.slice(0, most))
+                kept, n = rows_.slice(most).to_batches(), n - most
+        if n:
+            yield tile(pa.Table.from_batches(kept))
+
+    path = f"{work_folder(spark)}/tiles"
+    packed = placed.mapInArrow(pack, f"ids array<{id_kind}>, vectors array<{kind}>, centre array<double>, radius double").withColumn("tile", F.monotonically_increasing_id())
+    packed.write.parquet(path)
+    return spark.read.schema(packed.schema).parquet(path), dims
+
+
+def _rings(v: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, the greatest angle to it) of every `rows` vectors of length 1."""
+    parts = [v[i : i + rows] for i in range(0, len(v), rows)]
+    centre = np.array([p.mean(0) for p in parts])
+    norm = np.linalg.norm(centre, axis=1)
+    centre = centre / np.maximum(norm, 1e-300)[:, None]
+    radius = np.array([_angles(p, c[None])[:, 0].max() if n > 1e-6 else np.pi for p, c, n in zip(parts, centre, norm, strict=True)])
+    return centre, radius
+
+
+def _joined(vectors: DataFrame, id_col: str, vec_col: str, least: float, k: int | None) -> DataFrame | None:
+    """a, b, cos of all pairs of vectors (k None: once, a < b; else both ways, for each pair of tiles' blocks a vector's k best), key: cos by which hits are ordered."""
+    tiled = _tiles(vectors, id_col, vec_col)
+    if tiled is None:
+        return None
+    tiles, dims = tiled
+    kind = dict(vectors.dtypes)[id_col]
+    sides = [tiles.select(*(F.col(c).alias(f"{c}_{side}") for c in ("ids", "vectors", "tile", "centre", "radius"))) for side in "ab"]
+    apart = F.acos(F.least(F.greatest(dot(F.col("centre_a"), F.col("centre_b")), F.lit(-1.0)), F.lit(1.0))) - F.col("radius_a") - F.col("radius_b")
+    near = (F.col("tile_a") <= F.col("tile_b")) & (apart <= math.acos(min(1.0, max(-1.0, least))) + 1e-6)
+    met = sides[0].join(sides[1].hint("shuffle_replicate_nl"), near).select("ids_a", "vectors_a", "ids_b", "vectors_b", (F.col("tile_a") == F.col("tile_b")).alias("same"))
+
+    def best(rows: np.ndarray, cols: np.ndarray, key: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Which of the hits are among the k best of their row."""
+        order = np.lexsort((codes[cols], -key, rows))
+        first = np.searchsorted(rows[order], rows[order], "left")
+        return order[np.arange(len(order)) - first < k]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids_a, flat_a, ids_b, flat_b, same = (batch.column(c)[i] for c in range(5))
+                same = same.as_py()
+                ids = pa.concat_arrays([ids_a.values, ids_b.values])
+                codes = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+                x, y = (_matrix(pa.ListArray.from_arrays(pa.array(np.arange(len(n.values) + 1) * dims, pa.int32()), f.values), dims)[1] for n, f in ((ids_a, flat_a), (ids_b, flat_b)))
+                (cx, rx), (cy, ry) = _rings(x, BLOCK), _rings(y, BLOCK)
+                live = _angles(cx, cy) - rx[:, None] - ry <= math.acos(min(1.0, max(-1.0, least))) + 1e-6
+                for block in np.flatnonzero(live.any(1)):
+                    cols = np.flatnonzero(np.repeat(live[block], BLOCK)[: len(y)])
+                    at = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(x)))
+                    cos = x[at] @ y[cols].T
+                    own = codes[at][:, None] == codes[len(x) + cols]
+                    hit = (cos >= least - ROUNDING) & ~own
+                    if same and k is None:
+                        hit &= at[:, None] < cols
+                    for turn in (False, True) if k is not None and not same else (False,):
+                        now, value = (hit.T, cos.T) if turn else (hit, cos)
+                        if k is not None and 0 < k < now.shape[1]:  # what is below the k-th best isn't among the k best
+                            masked = np.where(now, value, -2.0)
+                            now = now & (value >= np.partition(masked, masked.shape[1] - k, axis=1)[:, masked.shape[1] - k, None] - SLACK)
+                        r, c = np.nonzero(now)
+                        found = value[r, c]
+                        key = np.round(found, 12)
+                        q, o = (len(x) + cols[r], at[c]) if turn else (at[r], len(x) + cols[c])
+                        if k is None:
+                            turned = codes[q] > codes[o]
+                            q, o = np.where(turned, o, q), np.where(turned, q, o)
+                        else:
+                            take = best(r, o, key, codes)
+                            q, o, found, key = q[take], o[take], found[take], key[take]
+                        if len(q):
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), ids.take(pa.array(o)), pa.array(found), pa.array(key)], ["a", "b", "cos", "key"])
+
+    return met.mapInArrow(score, f"a {kind}, b {kind}, cos double, key double")
+
+
 def pairs_within(vectors: DataFrame, id_col: str, vec_col: str, least: float) -> DataFrame:
     """a, b (a < b), cos of all pairs of ids with a cosine of at least `least`; exact."""
-    index = VectorIndex.build(vectors, id_col, vec_col)
+    found = _joined(vectors, id_col, vec_col, least, None)
     kind = dict(vectors.dtypes)[id_col]
-    if index is None:
+    if found is None:
         return vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cos double")
-    return index.within(vectors, id_col, vec_col, least).filter("query < id").select(F.col("query").alias("a"), F.col("id").alias("b"), F.least("cos", F.lit(1.0)).alias("cos"))
+    return found.select("a", "b", F.least("cos", F.lit(1.0)).alias("cos"))
 
 
 def neighbours(vectors: DataFrame, id_col: str, vec_col: str, k: int, least: float = -1.0) -> DataFrame:
     """query, id, cos, rank of the k nearest others of each vector, with a cosine of at least `least`; exact. A bounded graph: k edges a vector."""
-    index = VectorIndex.build(vectors, id_col, vec_col)
+    found = _joined(vectors, id_col, vec_col, least, k)
     kind = dict(vectors.dtypes)[id_col]
-    if index is None:
+    if found is None:
         return vectors.sparkSession.createDataFrame([], f"query {kind}, id {kind}, cos double, rank int")
-    return index.search(vectors, id_col, vec_col, k, exact=True, least=least, others=True)
+    hits = found.withColumnsRenamed({"a": "query", "b": "id"})
+    order = Window.partitionBy("query").orderBy(F.desc("key"), "id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "id", "cos", "rank")
 
 
 def search_within(index: VectorIndex, queries: DataFrame, id_col: str, vec_col: str, n: int, allowed: DataFrame | None = None, over: int = 10, **how: object) -> DataFrame:

@@ -129,3 +129,30 @@ def test_calibrated_on_clusters(spark, rows):
     pairs = index.within(df, "id", "v", 0.4).filter("query < id").count()
     assert pairs == sum(sum(1 for _, i in hits if q < i) for q, hits in scan(all_rows, all_rows, 0.4).items())
     assert index.compared.value < 0.35 * len(all_rows) ** 2  # of all ordered pairs
+
+
+def test_joins_shuffle_in_proportion(spark):
+    """Vectors without clusters: nearly all pairs are looked at, but what is shuffled follows the vectors, not the pairs."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 16)))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    for job in (lambda: pairs_within(df, "id", "v", 0.7), lambda: neighbours(df, "id", "v", 3, 0.7)):
+        before = written()
+        job().collect()
+        assert written() - before < 4 * 2000 * 16 * 8
+
+
+def test_tiles_of_copies(spark, monkeypatch):
+    """A third of all vectors are one vector, tiles and blocks are small, ids are text: pairs and ranks are those of a scan."""
+    monkeypatch.setattr(vector_index, "TILE_BYTES", 16 * 8 * 3)
+    monkeypatch.setattr(vector_index, "BLOCK", 4)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(40)] + [(1000 + i, v) for i, v in clustered(80, 3, 5, 0.3)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = scan(rows, rows, 0.9, others=True)
+    assert got(neighbours(df, "id", "v", 5, 0.9)) == {q: hits[:5] for q, hits in want.items() if hits}
+    text = df.selectExpr("cast(id as string) as id", "v")
+    pairs = pairs_within(text, "id", "v", 0.9).collect()
+    assert len(pairs) == len({(r["a"], r["b"]) for r in pairs}) == sum(map(len, want.values())) // 2
+    assert all(r["a"] < r["b"] for r in pairs)
