@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from presswork.operators import vector_index
+from presswork.operators import graph, vector_index
 from presswork.operators.vector_index import VectorIndex, neighbours, pairs_within, search_within
 from pyspark.sql import functions as F
 
@@ -156,3 +156,14 @@ def test_tiles_of_copies(spark, monkeypatch):
     pairs = pairs_within(text, "id", "v", 0.9).collect()
     assert len(pairs) == len({(r["a"], r["b"]) for r in pairs}) == sum(map(len, want.values())) // 2
     assert all(r["a"] < r["b"] for r in pairs)
+
+
+def test_thinned_edges(spark):
+    """All that hangs together still does, with at most one edge less than points in a task; dense groups don't grow with the square."""
+    edges = [(i, j) for g in range(3) for i in range(g * 40, g * 40 + 40) for j in range(i + 1, g * 40 + 40)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(2)
+    few = graph.thinned(df)
+    assert few.count() <= 2 * 3 * 39
+    labels = graph.components(spark.range(121), df).collect()
+    assert sorted(map(tuple, labels)) == [(i, i // 40 * 40) for i in range(121)]
+    assert sorted(map(tuple, graph.components(spark.range(121), few).collect())) == sorted(map(tuple, labels))
