@@ -112,3 +112,19 @@ def test_the_plan_does_not_grow(spark):
     assert plans[0] == plans[1]
     none = spark.createDataFrame([], "e string, label string")
     assert find_entities(docs, "id", "text", none, "e", "label").collect() == [] and find_entities(docs.limit(0), "id", "text", none, "e", "label").collect() == []
+
+
+def test_tokens_hold_little():
+    """Of a batch of texts only the tokens' texts are objects: what is allocated at most follows them."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from presswork.operators.gazetteer import _cut
+
+    texts = pa.array(["Ab é_1 " * 20_000, None, ""])
+    tracemalloc.start()
+    out = _cut(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out[0].as_py()[:2] == [{"t": "ab", "s": 0, "e": 2}, {"t": "é_1", "s": 3, "e": 6}] and out.to_pylist()[1:] == [None, []]
+    assert peak < 150 * 40_000  # bytes for each token
