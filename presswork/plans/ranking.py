@@ -12,7 +12,7 @@ from ..operators.ranking import first_by, global_rank, split
 from ..operators.search import bm25
 from ..operators.text_index import TextIndex
 from .articles import ART, SCO, articles, scores
-from .models import WEIGHTS, weights
+from .models import WEIGHTS, vectors
 from .registry import query
 
 WORDS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')"
@@ -72,12 +72,12 @@ def T9_recommended(t):
     """For one user: the unrated documents nearest to the user's profile."""
     user = t.events.agg(F.min("user_id").alias("user_id"))
     own = t.events.join(F.broadcast(user), "user_id").select("user_id", (F.col("event_id") % 200).alias("id"), F.col("value").alias("rating"))
-    return models.recommend(own, weights(t), 10).select("id", F.round("cosine", 4).alias("cosine"))
+    return models.recommend(own, vectors(t), 10).select("id", F.round("cosine", 4).alias("cosine"))
 
 
 @query(f"WITH {WEIGHTS}, me AS (SELECT term, weight AS p FROM weights WHERE id = 3) SELECT id, round(sum(weight * p), 6) AS cosine FROM weights JOIN me USING (term) WHERE id <> 3 GROUP BY 1 ORDER BY cosine DESC, id LIMIT 10")
 def T9_similar(t):
-    return models.similar(weights(t), 3, 10).select("id", F.round("cosine", 6).alias("cosine"))
+    return models.similar(vectors(t), 3, 10).select("id", F.round("cosine", 6).alias("cosine"))
 
 
 @query(f"WITH {ART} SELECT id, coalesce(strftime(CASE WHEN id % 7 > 0 THEN published END, '%Y-%m-%dT%H:%M:%S'), '') AS published, row_number() OVER (ORDER BY coalesce(strftime(CASE WHEN id % 7 > 0 THEN published END, '%Y-%m-%dT%H:%M:%S'), '') DESC, id) AS rank FROM articles")
