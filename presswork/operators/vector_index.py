@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dot
@@ -361,24 +361,27 @@ def _rings(v: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return centre, radius
 
 
-def _joined(vectors: DataFrame, id_col: str, vec_col: str, least: float, k: int | None) -> DataFrame | None:
-    """a, b, cos of all pairs of vectors (k None: once, a < b; else both ways, for each pair of tiles' blocks a vector's k best), key: cos by which hits are ordered."""
+def _widest(least: float) -> float:
+    """The angle beyond which no cosine is as large."""
+    return math.acos(min(1.0, max(-1.0, least))) + 1e-6
+
+
+def _apart() -> Column:
+    """The least angle that vectors of tile a and tile b may have."""
+    return F.acos(F.least(F.greatest(dot(F.col("centre_a"), F.col("centre_b")), F.lit(-1.0)), F.lit(1.0))) - F.col("radius_a") - F.col("radius_b")
+
+
+def pairs_within(vectors: DataFrame, id_col: str, vec_col: str, least: float) -> DataFrame:
+    """a, b (a < b), cos of all pairs of ids with a cosine of at least `least`; exact."""
+    kind = dict(vectors.dtypes)[id_col]
     tiled = _tiles(vectors, id_col, vec_col)
     if tiled is None:
-        return None
+        return vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cos double")
     tiles, dims = tiled
-    kind = dict(vectors.dtypes)[id_col]
     sides = [tiles.select(*(F.col(c).alias(f"{c}_{side}") for c in ("ids", "vectors", "tile", "centre", "radius"))) for side in "ab"]
-    apart = F.acos(F.least(F.greatest(dot(F.col("centre_a"), F.col("centre_b")), F.lit(-1.0)), F.lit(1.0))) - F.col("radius_a") - F.col("radius_b")
-    near = (F.col("tile_a") <= F.col("tile_b")) & (apart <= math.acos(min(1.0, max(-1.0, least))) + 1e-6)
+    near = (F.col("tile_a") <= F.col("tile_b")) & (_apart() <= _widest(least))
     met = sides[0].join(sides[1].hint("shuffle_replicate_nl"), near).select("ids_a", "vectors_a", "ids_b", "vectors_b", (F.col("tile_a") == F.col("tile_b")).alias("same"))
 
-    def best(rows: np.ndarray, cols: np.ndarray, key: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Which of the hits are among the k best of their row."""
-        order = np.lexsort((codes[cols], -key, rows))
-        first = np.searchsorted(rows[order], rows[order], "left")
-        return order[np.arange(len(order)) - first < k]
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -388,54 +391,82 @@ def _joined(vectors: DataFrame, id_col: str, vec_col: str, least: float, k: int
                 codes = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
                 x, y = (_matrix(pa.ListArray.from_arrays(pa.array(np.arange(len(n.values) + 1) * dims, pa.int32()), f.values), dims)[1] for n, f in ((ids_a, flat_a), (ids_b, flat_b)))
                 (cx, rx), (cy, ry) = _rings(x, BLOCK), _rings(y, BLOCK)
-                live = _angles(cx, cy) - rx[:, None] - ry <= math.acos(min(1.0, max(-1.0, least))) + 1e-6
+                live = _angles(cx, cy) - rx[:, None] - ry <= _widest(least)
                 for block in np.flatnonzero(live.any(1)):
                     cols = np.flatnonzero(np.repeat(live[block], BLOCK)[: len(y)])
                     at = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(x)))
                     cos = x[at] @ y[cols].T
-                    own = codes[at][:, None] == codes[len(x) + cols]
-                    hit = (cos >= least - ROUNDING) & ~own
-                    if same and k is None:
+                    hit = (cos >= least - ROUNDING) & (codes[at][:, None] != codes[len(x) + cols])
+                    if same:
                         hit &= at[:, None] < cols
-                    for turn in (False, True) if k is not None and not same else (False,):
-                        now, value = (hit.T, cos.T) if turn else (hit, cos)
-                        if k is not None and 0 < k < now.shape[1]:  # what is below the k-th best isn't among the k best
-                            masked = np.where(now, value, -2.0)
-                            now = now & (value >= np.partition(masked, masked.shape[1] - k, axis=1)[:, masked.shape[1] - k, None] - SLACK)
-                        r, c = np.nonzero(now)
-                        found = value[r, c]
-                        key = np.round(found, 12)
-                        q, o = (len(x) + cols[r], at[c]) if turn else (at[r], len(x) + cols[c])
-                        if k is None:
-                            turned = codes[q] > codes[o]
-                            q, o = np.where(turned, o, q), np.where(turned, q, o)
-                        else:
-                            take = best(r, o, key, codes)
-                            q, o, found, key = q[take], o[take], found[take], key[take]
-                        if len(q):
-                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), ids.take(pa.array(o)), pa.array(found), pa.array(key)], ["a", "b", "cos", "key"])
-
-    return met.mapInArrow(score, f"a {kind}, b {kind}, cos double, key double")
+                    r, c = np.nonzero(hit)
+                    q, o = at[r], len(x) + cols[c]
+                    turned = codes[q] > codes[o]
+                    q, o = np.where(turned, o, q), np.where(turned, q, o)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), ids.take(pa.array(o)), pa.array(cos[r, c])], ["a", "b", "cos"])
 
-
-def pairs_within(vectors: DataFrame, id_col: str, vec_col: str, least: float) -> DataFrame:
-    """a, b (a < b), cos of all pairs of ids with a cosine of at least `least`; exact."""
-    found = _joined(vectors, id_col, vec_col, least, None)
-    kind = dict(vectors.dtypes)[id_col]
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cos double")
-    return found.select("a", "b", F.least("cos", F.lit(1.0)).alias("cos"))
+    return met.mapInArrow(score, f"a {kind}, b {kind}, cos double").withColumn("cos", F.least("cos", F.lit(1.0)))
 
 
 def neighbours(vectors: DataFrame, id_col: str, vec_col: str, k: int, least: float = -1.0) -> DataFrame:
-    """query, id, cos, rank of the k nearest others of each vector, with a cosine of at least `least`; exact. A bounded graph: k edges a vector."""
-    found = _joined(vectors, id_col, vec_col, least, k)
+    """query, id, cos, rank of the k nearest others of each vector, with a cosine of at least `least`; exact. A bounded
+    graph: k edges a vector.
+
+    A task takes some tiles and reads all others one after the other. It holds each vector's k best so far, which bound what
+    counts from then on, and gives them out at the end: so k rows of a vector are shuffled, however many tiles it meets.
+    """
     kind = dict(vectors.dtypes)[id_col]
-    if found is None:
+    tiled = _tiles(vectors, id_col, vec_col)
+    if tiled is None:
         return vectors.sparkSession.createDataFrame([], f"query {kind}, id {kind}, cos double, rank int")
-    hits = found.withColumnsRenamed({"a": "query", "b": "id"})
+    tiles, dims = tiled
+    sides = [tiles.select(*(F.col(c).alias(f"{c}_{side}") for c in ("ids", "vectors", "tile", "centre", "radius"))) for side in "ab"]
+    met = sides[0].join(sides[1].hint("shuffle_replicate_nl"), _apart() <= _widest(least)).select("ids_a", "vectors_a", "ids_b", "vectors_b", "tile_a")
+    met = met.coalesce(tiles.rdd.getNumPartitions())  # pairs of partitions with the first in common stand in a row
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}  # of each tile: its ids, and of its hits rows, ids, cosines and what orders them
+        floors: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids_a, flat_a, ids_b, flat_b, tile = (batch.column(c)[i] for c in range(5))
+                ids, others, tile = ids_a.values.to_numpy(zero_copy_only=False), ids_b.values.to_numpy(zero_copy_only=False), tile.as_py()
+                if tile not in held:
+                    held[tile], floors[tile] = (ids_a.values, np.zeros(0, int), others[:0], np.zeros(0), np.zeros(0)), np.full(len(ids), least - ROUNDING)
+                floor, found = floors[tile], []
+                codes = np.unique(np.concatenate([ids, others]), return_inverse=True)[1]
+                own = codes[: len(ids)], codes[len(ids) :]
+                mixed = len(np.intersect1d(*own)) > 0
+                x, y = (_matrix(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * dims, pa.int32()), f.values), dims)[1] for n, f in ((ids, flat_a), (others, flat_b)))
+                (cx, rx), (cy, ry) = _rings(x, BLOCK), _rings(y, BLOCK)
+                live = _angles(cx, cy) - rx[:, None] - ry <= _widest(least)
+                for block in np.flatnonzero(live.any(1)):
+                    cols = np.flatnonzero(np.repeat(live[block], BLOCK)[: len(y)])
+                    at = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(x)))
+                    cos = x[at] @ y[cols].T
+                    if mixed:
+                        cos[own[0][at][:, None] == own[1][cols]] = -2.0
+                    hit = cos >= floor[at, None]
+                    if hit.sum() > 4 * k * len(at) and 0 < k < len(cols):  # what is below the k-th best isn't among the k best
+                        hit &= cos >= np.partition(cos, len(cols) - k, axis=1)[:, len(cols) - k, None] - SLACK
+                    r, c = np.nonzero(hit)
+                    found.append((at[r], others[cols[c]], cos[r, c], np.round(cos[r, c], 12)))
+                if any(len(f[0]) for f in found):
+                    row, who, value, key = (np.concatenate(z) for z in zip(held[tile][1:], *found, strict=True))
+                    order = np.lexsort((np.unique(who, return_inverse=True)[1], -key, row))
+                    place = np.arange(len(order)) - np.searchsorted(row[order], row[order], "left")
+                    kept = order[place < k]
+                    held[tile] = held[tile][0], row[kept], who[kept], value[kept], key[kept]
+                    last = order[place == k - 1]
+                    floor[row[last]] = np.maximum(floor[row[last]], key[last] - SLACK)
+        for ids_, row, who, value, key in held.values():
+            yield pa.RecordBatch.from_arrays([ids_.take(pa.array(row)), pa.array(who, ids_.type), pa.array(value), pa.array(key)], ["query", "id", "cos", "key"])
+
+    hits = met.mapInArrow(best, f"query {kind}, id {kind}, cos double, key double")
     order = Window.partitionBy("query").orderBy(F.desc("key"), "id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "id", "cos", "rank")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query", "id", F.least("cos", F.lit(1.0)).alias("cos"), "rank")
 
 
 def search_within(index: VectorIndex, queries: DataFrame, id_col: str, vec_col: str, n: int, allowed: DataFrame | None = None, over: int = 10, **how: object) -> DataFrame:
