@@ -38,8 +38,8 @@ def ask_all(call: Call, texts: list[str], retries: int, blanks: str | None = Non
     return [ask_all(call, [t], 0, blanks)[0] for t in texts]
 
 
-def answered(rows: DataFrame, text_col: str, providers: list[tuple[str, Callable[[], Call]]], batch: int = 100, retries: int = 1, limit: int | None = 2_000, blanks: str | None = None) -> DataFrame:
-    """rows with answer and provider (the name of who gave it). limit: characters of a text that are shown to a provider.
+def answered(rows: DataFrame, text_col: str, providers: list[tuple[str, Callable[[], Call]]], batch: int = 100, retries: int = 1, blanks: str | None = None) -> DataFrame:
+    """rows with answer and provider (the name of who gave it). Providers are shown whole texts, of any length.
 
     Providers are tried in order. Maps rows; nothing is shuffled. Columns named answer or provider raise.
     """
@@ -61,7 +61,7 @@ def answered(rows: DataFrame, text_col: str, providers: list[tuple[str, Callable
                     break
                 if number not in made:
                     made[number] = factory()
-                for i, answer in zip(open_, ask_all(made[number], [texts[i][:limit] for i in open_], retries, blanks), strict=True):
+                for i, answer in zip(open_, ask_all(made[number], [texts[i] for i in open_], retries, blanks), strict=True):
                     if answer is not None:
                         answers[i], by[i] = answer, name
                 open_ = [i for i in open_ if answers[i] is None]

@@ -69,6 +69,22 @@ def test_first_characters_are_those_of_sql(spark, tmp_path):
     oracle.compare(spark, con, str(tmp_path), registry.queries()["M5_batched_calls"], registry.oracle_sql()["M5_batched_calls"])
 
 
+def test_whole_texts_are_shown(spark, tmp_path):
+    """What stands after a text's first 2,000 characters, or after its first 200,000, is shown to each provider and answered by SQL."""
+    texts = ["x" * n + " license" + "é" * 3_000 for n in (0, 1_990, 1_999, 2_000, 200_000)] + ["x" * 300_000, " " * 3_000 + "license", " " * 3_000 + "y", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    first, second = lambda: lambda some: [None for _ in some], lambda: lambda some: [f"{len(t)} {t[-1:]}" for t in some]
+    shown = {r["doc_id"]: r["answer"] for r in answered(df, "text", [("first", first), ("second", second)]).collect()}
+    assert shown == {i: None if t is None else f"{len(t)} {t[-1:]}" for i, t in enumerate(texts)}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    plan, sql = registry.queries()["M5_batched_calls"], registry.oracle_sql()["M5_batched_calls"]
+    got = {r["doc_id"]: (r["answer"], r["provider"]) for r in plan(spark, str(tmp_path)).collect()}
+    assert got == {i: (str(len(t)), "first") if t and "license" in t else ("X", "second") if i == 5 else (None, None) for i, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    oracle.compare(spark, con, str(tmp_path), plan, sql)
+
+
 def scan(docs, entities):
     token = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
     known = {}
